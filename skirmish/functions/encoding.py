@@ -61,7 +61,7 @@ def resource_bucket(current: Column, maximum: Column) -> Column:
 
 def hp_characters(hp: Column) -> Column:
     """Two-decimal fixed point, one character per word; ``unknown`` for null."""
-    return F.coalesce(F.array_join(F.split(F.format_string("%.2f", hp), ""), " "), F.lit("unknown"))
+    return F.when(hp.isNull(), "unknown").otherwise(F.array_join(F.split(F.format_string("%.2f", hp), ""), " "))
 
 
 def tokenise(words: Column, vocabulary: dict[str, int], unknown: int) -> Column:
@@ -97,14 +97,18 @@ def observation_text(fmt: Column, forced: Column, player: Column, moves: Column,
     return F.array_join(words, " ")
 
 
-def export_block(name: Column, item: Column, ability: Column, level: Column, tera: Column,
-                 evs: Column, nature: Column, moves: Column) -> Column:
-    """Text block of one member, absent parts left out."""
-    part = lambda prefix, c, suffix="": F.when(c.isNotNull(), F.concat(F.lit(prefix), c, F.lit(suffix)))
+def export_block(name: Column, moves: Column, item: Column | None = None, tera: Column | None = None,
+                 ability: Column | None = None, evs: Column | None = None, nature: Column | None = None,
+                 ivs: Column | None = None) -> Column:
+    """Text block of one member; parts that are null are left out."""
+    def line(prefix: str, c: Column | None, suffix: str = "") -> Column:
+        c = F.lit(None).cast("string") if c is None else c
+        return F.when(c.isNotNull(), F.concat(F.lit(prefix), c, F.lit(suffix)))
+
+    header = name if item is None else F.concat(name, F.coalesce(F.concat(F.lit(" @ "), item), F.lit("")))
     return F.concat_ws(
-        "\n", F.concat(name, F.coalesce(F.concat(F.lit(" @ "), item), F.lit(""))),
-        part("Ability: ", ability), part("Level: ", level.cast("string")), part("Tera Type: ", tera),
-        part("EVs: ", evs), part("", nature, " Nature"),
+        "\n", header, line("Tera Type: ", tera), line("Ability: ", ability), line("EVs: ", evs),
+        line("", nature, " Nature"), line("IVs: ", ivs),
         F.array_join(F.transform(moves, lambda m: F.concat(F.lit("- "), m)), "\n"))
 
 

@@ -247,3 +247,26 @@ def no_action_marks(log: DataFrame) -> DataFrame:
 
 def type_counts(log: DataFrame, battle: Sequence[str]) -> DataFrame:
     return log.groupBy(*battle, "type").agg(F.count("*").alias("n"))
+
+
+def message_columns(log: DataFrame) -> DataFrame:
+    """Messages as typed columns, one per kind of fact; null where the message says nothing about it."""
+    t, when = F.col("type"), F.when
+    moved = t.isin("switch", "drag")
+    one_stat = t.isin("-boost", "-unboost", "-setboost")
+    return log.select(
+        "*", F.nullif(F.regexp_extract(arg(0), "^(p[0-9])[a-z]:", 1), F.lit("")).alias("slot_side"),
+        when(t == "move", arg(1)).alias("move"),
+        when(moved, tx.details_species(arg(1))).alias("switched_to"),
+        when(moved, tx.details_level(arg(1))).alias("level"),
+        when(t.isin("-damage", "-heal", "-sethp"), tx.hp_fraction(arg(1))).alias("hp"),
+        when(t == "faint", tx.slot_name(arg(0))).alias("fainted"),
+        when(t == "-status", arg(1)).alias("status"),
+        when(t == "-curestatus", arg(1)).alias("cured"),
+        when(one_stat, arg(1)).alias("stat"), when(one_stat, arg(2).try_cast("int")).alias("amount"),
+        when(t == "-weather", arg(0)).alias("weather"),
+        when(t.isin("-sidestart", "-sideend"), tx.condition_name(arg(1))).alias("side_condition"),
+        when(t.isin("-fieldstart", "-fieldend"), tx.condition_name(arg(0))).alias("field"),
+        when(t.isin("-start", "-end"), arg(1)).alias("effect"),
+        when(t == "-ability", arg(1)).alias("ability"), when(t.isin("-item", "-enditem"), arg(1)).alias("item"),
+        when(t == "-terastallize", arg(1)).alias("tera_type"), when(t == "win", arg(0)).alias("winner"))

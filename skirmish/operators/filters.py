@@ -84,9 +84,9 @@ def team_set(df: DataFrame, kind: str, rating: Column, tournament: Column, playe
 
 
 def format_alias(fmt: Column, aliases: Mapping[str, str]) -> Column:
-    """Canonical name of a format; unknown names pass through."""
+    """Lower-case canonical name of a format; unknown names pass through."""
     table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, fmt), fmt)
+    return F.coalesce(F.try_element_at(table, F.lower(fmt)), F.lower(fmt))
 
 
 def format_generation(fmt: Column) -> Column:

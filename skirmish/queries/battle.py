@@ -326,7 +326,7 @@ def f10(spark, d):
     return events.preview_after_start(raw_lines(spark, d)).select("battle_id", F.col("custom").cast("int").alias("custom"))
 
 
-_HEAD_SQL = f"""{LINES_SQL},
+HEAD_SQL = f"""{LINES_SQL},
 heads AS (SELECT battle_id, CAST(max(CASE WHEN f[1] = 'gen' THEN f[2] END) AS INT) AS gen, max(CASE WHEN f[1] = 'tier' THEN f[2] END) AS tier,
  max(CASE WHEN f[1] = 'player' AND f[2] = 'p1' THEN f[3] END) AS player1, max(CASE WHEN f[1] = 'player' AND f[2] = 'p2' THEN f[3] END) AS player2,
  TRY_CAST(max(CASE WHEN f[1] = 'player' AND f[2] = 'p1' THEN f[5] END) AS INT) AS rating1,
@@ -335,7 +335,7 @@ heads AS (SELECT battle_id, CAST(max(CASE WHEN f[1] = 'gen' THEN f[2] END) AS IN
  FROM lines GROUP BY 1)"""
 
 
-@query("E1_headers", f"""WITH {_HEAD_SQL} SELECT battle_id, gen, tier, player1, player2, rating1,
+@query("E1_headers", f"""WITH {HEAD_SQL} SELECT battle_id, gen, tier, player1, player2, rating1,
  CAST(rating1 IS NOT NULL AS INT) AS rated1, size1, rules FROM heads""", ("raw_battles",))
 def e1(spark, d):
     h = events.headers(raw_lines(spark, d))
@@ -343,7 +343,7 @@ def e1(spark, d):
                     "size1", F.array_join("rules", "|").alias("rules"))
 
 
-@query("E2_results", f"""WITH {_HEAD_SQL}, w AS (SELECT battle_id, max(CASE WHEN f[1] = 'win' THEN f[2] END) AS win,
+@query("E2_results", f"""WITH {HEAD_SQL}, w AS (SELECT battle_id, max(CASE WHEN f[1] = 'win' THEN f[2] END) AS win,
  max(CASE WHEN f[1] = 'tie' THEN 1 END) AS tie FROM lines GROUP BY 1)
 SELECT battle_id, CASE WHEN win = player1 THEN 'p1' WHEN win = player2 THEN 'p2' WHEN tie = 1 THEN 'tie' END AS winner
 FROM heads JOIN w USING (battle_id)""", ("raw_battles",))
@@ -516,7 +516,7 @@ def a26(spark, d):
 @query("J19_both_sides", """
 SELECT battle_id, 1 AS pov, player1 AS own_player, player2 AS foe_player FROM h UNION ALL
 SELECT battle_id, 2, player2, player1 FROM h""".replace("FROM h", "FROM heads").replace(
-    "SELECT battle_id, 1", f"WITH {_HEAD_SQL} SELECT battle_id, 1", 1), ("raw_battles",))
+    "SELECT battle_id, 1", f"WITH {HEAD_SQL} SELECT battle_id, 1", 1), ("raw_battles",))
 def j19(spark, d):
     h = events.headers(raw_lines(spark, d)).select("battle_id", "player1", "player2")
     return windows.both_sides(h, ["player1"], ["player2"], ["own_player"], ["foe_player"])
@@ -531,7 +531,7 @@ def q1(spark, d):
     return checks.unfinished(raw_lines(spark, d))
 
 
-@query("Q2_rules", f"""WITH {_HEAD_SQL} SELECT battle_id, CASE WHEN rules LIKE '%Scalemons Mod%' THEN 'Scalemons' ELSE 'NoSpeciesClause' END AS reason
+@query("Q2_rules", f"""WITH {HEAD_SQL} SELECT battle_id, CASE WHEN rules LIKE '%Scalemons Mod%' THEN 'Scalemons' ELSE 'NoSpeciesClause' END AS reason
 FROM heads WHERE rules LIKE '%Scalemons Mod%' OR rules NOT LIKE '%Species Clause%'""", ("raw_battles",))
 def q2(spark, d):
     return checks.rule_violations(events.headers(raw_lines(spark, d)))
