@@ -103,13 +103,16 @@ def pattern(keys: Sequence[Column], fields: Sequence[Column], members: Column) -
 
 def generalisations(keys: Sequence[Column], fields: Sequence[Column], members: Column) -> Column:
     """Patterns of all records that fit this one: 2^(known fields + members) at most."""
-    hidden = F.lit(_HIDDEN)
-    heads = F.array(F.array(*[c.cast("string") for c in keys])) if keys else F.array(F.array().cast("array<string>"))
+    hidden = F.array(F.lit(_HIDDEN))
+
+    def extend(heads: Column, field: Column) -> Column:
+        value = field.cast("string")
+        return F.flatten(F.transform(heads, lambda h: F.when(value.isNull(), F.array(F.concat(h, hidden))).otherwise(
+            F.array(F.concat(h, hidden), F.concat(h, F.array(value))))))
+
+    heads = F.array(F.array(*[c.cast("string") for c in keys]).cast("array<string>"))
     for f in fields:
-        value = f.cast("string")
-        heads = F.flatten(F.transform(heads, lambda h, value=value: F.when(
-            value.isNull(), F.array(F.concat(h, F.array(hidden)))).otherwise(
-            F.array(F.concat(h, F.array(hidden)), F.concat(h, F.array(value))))))
+        heads = extend(heads, f)
     known = F.sort_array(F.array_distinct(F.array_compact(members.cast("array<string>"))))
     subsets = F.aggregate(known, F.array(F.array().cast("array<string>")), lambda acc, m: F.concat(
         acc, F.transform(acc, lambda s: F.concat(s, F.array(m)))))
