@@ -93,21 +93,23 @@ def natural_number(s: Column) -> Column:
 
 
 def member_species(header: Column) -> Column:
-    """Species of a team block's first line ``Nick (Species) (M) @ Item``."""
-    name = F.trim(F.split(header, " @ ")[0])
-    name = F.trim(F.regexp_replace(name, r"\((M|F)\)\s*$", ""))
-    inner = F.regexp_extract(name, r"\(([^()]+)\)\s*$", 1)
-    return F.when(inner != "", F.trim(inner)).otherwise(name)
+    """Species of a team block's first line ``Nick (Species) (M) @ Item``: the first parenthesis that is no
+    gender mark, else the line without parentheses."""
+    name = F.trim(F.split(header, "@")[0])
+    inner = F.filter(F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda c: F.trim(c)),
+                     lambda c: ~F.upper(c).isin("M", "F"))
+    return F.coalesce(F.try_element_at(inner, F.lit(1)), F.trim(F.regexp_replace(name, r"\s*\([^)]*\)", "")))
 
 
 def member_item(header: Column) -> Column:
-    return F.nullif(F.trim(F.try_element_at(F.split(header, " @ "), F.lit(2))), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(header, "@(.*)$", 1)), F.lit(""))
 
 
 def member_moves(lines: Column) -> Column:
-    """Moves of a team block: lines that start with a dash."""
+    """Moves of a team block: lines that start with a dash; of several options the first."""
     marked = F.filter(lines, lambda x: F.trim(x).startswith("-"))
-    return F.transform(marked, lambda x: F.trim(F.regexp_replace(F.trim(x), r"^-\s*", "")))
+    first = lambda x: F.trim(F.split(F.regexp_replace(F.trim(x), r"^-\s*", ""), "/")[0])
+    return F.filter(F.transform(marked, first), lambda m: m != "")
 
 
 def labelled(lines: Column, label: str) -> Column:

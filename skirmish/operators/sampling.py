@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from ..functions.hashing import draw_key, shuffle_segment, uniform
+from ..functions.hashing import draw_key, fast_uniform, shuffle_segment, uniform
 from ..session import materialise
 from .ordered import ranked, top_per
 from .pairs import unordered_pairs
@@ -324,12 +324,15 @@ def option_lists(usage: DataFrame, entity: str, skip: Sequence[str] = ("Other",
     return good.groupBy(entity, "field").agg(F.sort_array(F.collect_list(F.struct("key", "share"))).alias("options"))
 
 
+def _timed(options: Column, seed: int | str, *key: Column) -> Column:
+    """Options with the arrival times of an exponential race."""
+    return F.transform(options, lambda o: F.struct(
+        (-F.ln(fast_uniform(seed, *key, o["key"])) / o["share"]).alias("t"), o["key"].alias("k")))
+
+
 def _arrivals(options: Column, seed: int | str, *key: Column) -> Column:
     """Option keys in the order of a weighted draw without replacement."""
-    keyed = F.transform(options, lambda o: F.struct(
-        (-F.ln((F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *key, o["key"])), 1, 8), 16, 10).cast("double") + 0.5)
-               / F.lit(4294967296.0)) / o["share"]).alias("t"), o["key"].alias("k")))
-    return F.transform(F.sort_array(keyed), lambda x: x["k"])
+    return F.transform(F.sort_array(_timed(options, seed, *key)), lambda x: x["k"])
 
 
 def form_free(name: Column) -> Column:
@@ -346,18 +349,18 @@ def complete_roster(teams: DataFrame, team: str, members: str, teammates: DataFr
     ``teammates`` comes from :func:`option_lists`; a team that no member can extend keeps its gaps.
     """
     lists = materialise(teammates.where("field = 'teammates'").select(
-        F.col(entity).alias("_starter"), F.col("options").alias("_o")), "teammates")
+        F.col(entity).alias("_starter"), F.transform("options", lambda o: F.struct(
+            o["key"].alias("key"), o["share"].alias("share"), form_free(o["key"]).alias("form"))).alias("_o")), "teammates")
     rows = teams
     id_ = F.col(team).cast("string")
+    nobody = F.array().cast("array<string>")
     for r in range(size * 2 - 2):
         at = F.pmod(F.floor(uniform(f"{seed}s{r}", team) * F.size(members)) + r, F.size(members))
         rows = rows.withColumn("_starter", F.when(F.size(members) < size, F.try_element_at(members, at.cast("int") + 1)))
-        rows = rows.join(lists, "_starter", "left")
-        have = F.transform(members, form_free)
-        fresh = F.filter("_o", lambda o: ~F.array_contains(have, form_free(o["key"])))
-        pick = F.try_element_at(_arrivals(fresh, f"{seed}t{r}", id_), F.lit(1))
-        rows = rows.withColumn(members, F.when(pick.isNotNull(), F.concat(members, F.array(pick))).otherwise(F.col(members)))
-        rows = rows.drop("_o", "_starter")
+        rows = rows.withColumn("_have", F.transform(members, form_free)).join(lists, "_starter", "left")
+        fresh = F.filter("_o", lambda o: ~F.array_contains("_have", o["form"]))
+        pick = F.transform(F.slice(F.array_sort(_timed(fresh, f"{seed}t{r}", id_)), 1, 1), lambda x: x["k"])
+        rows = rows.withColumn(members, F.concat(F.col(members), F.coalesce(pick, nobody))).drop("_o", "_starter", "_have")
     return rows
 
 

@@ -113,7 +113,7 @@ def w6(spark, d):
     return out.select("conv_id", "turn", F.md5("text").alias("state"), F.col("role").alias("actor"), "next_state")
 
 
-_REWARD_SQL = """
+REWARD_SQL = """
 WITH l AS (SELECT *, lag(base) OVER w AS p_base, lag(hp) OVER w AS p_hp, lag(status) OVER w AS p_status,
   lag(bench_base) OVER w AS p_bb, lag(bench_hp) OVER w AS p_bh, lag(foe_base) OVER w AS p_fb, lag(foe_hp) OVER w AS p_fh,
   lag(foe_status) OVER w AS p_fs, lag(n_switches) OVER w AS p_n, lag(foes_left) OVER w AS p_l FROM steps0
@@ -145,13 +145,13 @@ def rewarded(spark, d, weights):
         "event_id", F.round(rewards.transition_reward(F.col("prev"), F.col("state"), weights), 6).alias("reward"))
 
 
-query("W7_shaped_reward", _REWARD_SQL.format(
+query("W7_shaped_reward", REWARD_SQL.format(
     "dmg + gain + 0.5 * (gave - took) + removed - lostm + CASE WHEN won THEN 100 WHEN lost THEN -100 ELSE 0 END"),
     ("steps0",))(lambda spark, d: rewarded(spark, d, rewards.SHAPED))
-query("W8_aggressive_reward", _REWARD_SQL.format(
+query("W8_aggressive_reward", REWARD_SQL.format(
     "dmg + gain + 2 * (removed - lostm) + CASE WHEN won THEN 200 ELSE 0 END"),
     ("steps0",))(lambda spark, d: rewarded(spark, d, rewards.AGGRESSIVE))
-query("W8_terminal_reward", _REWARD_SQL.format("CAST(CASE WHEN won THEN 100 WHEN lost THEN -100 ELSE 0 END AS DOUBLE)"),
+query("W8_terminal_reward", REWARD_SQL.format("CAST(CASE WHEN won THEN 100 WHEN lost THEN -100 ELSE 0 END AS DOUBLE)"),
       ("steps0",))(lambda spark, d: rewarded(spark, d, rewards.TERMINAL))
 
 
