@@ -319,17 +319,16 @@ def vocabulary(words: DataFrame, word: str, known: DataFrame | None = None) -> D
     if known is None:
         return ranked(fresh, [], F.substring(word, 1, 3), [word], "id")
     fresh = fresh.join(known.select(word), word, "left_anti")
-    base = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base")).withColumn("_one", F.lit(1))
-    placed = ranked(fresh, [], F.substring(word, 1, 3), [word], "_r").withColumn("_one", F.lit(1)).join(base, "_one")
+    base = known.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    placed = ranked(fresh, [], F.substring(word, 1, 3), [word], "_r")
     return known.select(word, F.col("id").cast("bigint").alias("id")).unionByName(
-        placed.select(word, (F.col("_r") + F.col("_base")).alias("id")))
+        placed.select(word, (F.col("_r") + base).alias("id")))
 
 
 def mixture_summary(files: DataFrame, source: str, weights: DataFrame, weight: str = "weight") -> DataFrame:
     """Files, weight and normalised weight per source, and a total row (null source)."""
-    rows = files.groupBy(source).agg(F.count("*").alias("files")).join(weights, source, "left")
-    total = weights.agg(F.sum(weight).alias("_all")).withColumn("_one", F.lit(1))
-    rows = rows.withColumn("_one", F.lit(1)).join(total, "_one").withColumn("_norm", F.col(weight) / F.col("_all"))
+    rows = files.groupBy(source).agg(F.count("*").alias("files")).join(weights, source, "left").withColumn(
+        "_norm", F.col(weight) / weights.agg(F.sum(weight)).scalar())
     return rows.rollup(source).agg(F.sum("files").alias("files"), F.sum(weight).alias("weight"),
                                    F.sum("_norm").alias("normalised"))
 

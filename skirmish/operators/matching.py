@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import half_year_start
 from ..functions.records import gap_fill_moves
+from ..session import materialise
 from .ordered import top_per
 from .pairs import unordered_pairs  # noqa: F401  (policy pairs)
 
@@ -52,9 +54,8 @@ def half_year_lookup(battles: DataFrame, stats: DataFrame, on: Sequence[str], pl
     ``stats`` has one row per ``on`` and half-year (``bin_start``); battles outside the known span use its
     first or last half-year.
     """
-    span = stats.agg(F.min(bin_start).alias("_lo"), F.max(bin_start).alias("_hi")).withColumn("_one", F.lit(1))
-    rows = battles.withColumn("_one", F.lit(1)).join(span, "_one").withColumn(
-        bin_start, F.greatest(F.least(half_year_start(played), F.col("_hi")), F.col("_lo"))).drop("_lo", "_hi", "_one")
+    first, last = stats.agg(F.min(bin_start)).scalar(), stats.agg(F.max(bin_start)).scalar()
+    rows = battles.withColumn(bin_start, F.greatest(F.least(half_year_start(played), last), first))
     return rows.join(stats, [*on, bin_start], "left")
 
 
@@ -64,14 +65,17 @@ def layered_fallback(layers: Sequence[DataFrame], entity: Sequence[str]) -> Data
     Layers are ordered (tier, lower ranks, all tiers, all tiers of lower ranks); each has entity, field, key,
     share.  A field that only says ``Nothing`` counts as absent unless no layer knows more.
     """
-    rows = None
-    for i, layer in enumerate(layers):
-        part = layer.select(*entity, "field", "key", "share", F.lit(i).alias("layer"))
-        rows = part if rows is None else rows.unionByName(part)
-    quality = rows.groupBy(*entity, "field", "layer").agg(
-        ((F.count("*") == 1) & (F.max("key") == "Nothing") & (F.max("share") == 1.0)).alias("_empty"))
-    best = quality.groupBy(*entity, "field").agg(F.min_by("layer", F.struct("_empty", "layer")).alias("layer"))
-    return rows.join(best, [*entity, "field", "layer"])
+    parts = [layer.select(*entity, "field", "key", "share", F.lit(i).alias("layer")) for i, layer in enumerate(layers)]
+    return best_layer(reduce(DataFrame.unionByName, parts), entity)
+
+
+def best_layer(rows: DataFrame, entity: Sequence[str]) -> DataFrame:
+    """The same on one table with a ``layer`` number; one shuffle, groups hold the options of one field."""
+    field = Window.partitionBy(*entity, "field")
+    inside = Window.partitionBy(*entity, "field", "layer")
+    empty = (F.count("*").over(inside) == 1) & (F.col("key") == "Nothing") & (F.col("share") == 1.0)
+    scored = rows.withColumn("_empty", empty).withColumn("_best", F.min(F.struct("_empty", "layer")).over(field))
+    return scored.where(F.col("_best.layer") == F.col("layer")).drop("_empty", "_best")
 
 
 def two_step_lookup(df: DataFrame, stats: DataFrame, key: str, species: Column, base: Column) -> DataFrame:
@@ -129,11 +133,15 @@ def fits(record: Column, candidate: Column, fields: Sequence[str], sets: Sequenc
     return ok
 
 
-def distinct_records(df: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str) -> DataFrame:
-    """Distinct records with their number of copies and a ``pattern`` key; repeats never reach a join."""
+def distinct_records(df: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str, store: bool = False) -> DataFrame:
+    """Distinct records with their number of copies and a ``pattern`` key; repeats never reach a join.
+
+    ``store`` writes them to shared storage, for callers that use them several times.
+    """
     tidy = F.sort_array(F.array_distinct(F.array_compact(members)))
     out = df.groupBy(*keys, *fields, tidy.alias(members)).agg(F.count("*").alias("copies"))
-    return out.withColumn("pattern", pattern([F.col(k) for k in keys], [F.col(f) for f in fields], F.col(members)))
+    out = out.withColumn("pattern", pattern([F.col(k) for k in keys], [F.col(f) for f in fields], F.col(members)))
+    return materialise(out, "records") if store else out
 
 
 def _spread(records: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str) -> DataFrame:
@@ -161,10 +169,9 @@ def leaves(records: DataFrame, keys: Sequence[str], fields: Sequence[str], membe
 
 def leaf_weights(records: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str) -> DataFrame:
     """Leaves with the number of records, repeats included, that fit them."""
-    tips = leaves(records, keys, fields, members)
-    general = _spread(tips, keys, fields, members).select(F.col("pattern").alias("_tip"), F.col("_general").alias("pattern"))
-    sums = general.join(records.select("pattern", "copies"), "pattern").groupBy("_tip").agg(F.sum("copies").alias("weight"))
-    return tips.join(sums.withColumnRenamed("_tip", "pattern"), "pattern")
+    tips = _spread(leaves(records, keys, fields, members), keys, fields, members)
+    known = records.select(F.col("pattern").alias("_general"), F.col("copies").alias("_n"))
+    return tips.join(known, "_general").groupBy("pattern", *keys, *fields, members, "copies").agg(F.sum("_n").alias("weight"))
 
 
 def best_candidates(records: DataFrame, weighted: DataFrame, keys: Sequence[str], fields: Sequence[str],
@@ -208,19 +215,23 @@ def inverted_index(members: DataFrame, member: str, team: str, block: int = 1024
 def best_retrieval(wanted: DataFrame, members: DataFrame, request: str, team: str, name: str) -> DataFrame:
     """Best team per request: most wanted members, then best move overlap, then earlier names, then lowest id.
 
-    ``wanted`` has request, name, position and wanted moves; ``members`` has team, name, moves.
+    ``wanted`` has request, name, position and wanted_moves; ``members`` has team, name, moves.
     """
     asked = wanted.groupBy(request).agg(F.sum(F.size("wanted_moves")).alias("_asked"))
-    hits = wanted.join(members.select(team, name, "moves"), name)
-    per_name = hits.groupBy(request, team, name, "position").agg(
-        F.max(F.size(F.array_intersect("wanted_moves", "moves"))).alias("_o"))
-    per_team = per_name.groupBy(request, team).agg(
-        F.count("*").alias("matched"), F.sum("_o").alias("_o"),
-        F.sort_array(F.collect_list("position")).alias("positions"))
-    rows = per_team.join(asked, request).withColumn(
-        "ratio", F.coalesce(F.try_divide(F.col("_o"), F.col("_asked")), F.lit(0.0)))
-    return top_per(rows, [request], [F.desc("matched"), F.desc("ratio"), "positions", team], 1, "_place").select(
-        request, team, "matched", "ratio", "positions")
+    sets = members.groupBy(team, name).agg(F.collect_set("moves").alias("_sets"))
+    # Of two name sets of equal size the one with earlier names has the larger sum of bits.
+    bit = F.when(F.col("position") < 20, F.pow(F.lit(2), 19 - F.col("position")).cast("bigint")).otherwise(
+        F.raise_error(F.lit("a request holds at most 20 names")).cast("bigint"))
+    overlap = F.array_max(F.transform("_sets", lambda m: F.size(F.array_intersect("wanted_moves", m)))).cast("bigint")
+    names, moves = 1 << 45, 1 << 22
+    hits = wanted.join(sets, name).select(request, team, (names + moves * overlap + bit).alias("_v"))
+    per_team = hits.groupBy(request, team).agg(F.sum("_v").alias("_v"))
+    top = per_team.groupBy(request).agg(F.max("_v").alias("_v"))
+    best = per_team.join(top, [request, "_v"]).groupBy(request, "_v").agg(F.min(team).alias(team))
+    matched = F.floor(F.col("_v") / names)
+    shared = F.floor((F.col("_v") - matched * names) / moves)
+    return best.join(asked, request).select(
+        request, team, matched.alias("matched"), F.coalesce(F.try_divide(shared, F.col("_asked")), F.lit(0.0)).alias("ratio"))
 
 
 def payoff_table(scores: DataFrame, id_col: str, score: str, win: Callable[[Column, Column], Column]) -> DataFrame:

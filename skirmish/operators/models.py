@@ -103,8 +103,7 @@ def _one_sided(coef: DataFrame, plus: str, minus: str) -> DataFrame:
 
 
 def _centred(df: DataFrame) -> DataFrame:
-    mean = df.agg(F.avg("weight").alias("_mu")).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(mean, "_one").withColumn("weight", F.col("weight") - F.col("_mu")).drop("_mu", "_one")
+    return df.withColumn("weight", F.col("weight") - df.agg(F.avg("weight")).scalar())
 
 
 def fit_baseline(examples: DataFrame, key: str, a: str, b: str, y: str, val_fraction: float = 0.15, seed: int = 0,
@@ -237,10 +236,10 @@ def best_swaps(teams: DataFrame, team: str, members: str, pool: DataFrame, membe
     per_clause = top_per(pool, [clause], [F.desc(score), member], 2, "_i")
     heads = per_clause.groupBy(clause).agg(F.max(score).alias("_best")).orderBy(F.desc("_best"), clause).limit(size + 1)
     short = per_clause.join(heads.select(clause), clause).agg(F.sort_array(F.collect_list(F.struct(
-        F.col(score).alias("s"), F.negate(F.col(member)).alias("n"), F.col(clause).alias("c"), F.col(member).alias("m"))), asc=False).alias("_short")).withColumn("_one", F.lit(1))
+        F.col(score).alias("s"), F.negate(F.col(member)).alias("n"), F.col(clause).alias("c"), F.col(member).alias("m"))), asc=False))
     have = teams.select(team, F.posexplode(members).alias("slot", member)).join(pool, member)
     sets = have.groupBy(team).agg(F.collect_list(F.struct("slot", F.col(member).alias("m"), F.col(clause).alias("c"), F.col(score).alias("s"))).alias("_t"))
-    rows = sets.withColumn("_one", F.lit(1)).join(short, "_one").select(team, "_t", "_short", F.explode("_t").alias("x"))
+    rows = sets.withColumn("_short", short.scalar()).select(team, "_t", "_short", F.explode("_t").alias("x"))
     others = F.transform(F.filter("_t", lambda t: t["m"] != F.col("x.m")), lambda t: t["c"])
     ids = F.transform("_t", lambda t: t["m"])
     legal = F.filter("_short", lambda o: ~F.array_contains(ids, o["m"]) & ~F.array_contains(others, o["c"]))

@@ -18,11 +18,12 @@ def unordered_pairs(df: DataFrame, group: Sequence[str], item: str, block: int =
     """
     keys = [*group]
     rows = df.select(*keys, F.col(item).alias("_x"))
-    if not keys:
-        keys = ["_all"]
-        rows = rows.withColumn("_all", F.lit(0))
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_nb"))
-    tagged = rows.join(sizes, keys).withColumn("_b", F.pmod(F.hash("_x"), F.col("_nb")))
+    blocks = F.ceil(F.count("*") / block).cast("int").alias("_nb")
+    if keys:
+        sized = rows.join(rows.groupBy(*keys).agg(blocks), keys)
+    else:
+        sized = rows.withColumn("_nb", rows.agg(blocks).scalar())
+    tagged = sized.withColumn("_b", F.pmod(F.hash("_x"), F.col("_nb")))
     lo = tagged.select(*keys, F.col("_x").alias("_x1"), F.col("_b").alias("_lo"),
                        F.explode(F.sequence("_b", F.col("_nb") - 1)).alias("_hi"))
     hi = tagged.select(*keys, F.col("_x").alias("_x2"),

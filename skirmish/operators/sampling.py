@@ -19,7 +19,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions.hashing import draw_key, fast_uniform, shuffle_segment, uniform
-from ..session import materialise
+from ..session import materialise, spread
 from .ordered import ranked, top_per
 from .pairs import unordered_pairs
 
@@ -103,12 +103,10 @@ def annealed_weights(mixture: DataFrame, epochs: int, ramp: int, human: str) ->
     """
     is_human = F.col("source") == human
     w = F.col("normalised")
-    totals = mixture.agg(F.sum(F.when(~F.col("is_new") & ~is_human, w)).alias("_old"),
-                         F.sum(F.when(F.col("is_new"), w)).alias("_new")).withColumn("_one", F.lit(1))
-    start = F.when(is_human, w).when(F.col("is_new"), 0.0).otherwise(
-        w * (1 + F.coalesce(F.col("_new"), F.lit(0.0)) / F.col("_old")))
-    rows = mixture.withColumn("_one", F.lit(1)).join(totals, "_one").withColumn("_w0", start)
-    grid = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    old = mixture.agg(F.sum(F.when(~F.col("is_new") & ~is_human, w))).scalar()
+    new = mixture.agg(F.coalesce(F.sum(F.when(F.col("is_new"), w)), F.lit(0.0))).scalar()
+    start = F.when(is_human, w).when(F.col("is_new"), 0.0).otherwise(w * (1 + new / old))
+    grid = mixture.withColumn("_w0", start).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     raw = F.col("_w0") + (F.col("epoch") + 1) * (w - F.col("_w0")) / ramp
     value = F.greatest(F.least(raw, F.greatest("_w0", w)), F.least("_w0", w))
     return grid.select("source", "epoch", value.alias("weight"))
@@ -144,9 +142,7 @@ def group_quotas(df: DataFrame, group: str, key: Sequence[str], n: int, seed: in
         share = df.groupBy(group).agg(F.count("*").alias("_w"))
     else:
         share = weights.select(group, F.col(weight).alias("_w"))
-    total = share.agg(F.sum("_w").alias("_all")).withColumn("_one", F.lit(1))
-    quota = share.withColumn("_one", F.lit(1)).join(total, "_one").select(
-        group, F.round(n * F.col("_w") / F.col("_all")).alias("_q"))
+    quota = share.select(group, F.round(n * F.col("_w") / share.agg(F.sum("_w")).scalar()).alias("_q"))
     return rows.join(quota, group).where(F.col("_place") <= F.col("_q")).drop("_place", "_n", "_q")
 
 
@@ -158,19 +154,21 @@ def random_teams(samples: DataFrame, key: str, pool: DataFrame, member: str, cla
                  seed: int | str) -> DataFrame:
     """One random legal team per row of ``samples``: ``size`` clause groups, one member of each.
 
-    The pool (one entry per entity of a game) travels as one row; every team is drawn inside its row.
+    The pool (one entry per entity of a game, at most 20,000) travels as one value; every team is drawn inside
+    its row.
     """
+    if pool.limit(20_001).count() > 20_000:
+        raise ValueError("the pool of random_teams is limited to 20,000 members")
     groups = pool.groupBy(clause).agg(F.sort_array(F.collect_set(member)).alias("m"))
-    listed = groups.agg(F.sort_array(F.collect_list(F.struct(F.col(clause).cast("string").alias("g"), "m"))).alias("_pool")
-                        ).withColumn("_one", F.lit(1))
-    rows = samples.withColumn("_one", F.lit(1)).join(listed, "_one")
+    listed = groups.agg(F.sort_array(F.collect_list(F.struct(F.col(clause).cast("string").alias("g"), "m"))))
+    rows = spread(samples, key).withColumn("_pool", listed.scalar())
     id_ = F.col(key).cast("string")
     keyed = F.transform("_pool", lambda p: F.struct(
         F.md5(F.concat_ws(":", F.lit(f"{seed}g"), id_, p["g"])).alias("h"), p.alias("p")))
     chosen = _first(F.sort_array(keyed), size)
     member_of = lambda c: F.sort_array(F.transform(c["p"]["m"], lambda m: F.struct(
         F.md5(F.concat_ws(":", F.lit(f"{seed}m"), id_, m.cast("string"))).alias("h"), m.alias("m"))))[0]["m"]
-    return rows.withColumn("team", F.sort_array(F.transform(chosen, member_of))).drop("_pool", "_one")
+    return rows.withColumn("team", F.sort_array(F.transform(chosen, member_of))).drop("_pool")
 
 
 def uncertain_pairs(bank: DataFrame, team: str, score: str, n: int, seed: int | str, uniform_mix: float = 0.25,
@@ -351,7 +349,7 @@ def complete_roster(teams: DataFrame, team: str, members: str, teammates: DataFr
     lists = materialise(teammates.where("field = 'teammates'").select(
         F.col(entity).alias("_starter"), F.transform("options", lambda o: F.struct(
             o["key"].alias("key"), o["share"].alias("share"), form_free(o["key"]).alias("form"))).alias("_o")), "teammates")
-    rows = teams
+    rows = spread(teams, team)
     id_ = F.col(team).cast("string")
     nobody = F.array().cast("array<string>")
     for r in range(size * 2 - 2):
@@ -395,7 +393,7 @@ def complete_members(members: DataFrame, key: Sequence[str], entity: str, option
     wide = options.groupBy(entity).agg(*[
         F.first(F.when(F.col("field") == f, F.col("options")), ignorenulls=True).alias(f"_o_{f}")
         for f in [*fields.values(), "moves"]])
-    rows = members.join(wide, entity, "left")
+    rows = spread(members, *key).join(wide, entity, "left")
     parts = [F.col(k).cast("string") for k in key]
     empty = F.array().cast("array<struct<key:string,share:double>>")
     opt = lambda f: F.coalesce(F.col(f"_o_{f}"), empty)

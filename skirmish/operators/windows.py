@@ -154,12 +154,11 @@ def sequence_weights(df: DataFrame, seq: Sequence[str], advantage: Column, steep
         "_seg", F.floor(F.col("mean_adv") / width))
     below = running(values, [], "_seg", ["mean_adv"], {"_upto": ("sum", F.col("_c"))})
     below = below.select("mean_adv", (F.col("_upto") - F.col("_c")).alias("_below"))
-    total = means.groupBy().agg(F.count("*").alias("_n")).withColumn("_k", F.lit(1))
-    pct = F.col("_below") / F.col("_n")
-    return (means.join(below, "mean_adv").withColumn("_k", F.lit(1)).join(total, "_k")
-            .withColumn("percentile", pct)
+    pct = F.col("percentile")
+    return (means.join(below, "mean_adv")
+            .withColumn("percentile", F.col("_below") / means.agg(F.count("*")).scalar())
             .withColumn(name, floor + (1.0 - floor) / (1.0 + F.exp(-steepness * (pct - center))))
-            .drop("_below", "_n", "_k"))
+            .drop("_below"))
 
 
 def intervals(df: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], is_start: Column,

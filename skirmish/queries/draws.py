@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import records as rec
 from ..operators import aggregates as agg
 from ..operators import models, sampling as sp
+from ..operators.pairs import unordered_pairs
 from ..operators.sets import with_mirror
 from .base import query, table, view
 from .stats import two_sided_log
@@ -61,9 +62,7 @@ s AS (SELECT source, w, CASE WHEN source = 'src0' THEN w WHEN is_new THEN 0 ELSE
 SELECT source, CAST(epoch AS INT) AS epoch, round(greatest(least(w0 + (epoch + 1) * (w - w0) / 10, greatest(w0, w)), least(w0, w)), 6) AS weight FROM s""")
 def r5(spark, d):
     counts = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("all")).withColumn("_one", F.lit(1))
-    mix = counts.withColumn("_one", F.lit(1)).join(total, "_one").select(
-        "source", (F.col("n") / F.col("all")).alias("normalised"), F.col("source").endswith("7").alias("is_new"))
+    mix = counts.select("source", (F.col("n") / counts.agg(F.sum("n")).scalar()).alias("normalised"), F.col("source").endswith("7").alias("is_new"))
     return sp.annealed_weights(mix, 12, 10, "src0").withColumn("weight", F.round("weight", 6))
 
 
@@ -258,8 +257,8 @@ SELECT l_orderkey, round(m.x - f.x + coalesce(v.x, 0), 6) AS logit FROM m JOIN f
 def d5(spark, d):
     main = thetas(spark, d).select(F.lit("main").alias("kind"), F.col("member").cast("string").alias("term"), "weight")
     n = table(spark, d, "nation").select("n_nationkey")
-    others = n.groupBy().agg(F.collect_list("n_nationkey").alias("j")).withColumn("_one", F.lit(1))  # 25 nations
-    pairs = n.withColumn("_one", F.lit(1)).join(others, "_one").select(F.col("n_nationkey").alias("i"), F.explode("j").alias("j")).where("i <> j")
+    both = unordered_pairs(n, [], "n_nationkey")
+    pairs = both.select(F.col("a").alias("i"), F.col("b").alias("j")).unionByName(both.select(F.col("b").alias("i"), F.col("a").alias("j")))
     match = pairs.select(F.lit("matchup").alias("kind"), F.concat_ws(",", F.col("i").cast("string"), F.col("j").cast("string")).alias("term"),
                          ((F.col("i") - F.col("j")) / 100.0).alias("weight"))
     out = models.make_scorer("interaction")(basket_examples(spark, d), "l_orderkey", "a", "b", main.unionByName(match))

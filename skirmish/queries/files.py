@@ -386,7 +386,7 @@ def d4_usage(spark, d):
 def d4_replay(spark, d):
     from ..operators import matching
     m = members(spark, d)
-    weighted = matching.leaf_weights(matching.distinct_records(m, ["entity"], ["item", "ability"], "moves"), ["entity"], ["item", "ability"], "moves")
+    weighted = matching.leaf_weights(matching.distinct_records(m, ["entity"], ["item", "ability"], "moves", store=True), ["entity"], ["item", "ability"], "moves")
     out = registry.PREDICTORS.get("replay")(m, weighted)
     return out.select("team_id", "slot", "item", "ability", F.array_join("moves", ",").alias("moves"))
 

@@ -66,13 +66,12 @@ SELECT entity, field, layer, key, round(share, 4) AS share FROM u JOIN b USING (
 def j4(spark, d):
     usage, counts = usage_tables(spark, d)
     m = usage.join(counts, UNIT).where("usage_rank > 0").groupBy("usage_rank", "tier", "entity", "field", "key").agg(
-        F.sum(F.col("share") * F.col("n")).alias("share"))
-    pick = lambda rank, tier: m.where((F.col("usage_rank") == rank) & (F.col("tier") == tier))
-    blank = (F.col("entity") % 3 == 0) & (F.col("field") == "moves")
-    first = pick(1760, "ou").withColumn("key", F.when(blank, "Nothing").otherwise(F.col("key"))).withColumn(
-        "share", F.when(blank, 1.0).otherwise(F.col("share"))).distinct()
-    layers = [first, pick(1500, "ou"), pick(1760, "uu"), pick(1500, "uu")]
-    return mt.layered_fallback(layers, ["entity"]).withColumn("share", F.round("share", 4))
+        F.sum(F.col("share") * F.col("n")).alias("w"))
+    layer = F.when(F.col("tier") == "ou", 0).otherwise(2) + F.when(F.col("usage_rank") == 1760, 0).otherwise(1)
+    blank = (F.col("layer") == 0) & (F.col("entity") % 3 == 0) & (F.col("field") == "moves")
+    rows = m.withColumn("layer", layer).groupBy("entity", "field", "layer", F.when(blank, "Nothing").otherwise(F.col("key")).alias("key")).agg(
+        F.max(F.when(blank, 1.0).otherwise(F.col("w"))).alias("share"))
+    return mt.best_layer(rows, ["entity"]).withColumn("share", F.round("share", 4))
 
 
 @query("J5_two_step_lookup", """WITH s AS (SELECT p_brand AS key, count(*) AS n, sum(p_size) AS total FROM part GROUP BY 1),
@@ -96,7 +95,7 @@ _FITS = """p.name = c.name AND len(p.moves) <= len(c.moves) AND (p.item IS NULL
 
 def distinct_records(spark, d):
     r = view(spark, d, "records").select("name", *_FIELDS, F.array("mv0", "mv1", "mv2", "mv3").alias("moves"))
-    return mt.distinct_records(r, _KEYS, _FIELDS, "moves")
+    return mt.distinct_records(r, _KEYS, _FIELDS, "moves", store=True)
 
 
 def shown(c=None):
@@ -165,19 +164,17 @@ w AS (SELECT c_custkey AS req, unnest([0, 1, 2]) AS position FROM customer),
 q AS (SELECT req, position, (req * 7 + position * 13) % (SELECT count(*) FROM supplier) AS name, [req % 20, (req + position) % 20] AS wm FROM w),
 a AS (SELECT req, sum(len(wm)) AS asked FROM q GROUP BY 1),
 h AS (SELECT req, team, count(*) AS matched, sum(len(list_intersect(list_distinct(wm), moves))) AS o, list(position ORDER BY position) AS positions FROM q JOIN m USING (name) GROUP BY 1, 2)
-SELECT req, team, matched, round(CAST(o / asked AS DOUBLE), 6) AS ratio, array_to_string(positions, ',') AS positions FROM h JOIN a USING (req)
+SELECT req, team, matched, round(CAST(o / asked AS DOUBLE), 6) AS ratio FROM h JOIN a USING (req)
 QUALIFY row_number() OVER (PARTITION BY req ORDER BY matched DESC, o / asked DESC, positions, team) = 1""")
 def j12(spark, d):
     members = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("team"), F.col("l_suppkey").alias("name")).agg(
         F.collect_set(F.col("l_partkey") % 20).alias("moves"))
-    n = table(spark, d, "supplier").agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
-    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("req"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("position"),
-                                               F.lit(1).alias("_one")).join(n, "_one")
+    n = table(spark, d, "supplier").agg(F.count("*")).scalar()
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("req"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("position")).withColumn("n", n)
     wanted = asked.select("req", "position", ((F.col("req") * 7 + F.col("position") * 13) % F.col("n")).alias("name"),
                           F.array(F.col("req") % 20, (F.col("req") + F.col("position")) % 20).alias("wanted_moves"))
     out = mt.best_retrieval(wanted, members, "req", "team", "name")
-    return out.select("req", "team", "matched", F.round("ratio", 6).alias("ratio"),
-                      F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+    return out.select("req", "team", "matched", F.round("ratio", 6).alias("ratio"))
 
 
 @query("J15_team_file_join", """SELECT o_orderkey, c_custkey, 'teams-gen1ou-team_' || o_custkey AS team FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 = 0""")

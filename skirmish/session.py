@@ -66,3 +66,9 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows into as many parts as shuffles use.  For narrow rows with heavy work per row,
+    where a few small input files would otherwise keep most cores idle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

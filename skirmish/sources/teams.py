@@ -11,8 +11,8 @@ from ..functions import text as tx
 
 
 def read_team_files(spark: SparkSession, roots: Sequence[str], glob: str = "*_team") -> DataFrame:
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-            .text(list(roots)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+            .text(list(roots), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
 
 
 def parse_teams(files: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:

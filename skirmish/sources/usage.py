@@ -17,8 +17,8 @@ DEFAULT_RANK = 1500
 
 
 def read_reports(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
-            .text(list(roots)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
+            .text(list(roots), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
 
 
 def report_rank(file_name: Column, fmt: Column) -> Column:
