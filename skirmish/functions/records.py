@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import clean_name
@@ -54,6 +54,20 @@ def team_error(ids: Column, size: int | None = None) -> Column:
     return bad if size is None else bad.when(F.size(ids) != size, "TeamSize")
 
 
+def canonical_teams(rows: DataFrame, team: str, member: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Teams of exactly ``size`` different members as sorted arrays, and the others with a reason.
+
+    Sizes are counted before members are gathered, so an oversized team is never collected.
+    """
+    counts = rows.groupBy(team, member).agg(F.count("*").alias("_n")).groupBy(team).agg(
+        F.max("_n").alias("_most"), F.count("*").alias("_members"))
+    reason = F.when(F.col("_most") > 1, "DuplicateMember").when(F.col("_members") != size, "TeamSize")
+    judged = counts.select(team, reason.alias("reason"))
+    good = rows.join(judged.where("reason IS NULL").select(team), team, "left_semi").groupBy(team).agg(
+        F.sort_array(F.collect_list(member)).alias("members"))
+    return good, judged.where("reason IS NOT NULL")
+
+
 def parse_team_ids(raw: Column) -> Column:
     """Ids from text separated by commas or blanks."""
     parts = F.filter(F.split(F.trim(F.regexp_replace(raw, ",", " ")), r"\s+"), lambda p: p != "")

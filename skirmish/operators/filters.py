@@ -116,11 +116,16 @@ def without_sentinels(df: DataFrame, value: Column, sentinels: Sequence[str] = (
     return df.where(value.isNotNull() & ~F.lower(value).isin(*sentinels))
 
 
-def conflict_free(df: DataFrame, items: str, conflicts: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Sets without repeats and without a forbidden pair (``conflicts`` has columns ``x``, ``y``)."""
-    plain = df.where(F.size(F.array_distinct(items)) == F.size(items))
-    have = plain.select(*key, F.explode(items).alias("x"), items)
-    hit = have.join(conflicts, "x").where(F.array_contains(items, F.col("y"))).select(*key)
+def conflict_free(rows: DataFrame, key: Sequence[str], item: str, conflicts: DataFrame) -> DataFrame:
+    """Keys of sets (one row per item) without repeats and without a forbidden pair.
+
+    ``conflicts`` has columns ``x``, ``y``; a set of any size stays in rows.
+    """
+    counted = rows.groupBy(*key, item).agg(F.count("*").alias("_n"))
+    plain = counted.groupBy(*key).agg(F.max("_n").alias("_n")).where("_n = 1").select(*key)
+    have = counted.select(*key, F.col(item).alias("x"))
+    wants = have.join(conflicts, "x").select(*key, F.col("y").alias("x"))
+    hit = wants.join(have, [*key, "x"], "left_semi").select(*key)
     return plain.join(hit, [*key], "left_anti")
 
 
@@ -128,6 +133,12 @@ def score_floor(df: DataFrame, score: Column, floor: float | None) -> DataFrame:
     return df if floor is None else df.where(score >= floor)
 
 
+def clause_legality(rows: DataFrame, team: Sequence[str], clause: Column, name: str = "legal") -> DataFrame:
+    """Whether a team (one row per member) has one member per clause group."""
+    groups = rows.groupBy(*team, clause.alias("_c")).agg(F.count("*").alias("_n"))
+    return groups.groupBy(*team).agg((F.max("_n") == 1).alias(name))
+
+
 def one_per_clause(team: Column, clause_of: Mapping[str, str] | None = None) -> Column:
     """True when no two members share a clause key; by default the key is the cleaned name."""
     if clause_of is None:

@@ -513,10 +513,8 @@ def a26(spark, d):
     return events.type_counts(log(spark, d), KEY)
 
 
-@query("J19_both_sides", """
-SELECT battle_id, 1 AS pov, player1 AS own_player, player2 AS foe_player FROM h UNION ALL
-SELECT battle_id, 2, player2, player1 FROM h""".replace("FROM h", "FROM heads").replace(
-    "SELECT battle_id, 1", f"WITH {HEAD_SQL} SELECT battle_id, 1", 1), ("raw_battles",))
+@query("J19_both_sides", f"""WITH {HEAD_SQL} SELECT battle_id, 1 AS pov, player1 AS own_player, player2 AS foe_player FROM heads
+UNION ALL SELECT battle_id, 2, player2, player1 FROM heads""", ("raw_battles",))
 def j19(spark, d):
     h = events.headers(raw_lines(spark, d)).select("battle_id", "player1", "player2")
     return windows.both_sides(h, ["player1"], ["player2"], ["own_player"], ["foe_player"])

@@ -276,8 +276,9 @@ y AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY gain DESC, s
 SELECT l_orderkey, CAST(slot AS INT) AS slot, out_m, in_m, gain FROM y WHERE rn = 1 AND gain > 0""")
 def r18(spark, d):
     pool = table(spark, d, "supplier").select(F.col("s_suppkey").alias("m"), (F.col("s_suppkey") % 40).alias("c"), F.round("s_acctbal", 2).alias("s"))
-    teams = table(spark, d, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 40).alias("c")).agg(F.min("l_suppkey").alias("m"))
-    teams = teams.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("m")).alias("members")).where(F.size("members") <= 6)
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 40).alias("c")).agg(F.min("l_suppkey").alias("m"))
+    small = rows.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n <= 6").select("l_orderkey")
+    teams = rows.join(small, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("m")).alias("members"))
     out = models.best_swaps(teams, "l_orderkey", "members", pool, "m", "c", "s")
     return out.select("l_orderkey", "slot", F.col("out").alias("out_m"), F.col("in").alias("in_m"), F.round("gain", 2).alias("gain"))
 
@@ -286,7 +287,9 @@ def r18(spark, d):
 WITH t AS (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS own, list_sort(list_distinct(list(l_partkey))) AS foe, arg_min(l_suppkey, l_linenumber * 1000000 + l_suppkey) AS lead FROM lineitem GROUP BY 1)
 SELECT l_orderkey, array_to_string(own, ',') AS own, array_to_string(foe, ',') AS foe, CAST(list_position(own, lead) - 1 AS INT) AS lead_index FROM t WHERE len(own) = 6 AND len(foe) = 6""")
 def r19(spark, d):
-    first = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
+    six = items.groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("o"), F.count_distinct("l_partkey").alias("f")).where("o = 6 AND f = 6")
+    first = items.join(six.select("l_orderkey"), "l_orderkey", "left_semi").groupBy("l_orderkey").agg(
         F.collect_set("l_suppkey").alias("o"), F.collect_set("l_partkey").alias("f"), F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("lead"))
     out = models.lead_examples(first, "l_orderkey", F.col("o"), F.col("f"), F.col("lead"))
     text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",").alias(c)

@@ -228,10 +228,11 @@ def s11(spark, d):
     return results.read_result_csv(spark, [csv_dir(spark, d)]).select("player", "result", "turns", "battle_id")
 
 
-@query("S12_examples", """SELECT l_orderkey % 1000 AS y_group, count(*) AS n, sum(len) AS ids FROM (SELECT l_orderkey, count(DISTINCT l_suppkey) AS len FROM lineitem GROUP BY 1) GROUP BY 1""".replace("l_orderkey % 1000 AS y_group", "l_orderkey % 2 AS y").replace("sum(len)", "CAST(sum(len) AS BIGINT)"))
+@query("S12_examples", """SELECT l_orderkey % 2 AS y, count(*) AS n, CAST(sum(len) AS BIGINT) AS ids
+FROM (SELECT l_orderkey, count(DISTINCT l_suppkey % 50) AS len FROM lineitem GROUP BY 1) GROUP BY 1""")
 def s12(spark, d):
     path = shared_path(spark, "examples")
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_suppkey").cast("int"))).alias("team_A"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set((F.col("l_suppkey") % 50).cast("int"))).alias("team_A"))
     rows = rows.select("team_A", F.col("team_A").alias("team_B"), (F.col("l_orderkey") % 2).cast("int").alias("y"))
     results.write_examples(rows.where("y = 0"), f"{path}/a")
     results.write_examples(rows.where("y = 1"), f"{path}/b")
@@ -440,9 +441,14 @@ def flow_team_set(spark, d):
     return out.select("team_id", "slot", "entity", "item", "ability", F.array_join("moves", ",").alias("moves"), F.round("revealed_score", 6).alias("revealed_score"))
 
 
-@query("flow_reward_by_opponent", REWARD_SQL.split("SELECT event_id, round")[0].strip() + f""", t AS ({'SELECT event_id, count(CASE WHEN event_type = ' + chr(39) + 'view' + chr(39) + ' THEN 1 END) OVER (PARTITION BY battle_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn FROM steps0'})
-SELECT foe_base, count(*) AS transitions, max(turn) AS longest, round(avg(dmg + gain + 0.5 * (gave - took) + removed - lostm + CASE WHEN won THEN 100 WHEN lost THEN -100 ELSE 0 END), 6) AS mean_reward,
- count(CASE WHEN won THEN 1 END) AS wins, round(count(CASE WHEN won THEN 1 END) / count(*), 6) AS win_rate FROM m JOIN t USING (event_id) GROUP BY 1""", ("steps0",))
+_FLOW_SQL = _SAMPLES_SQL + """, t AS (SELECT event_id, count(CASE WHEN event_type = 'view' THEN 1 END) OVER
+  (PARTITION BY battle_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn FROM steps0)
+SELECT foe_base, count(*) AS transitions, max(turn) AS longest, round(avg(dmg + gain + 0.5 * (gave - took) + removed - lostm
+  + CASE WHEN won THEN 100 WHEN lost THEN -100 ELSE 0 END), 6) AS mean_reward, count(CASE WHEN won THEN 1 END) AS wins,
+ round(count(CASE WHEN won THEN 1 END) / count(*), 6) AS win_rate FROM m JOIN t USING (event_id) GROUP BY 1"""
+
+
+@query("flow_reward_by_opponent", _FLOW_SQL, ("steps0",))
 def flow_reward(spark, d):
     """Events as battles: turns, states, transitions, rewards, and results by opponent."""
     from ..operators.ordered import neighbours, running

@@ -167,15 +167,25 @@ def x16(spark, d):
 
 
 @query("X18_canonical_teams", """
-WITH t AS (SELECT l_orderkey, list(l_suppkey % 10) AS ids FROM lineitem GROUP BY 1)
-SELECT l_orderkey, array_to_string(list_sort(list_distinct(ids)), ',') AS team,
- CASE WHEN len(list_distinct(ids)) <> len(ids) THEN 'DuplicateMember' WHEN len(ids) <> 4 THEN 'TeamSize' END AS error FROM t""")
+WITH t AS (SELECT l_orderkey, list(l_suppkey % 10) AS ids FROM lineitem GROUP BY 1),
+e AS (SELECT *, CASE WHEN len(list_distinct(ids)) <> len(ids) THEN 'DuplicateMember' WHEN len(ids) <> 4 THEN 'TeamSize' END AS error FROM t)
+SELECT l_orderkey, CASE WHEN error IS NULL THEN array_to_string(list_sort(ids), ',') END AS team, error FROM e""")
 def x18(spark, d):
-    raw = F.array_join(F.collect_list((F.col("l_suppkey") % 10).cast("string")), ", ")
-    teams = table(spark, d, "lineitem").groupBy("l_orderkey").agg(raw.alias("raw"))
-    teams = teams.withColumn("ids", records.parse_team_ids(F.col("raw")))
-    return teams.select("l_orderkey", F.array_join(F.transform(records.canonical_team(F.col("ids")), lambda i: i.cast("string")), ",").alias("team"),
-                        records.team_error(F.col("ids"), 4).alias("error"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 10).alias("m"))
+    good, bad = records.canonical_teams(rows, "l_orderkey", "m", 4)
+    null = F.lit(None).cast("string")
+    return good.select("l_orderkey", F.array_join(F.transform("members", lambda i: i.cast("string")), ",").alias("team"), null.alias("error")).unionByName(
+        bad.select("l_orderkey", null.alias("team"), F.col("reason").alias("error")))
+
+
+@query("X18_parsed_teams", """SELECT c_custkey, list_sort(list_distinct([c_custkey % 7, c_nationkey, c_custkey % 5]))::VARCHAR AS team,
+ CASE WHEN len(list_distinct([c_custkey % 7, c_nationkey, c_custkey % 5])) <> 3 THEN 'DuplicateMember' END AS error FROM customer""")
+def x18_parsed(spark, d):
+    k = F.col("c_custkey")
+    raw = F.concat((k % 7).cast("string"), F.lit(", "), F.col("c_nationkey").cast("string"), F.lit("  "), (k % 5).cast("string"))
+    rows = table(spark, d, "customer").select("c_custkey", records.parse_team_ids(raw).alias("ids"))
+    shown = F.concat(F.lit("["), F.array_join(F.transform(records.canonical_team(F.col("ids")), lambda i: i.cast("string")), ", "), F.lit("]"))
+    return rows.select("c_custkey", shown.alias("team"), records.team_error(F.col("ids")).alias("error"))
 
 
 _NM = "len(list_filter([mv0, mv1, mv2, mv3], lambda x: x IS NOT NULL))"
@@ -393,9 +403,9 @@ WITH t AS (SELECT l_orderkey, list(l_suppkey % 20 ORDER BY l_suppkey) AS ids FRO
 SELECT l_orderkey FROM t WHERE len(list_distinct(ids)) = len(ids) AND NOT (list_contains(ids, 3) AND list_contains(ids, 7))
  AND NOT (list_contains(ids, 1) AND list_contains(ids, 2))""")
 def f12(spark, d):
-    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_suppkey") % 20).alias("ids"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 20).alias("id"))
     conflicts = spark.createDataFrame([(3, 7), (1, 2)], "x long, y long")
-    return filters.conflict_free(t, "ids", conflicts, ["l_orderkey"]).select("l_orderkey")
+    return filters.conflict_free(rows, ["l_orderkey"], "id", conflicts)
 
 
 @query("F13_score_floor", "SELECT doc_id FROM documents WHERE n_chars >= 1000")
@@ -406,8 +416,8 @@ def f13(spark, d):
 @query("F15_clause_legality", """WITH t AS (SELECT l_orderkey, list(l_suppkey % 30) AS ids FROM lineitem GROUP BY 1)
 SELECT l_orderkey, CAST(len(list_distinct(list_transform(ids, lambda i: CASE WHEN i = 5 THEN 4 ELSE i END))) = len(ids) AS INT) AS legal FROM t""")
 def f15(spark, d):
-    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list((F.col("l_suppkey") % 30).cast("string")).alias("ids"))
-    return t.select("l_orderkey", filters.one_per_clause(F.col("ids"), {"5": "4"}).cast("int").alias("legal"))
+    clause = F.when(F.col("l_suppkey") % 30 == 5, 4).otherwise(F.col("l_suppkey") % 30)
+    return filters.clause_legality(table(spark, d, "lineitem"), ["l_orderkey"], clause).withColumn("legal", F.col("legal").cast("int"))
 
 
 # -- orders ------------------------------------------------------------------------
