@@ -84,7 +84,7 @@ def s3(spark, d):
     talk.select("conv_id", F.transform("s", lambda x: F.struct(x["text"].alias("weather"))).alias("states"),
                 F.concat(F.slice(size, F.lit(2), F.size("s")), F.array(F.lit(-1))).alias("actions")).write.json(path)
     rows = tj.read_trajectory_json(spark, [path], "conv_id BIGINT, " + tj.TRAJECTORY_SCHEMA, multi_line=False)
-    return tj.to_steps(rows, ["conv_id"]).select("conv_id", "t", F.md5("state.weather").alias("state"), "action")
+    return tj.to_steps(rows, ["conv_id"]).select("conv_id", "t", F.md5("state.weather").alias("state"), F.col("action").cast("bigint").alias("action"))
 
 
 def file_names(spark, d):

@@ -344,7 +344,7 @@ def a29(spark, d):
 SELECT CAST(sum(greatest(n - 1, 0)) AS BIGINT) AS transitions, max(m) AS longest, round(sum(s) / sum(n), 6) AS mean_size FROM p""")
 def a30(spark, d):
     out = agg.trajectory_sizes(table(spark, d, "conversations"), ["conv_id"], F.size(F.split("text", " ")))
-    return out.withColumn("mean_size", F.round("mean_size", 6))
+    return out.withColumn("mean_size", F.round("mean_size", 6)).withColumn("longest", F.col("longest").cast("bigint"))
 
 
 def strengths(spark, d):
@@ -394,5 +394,5 @@ def a33(spark, d):
 
 @query("A34_largest_token", "SELECT max(len(w)) AS largest FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents)")
 def a34(spark, d):
-    rows = table(spark, d, "documents").select(F.transform(F.split("text", " "), lambda w: F.length(w)).alias("tokens"))
+    rows = table(spark, d, "documents").select(F.transform(F.split("text", " "), lambda w: F.length(w).cast("bigint")).alias("tokens"))
     return agg.largest_token(rows, "tokens")
