@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from . import content_sort, mixing
+from . import content_sort, mixing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest doc_id of its component of near-duplicates."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query("op2_source_mix", r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -71,3 +77,20 @@ FROM d
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its equal texts that stays (largest doc_id)."""
     return content_sort.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+@_query("op6_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h
+      FROM d, unnest(generate_series(1, len(w) - 19)) AS t(i) WHERE len(w) >= 20),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM s),
+g AS (SELECT DISTINCT doc_id, i + k AS p FROM r, unnest(generate_series(0, 19)) AS t(k) WHERE n > 1),
+x AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)),
+              lambda z: gone IS NULL OR NOT list_contains(gone, z[2])), lambda z: z[1]), ' ')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+""")
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that repeat a 20-word window found earlier, and what is left."""
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), digest=True).drop("removed")
