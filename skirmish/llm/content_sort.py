@@ -2,6 +2,8 @@
 
 Sampled splitters range-partition the normalised texts (``repartitionByRange``), each partition is sorted
 externally, so that equal texts lie side by side, and a window compares each text with its neighbours in full.
+The sort order is that of the first characters, then a hash, then the whole text: the splitters, which the driver
+holds, stay short however long the texts are, and a beginning that very many texts share is split by the hash.
 A text with more than ``copies_per_run`` copies is dealt to as many runs as it needs, by a hash of the
 identifier; the sort keeps those runs apart and a sum over one row per run puts them together again.
 """
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .text import ascii_lower
 
+#: Characters of a text that a splitter holds.
+SPLITTER_CHARS = 16
+
 
 def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, copies_per_run: int,
                  carried: Column | None) -> DataFrame:
@@ -21,21 +26,21 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, copies_
         raise ValueError("keep is smallest or largest")
     rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm"),
                        *([carried.alias("row")] if carried is not None else []))
-    hot = materialise(rows.groupBy(F.xxhash64("norm").alias("h")).count().where(F.col("count") > copies_per_run),
-                      "hot-texts")
+    hashed = rows.withColumns({"start": F.substring("norm", 1, SPLITTER_CHARS), "h": F.xxhash64("norm")})
+    hot = materialise(hashed.groupBy(F.col("h").alias("hot")).count().where(F.col("count") > copies_per_run), "hot-texts")
     runs = F.ceil(F.col("count") / F.lit(copies_per_run))
-    dealt = (rows.join(hot, F.xxhash64("norm") == F.col("h"), "left")
-             .withColumn("run", F.when(F.col("h").isNull(), F.lit(-1))
+    dealt = (hashed.join(hot, F.col("h") == F.col("hot"), "left")
+             .withColumn("run", F.when(F.col("hot").isNull(), F.lit(-1))
                          .otherwise(F.pmod(F.xxhash64("id"), runs)).cast("long"))
-             .drop("h", "count")
-             .repartitionByRange("norm", "run"))
+             .drop("hot", "count")
+             .repartitionByRange("start", "h", "run"))
     best = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
-    group = Window.partitionBy("norm", "run")
+    group = Window.partitionBy("start", "h", "run", "norm")
     ordered = group.orderBy(best)
     return dealt.select(
         "*", F.row_number().over(ordered).alias("nth"), F.count(F.lit(1)).over(group).alias("run_size"),
         F.first("id").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("run_best"),
-    ).withColumn("digest", F.sha2("norm", 256)).drop("norm")
+    ).withColumn("digest", F.sha2("norm", 256)).drop("norm", "start", "h")
 
 
 def _joined_runs(runs: DataFrame, keep: str) -> DataFrame:
