@@ -84,7 +84,7 @@ def _ball(radius: int) -> list[int]:
 
 def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """(fingerprint, root) for each fingerprint reached from a smaller one over links within ``radius``."""
-    rest, out = np.sort(fps), []
+    rest, out = np.sort(fps).view(np.uint64), []
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
         front = np.array([root])
@@ -93,7 +93,7 @@ def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
             for part in np.array_split(front, len(front) // 256 + 1):
                 near |= (np.bitwise_count(part[:, None] ^ rest[None, :]) <= radius).any(0)
             front, rest = rest[near], rest[~near]
-            out += [(int(x), int(root)) for x in front]
+            out += [(x, int(root.view(np.int64))) for x in front.view(np.int64).tolist()]
     return out
 
 
