@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, shared_path
-from . import content_sort, mixing, packing, secrets, simhash, substrings, warc
+from . import content_sort, mixing, neighbours, packing, secret_scan, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,8 +124,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_secrets")
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: matches of the fixed patterns, and strings that look random."""
-    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in ("assign", "access", "hex")],
-                        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
-                        secrets.listed(F.col("all")).alias("spans"))
+                        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("all")).alias("spans"))
+
+
+@_query("op8_nearest")
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found of every 50th vector among all others."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
