@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, shared_path
-from . import content_sort, mixing, neighbours, packing, secret_scan, simhash, substrings, warc
+from . import content_sort, main_text, mixing, neighbours, packing, quality, secret_scan, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +136,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest found of every 50th vector among all others."""
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, by a model of the labelled documents outside fold 0."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(quality.remainder(F.col("doc_id")) == 0, F.lit(False))
+    return docs.select("doc_id", held_out.alias("held_out"), quality.score(docs, model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw documents to packed sequences."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
