@@ -142,18 +142,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         labels.where((remainder(F.col(id_col)) != 0) & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
         .orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample), "quality-labels")
-    known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # at most ``sample`` rows of two numbers
-    rows = known.select("_id", "_label", F.xxhash64(text_col).alias("_tie"), F.col(text_col).cast("binary").alias("_text"),
-                        _length(docs, length_col).alias("_stated"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("binary").alias("text"),
+                       _length(docs, length_col).alias("stated"))
+    known = rows.join(F.broadcast(chosen), F.col("id") == F.col("_id")).drop("_id")  # at most ``sample`` rows of two numbers
 
     def count(batches):
         for part in batches:
-            found = [features(t, s) for t, s in zip(part["_text"], part["_stated"])]
-            yield pd.DataFrame({"id": part["_id"], "tie": part["_tie"], "label": part["_label"],
+            found = [features(t, s) for t, s in zip(part["text"], part["stated"])]
+            yield pd.DataFrame({"id": part["id"], "tie": part["tie"], "label": part["_label"],
                                 "words": [w.astype(np.float16).tobytes() for w, _ in found],
                                 "statistics": [s.tobytes() for _, s in found]})
 
-    counted = materialise(rows.mapInPandas(count, "id long, tie long, label int, words binary, statistics binary"),
+    counted = materialise(known.mapInPandas(count, "id long, tie long, label int, words binary, statistics binary"),
                           "quality-features")
 
     def learn(batches):
