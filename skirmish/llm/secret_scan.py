@@ -79,11 +79,14 @@ def _transitions(strings: DataFrame) -> DataFrame:
     return pair.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def log_ratios(docs: DataFrame, found: DataFrame, text_col: str = "text", smoothing: float = 0.5) -> list[float]:
+def log_ratios(docs: DataFrame, found: DataFrame, text_col: str = "text", uniform_random: float = 0.5,
+               uniform_identifier: float = 0.05, backing: float = 5.0) -> list[float]:
     """log(P(b | a, random) / P(b | a, identifier)) for each pair of characters of the alphabet, row by row.
 
     Both models count every labelled string of the corpus: values of the fixed patterns, and the words that stand
-    alone.  The table is of the alphabet's size squared, whatever the corpus.
+    alone.  Behind a pair stand ``backing`` occurrences of the second character by its own frequency, which is blended
+    with the uniform distribution, for the random model by half: random strings over other characters than the labelled
+    ones count as random too.  The table is of the alphabet's size squared, whatever the corpus.
     """
     random = found.select(F.explode(F.concat("assign.value", "access.value", "hex.value")).alias("value"), F.lit(1).alias("n"))
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(IDENTIFIER), F.lit(0))).alias("value"),
@@ -91,15 +94,16 @@ def log_ratios(docs: DataFrame, found: DataFrame, text_col: str = "text", smooth
     counts = _transitions(random).select(F.lit(0).alias("model"), "pair", "n").unionByName(
         _transitions(words).select(F.lit(1).alias("model"), "pair", "n")).collect()
     size, place = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
-    tables = [[[smoothing] * size for _ in range(size)] for _ in range(2)]
+    tables = [[[0] * size for _ in range(size)] for _ in range(2)]
     for model, pair, n in counts:
         if pair[0] in place and pair[1] in place:
             tables[model][place[pair[0]]][place[pair[1]]] += n
-    out = []
-    for a in range(size):
-        sums = [sum(t[a]) for t in tables]
-        out += [math.log(tables[0][a][b] / sums[0] * sums[1] / tables[1][a][b]) for b in range(size)]
-    return out
+    models = []
+    for table, uniform in zip(tables, (uniform_random, uniform_identifier)):
+        total = sum(map(sum, table))
+        single = [uniform / size + (1 - uniform) * (sum(row[b] for row in table) / total if total else 1 / size) for b in range(size)]
+        models.append([(n + backing * p) / (sum(row) + backing) for row in table for n, p in zip(row, single)])
+    return [math.log(p / q) for p, q in zip(*models)]
 
 
 def log_likelihood_ratio(value: Column, ratios: list[float]) -> Column:
@@ -119,11 +123,11 @@ def _labelled(kind: int, found: Column) -> Column:
                                                  F.lit(KINDS[kind]).alias("kind"), x["stop"].alias("stop")))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 12.0) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """A row for each row of ``docs``: ``id_col``, base and all, arrays of (start, place, kind, stop) in order.
 
     ``base`` has the matches of the fixed patterns; ``all`` also the candidates that overlap none of them, hold a
-    letter and have a log-likelihood ratio of ``threshold`` or more.  Null texts count as empty, null identifiers and
+    letter and have a log-likelihood ratio of ``threshold`` or more per transition.  Null texts count as empty, null identifiers and
     repeated rows stay as they are, other columns are not read; an empty table gives none.
     """
     found = materialise(scanned(docs, id_col, text_col), "secrets-scanned")
@@ -132,7 +136,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = found.select(F.col("id"), base.alias("base"), "candidate")
     likely = F.filter("candidate", lambda c: c["value"].rlike("[A-Za-z]")
                       & ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-                      & (log_likelihood_ratio(c["value"], ratios) >= threshold))
+                      & (log_likelihood_ratio(c["value"], ratios) >= threshold * (F.char_length(c["value"]) - 1)))
     return rows.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", _labelled(3, likely))).alias("all"))
 
 
