@@ -64,15 +64,6 @@ def hp_characters(hp: Column) -> Column:
     return F.when(hp.isNull(), "unknown").otherwise(F.array_join(F.split(F.format_string("%.2f", hp), ""), " "))
 
 
-def tokenise(words: Column, vocabulary: dict[str, int], unknown: int) -> Column:
-    """Ids of words from a small vocabulary held as a literal map."""
-    if len(vocabulary) > 5000:
-        raise ValueError("join large vocabularies with sequences.tokenise_rows")
-    pairs = [F.lit(x) for kv in vocabulary.items() for x in kv]
-    table = F.create_map(*pairs)
-    return F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), F.lit(unknown)))
-
-
 def observation_text(fmt: Column, forced: Column, player: Column, moves: Column, switches: Column,
                      opponent: Column, conditions: Column, player_prev: Column, foe_prev: Column,
                      n_moves: int = 4, n_switches: int = 5, move_width: int = 3, switch_width: int = 8) -> Column:

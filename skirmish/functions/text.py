@@ -82,9 +82,14 @@ def details_level(details: Column) -> Column:
     return F.coalesce(F.regexp_extract(details, r", L([0-9]+)", 1).try_cast("int"), F.lit(100))
 
 
+def after_first(items: Column) -> Column:
+    """All elements but the first."""
+    return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+
+
 def line_fields(line: Column) -> Column:
     """Fields of a log line ``|type|arg|arg``, trimmed, type first."""
-    return F.transform(F.slice(F.split(line, r"\|"), 2, 100000), lambda f: F.trim(f))
+    return F.transform(after_first(F.split(line, r"\|")), lambda f: F.trim(f))
 
 
 def natural_number(s: Column) -> Column:

@@ -43,7 +43,7 @@ def log_lines(battles: DataFrame, battle: str = "battle_id", log: str = "log") -
     rows = battles.select(battle, F.posexplode(F.split(log, "\n")).alias("pos", "line"))
     return rows.select(battle, "pos", tx.line_fields(F.col("line")).alias("_f")).select(
         battle, "pos", F.coalesce(F.try_element_at("_f", F.lit(1)), F.lit("")).alias("type"),
-        F.slice("_f", 2, 100000).alias("args"))
+        tx.after_first(F.col("_f")).alias("args"))
 
 
 def arg(i: int) -> Column:

@@ -31,8 +31,9 @@ def usage_rank(battles: DataFrame, ranks: DataFrame, fmt: str, rank: str, rating
     """Largest available rank not above the effective rating, else the smallest one.
 
     The effective rating is the rating, else the highest positive rank for tournament games, else 1500.
+    Battles of a format without ranks stay, with a null rank.
     """
-    rows = battles.join(_ranks_per_format(ranks, fmt, rank), fmt)
+    rows = battles.join(_ranks_per_format(ranks, fmt, rank), fmt, "left")
     top = F.array_max(F.filter("_ranks", lambda r: r > 0))
     effective = F.coalesce(rating, F.when(tournament, top), F.lit(DEFAULT_RANK))
     fits = F.array_max(F.filter("_ranks", lambda r: r <= effective))
@@ -48,13 +49,15 @@ def nearest_lower_rank(wanted: DataFrame, ranks: DataFrame, fmt: str, rank: str,
     return rows.withColumn(name, F.coalesce(exact, lower)).drop("_ranks")
 
 
-def half_year_lookup(battles: DataFrame, stats: DataFrame, on: Sequence[str], played: Column, bin_start: str) -> DataFrame:
+def half_year_lookup(battles: DataFrame, stats: DataFrame, on: Sequence[str], played: Column, bin_start: str,
+                     first: Column | None = None, last: Column | None = None) -> DataFrame:
     """Statistics of the half-year of each battle.
 
     ``stats`` has one row per ``on`` and half-year (``bin_start``); battles outside the known span use its
-    first or last half-year.
+    first or last half-year.  The span is that of ``stats`` unless ``first`` and ``last`` name it.
     """
-    first, last = stats.agg(F.min(bin_start)).scalar(), stats.agg(F.max(bin_start)).scalar()
+    first = stats.agg(F.min(bin_start)).scalar() if first is None else first
+    last = stats.agg(F.max(bin_start)).scalar() if last is None else last
     rows = battles.withColumn(bin_start, F.greatest(F.least(half_year_start(played), last), first))
     return rows.join(stats, [*on, bin_start], "left")
 
@@ -79,13 +82,13 @@ def best_layer(rows: DataFrame, entity: Sequence[str]) -> DataFrame:
 
 
 def two_step_lookup(df: DataFrame, stats: DataFrame, key: str, species: Column, base: Column) -> DataFrame:
-    """Statistics by species, and by base species where the species has none."""
+    """Statistics by species, and by base species where the species has none; null where neither has any."""
     names = stats.select(key).distinct().withColumn("_known", F.lit(True))
     rows = df.withColumn("_species", species).withColumn("_base", base)
     rows = rows.join(names.withColumnRenamed(key, "_species"), "_species", "left")
     found = rows.withColumn(key, F.when(F.col("_known"), F.col("_species")).otherwise(F.col("_base"))).drop(
         "_known", "_species", "_base")
-    return found.join(stats, key)
+    return found.join(stats, key, "left")
 
 
 # -- partial records ------------------------------------------------------------------
@@ -219,19 +222,14 @@ def best_retrieval(wanted: DataFrame, members: DataFrame, request: str, team: st
     """
     asked = wanted.groupBy(request).agg(F.sum(F.size("wanted_moves")).alias("_asked"))
     sets = members.groupBy(team, name).agg(F.collect_set("moves").alias("_sets"))
-    # Of two name sets of equal size the one with earlier names has the larger sum of bits.
-    bit = F.when(F.col("position") < 20, F.pow(F.lit(2), 19 - F.col("position")).cast("bigint")).otherwise(
-        F.raise_error(F.lit("a request holds at most 20 names")).cast("bigint"))
     overlap = F.array_max(F.transform("_sets", lambda m: F.size(F.array_intersect("wanted_moves", m)))).cast("bigint")
-    names, moves = 1 << 45, 1 << 22
-    hits = wanted.join(sets, name).select(request, team, (names + moves * overlap + bit).alias("_v"))
-    per_team = hits.groupBy(request, team).agg(F.sum("_v").alias("_v"))
-    top = per_team.groupBy(request).agg(F.max("_v").alias("_v"))
-    best = per_team.join(top, [request, "_v"]).groupBy(request, "_v").agg(F.min(team).alias(team))
-    matched = F.floor(F.col("_v") / names)
-    shared = F.floor((F.col("_v") - matched * names) / moves)
+    per_team = wanted.join(sets, name).groupBy(request, team).agg(
+        F.count("*").alias("matched"), F.sum(overlap).alias("_o"), F.sort_array(F.collect_list("position")).alias("_p"))
+    best = per_team.groupBy(request).agg(F.min(F.struct(
+        F.negate("matched").alias("m"), F.negate("_o").alias("o"), F.col("_p").alias("p"), F.col(team).alias("t"))).alias("b"))
     return best.join(asked, request).select(
-        request, team, matched.alias("matched"), F.coalesce(F.try_divide(shared, F.col("_asked")), F.lit(0.0)).alias("ratio"))
+        request, F.col("b.t").alias(team), F.negate("b.m").alias("matched"),
+        F.coalesce(F.try_divide(F.negate("b.o"), F.col("_asked")), F.lit(0.0)).alias("ratio"))
 
 
 def payoff_table(scores: DataFrame, id_col: str, score: str, win: Callable[[Column, Column], Column]) -> DataFrame:

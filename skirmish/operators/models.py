@@ -102,15 +102,18 @@ def _one_sided(coef: DataFrame, plus: str, minus: str) -> DataFrame:
     return coef.where(F.col("kind").isin(plus, minus)).groupBy("term").agg(F.sum(sign * F.col("weight")).alias("weight"))
 
 
-def _centred(df: DataFrame) -> DataFrame:
-    return df.withColumn("weight", F.col("weight") - df.agg(F.avg("weight")).scalar())
+def _centred(df: DataFrame, terms: int | None = None) -> DataFrame:
+    """Weights less their mean over ``terms`` terms, those that are not in ``df`` being 0; by default its own."""
+    mean = F.avg("weight") if terms is None else F.sum("weight") / F.lit(max(terms, 1))
+    return df.withColumn("weight", F.col("weight") - df.agg(mean).scalar())
 
 
 def fit_baseline(examples: DataFrame, key: str, a: str, b: str, y: str, val_fraction: float = 0.15, seed: int = 0,
-                 c: float = 1.0, max_iter: int = 200) -> tuple[DataFrame, DataFrame, float]:
+                 c: float = 1.0, max_iter: int = 2000, pool: int | None = None) -> tuple[DataFrame, DataFrame, float]:
     """Win model on membership (+1 own, -1 foe): (weights by member, validation metrics, intercept).
 
-    Originals are split before mirrors are added; the final fit uses all examples and centred weights.
+    Originals are split before mirrors are added; the final fit uses all examples, and the weights are centred over
+    the ``pool`` members there are (by default those seen).
     """
     plain = examples.select(key, a, b, F.col(y).cast("int").alias(y))
     split = materialise(split_originals(plain, [key], val_fraction, seed), "examples")
@@ -125,15 +128,17 @@ def fit_baseline(examples: DataFrame, key: str, a: str, b: str, y: str, val_frac
     apply, _, _ = fit_terms(mirrored(split.where("split = 'train'")), blocks, y, c, True, max_iter)
     metrics = _probabilities(apply(mirrored(split.where("split = 'val'"))), y)
     _, coef, intercept = fit_terms(mirrored(plain), blocks, y, c, True, max_iter)
-    theta = _centred(_one_sided(_coefficients(examples.sparkSession, coef), "a", "b"))
+    theta = _centred(_one_sided(_coefficients(examples.sparkSession, coef), "a", "b"), pool)
     return theta.withColumnRenamed("term", "member"), metrics, intercept
 
 
 def fit_interaction(examples: DataFrame, key: str, a: str, b: str, y: str, c_values: Sequence[float] = (0.01, 0.1, 1.0, 10.0, 100.0),
-                    val_fraction: float = 0.15, seed: int = 0, max_iter: int = 200) -> tuple[DataFrame, DataFrame]:
+                    val_fraction: float = 0.15, seed: int = 0, max_iter: int = 3000,
+                    pool: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Main, synergy and matchup weights with the penalty picked on validation log loss.
 
-    Returns (kind, term, weight) and the tuning table.  Matchup weights are antisymmetric.
+    Returns (kind, term, weight) and the tuning table.  Matchup weights are antisymmetric; main and synergy weights
+    are centred over the ``pool`` members there are and all their pairs (by default those seen).
     """
     spark = examples.sparkSession
     plain = examples.select(key, a, b, F.col(y).cast("int").alias(y))
@@ -157,8 +162,8 @@ def fit_interaction(examples: DataFrame, key: str, a: str, b: str, y: str, c_val
     best = min(tuning, key=lambda t: t[1])[0]
     _, coef, _ = fit_terms(features(plain), blocks, y, best, False, max_iter)
     weights = _coefficients(spark, coef)
-    main = _centred(_one_sided(weights, "am", "bm")).select(F.lit("main").alias("kind"), "term", "weight")
-    pair = _centred(_one_sided(weights, "as", "bs")).select(F.lit("synergy").alias("kind"), "term", "weight")
+    main = _centred(_one_sided(weights, "am", "bm"), pool).select(F.lit("main").alias("kind"), "term", "weight")
+    pair = _centred(_one_sided(weights, "as", "bs"), pool * (pool - 1) // 2 if pool else None).select(F.lit("synergy").alias("kind"), "term", "weight")
     i, j = F.split("term", ",")[0], F.split("term", ",")[1]
     match = _centred(weights.where("kind = 'v'").select("term", "weight"))
     both = match.select(F.explode(F.array(

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -89,10 +89,11 @@ def mixture_table(spark: SparkSession, entries: Sequence[Mapping], human: str |
 
 
 def row_weights(files: DataFrame, source: str, mixture: DataFrame) -> DataFrame:
-    """Sampling weight of each file: its source's share divided by the source's files."""
+    """Sampling weight of each file: its source's share divided by the source's files; 0 for sources that the
+    mixture does not list."""
     sizes = files.groupBy(source).agg(F.count("*").alias("_n"))
-    per_file = sizes.join(mixture.select(source, "normalised"), source).select(
-        source, (F.col("normalised") / F.col("_n")).alias("row_weight"))
+    per_file = sizes.join(mixture.select(source, "normalised"), source, "left").select(
+        source, (F.coalesce("normalised", F.lit(0.0)) / F.col("_n")).alias("row_weight"))
     return files.join(per_file, source)
 
 
@@ -154,21 +155,22 @@ def random_teams(samples: DataFrame, key: str, pool: DataFrame, member: str, cla
                  seed: int | str) -> DataFrame:
     """One random legal team per row of ``samples``: ``size`` clause groups, one member of each.
 
-    The pool (one entry per entity of a game, at most 20,000) travels as one value; every team is drawn inside
-    its row.
+    The clauses travel with each row, and the drawn place in a clause is looked up in the ranked pool: no row
+    holds the pool.
     """
-    if pool.limit(20_001).count() > 20_000:
-        raise ValueError("the pool of random_teams is limited to 20,000 members")
-    groups = pool.groupBy(clause).agg(F.sort_array(F.collect_set(member)).alias("m"))
-    listed = groups.agg(F.sort_array(F.collect_list(F.struct(F.col(clause).cast("string").alias("g"), "m"))))
-    rows = spread(samples, key).withColumn("_pool", listed.scalar())
+    ranks = Window.partitionBy(clause).orderBy(member)
+    placed = pool.select(member, clause).distinct().select(
+        F.col(member).alias("_m"), F.col(clause).cast("string").alias("_c"), (F.row_number().over(ranks) - 1).alias("_at"))
+    listed = placed.groupBy("_c").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct(F.col("_c").alias("g"), "n"))))
     id_ = F.col(key).cast("string")
     keyed = F.transform("_pool", lambda p: F.struct(
         F.md5(F.concat_ws(":", F.lit(f"{seed}g"), id_, p["g"])).alias("h"), p.alias("p")))
-    chosen = _first(F.sort_array(keyed), size)
-    member_of = lambda c: F.sort_array(F.transform(c["p"]["m"], lambda m: F.struct(
-        F.md5(F.concat_ws(":", F.lit(f"{seed}m"), id_, m.cast("string"))).alias("h"), m.alias("m"))))[0]["m"]
-    return rows.withColumn("team", F.sort_array(F.transform(chosen, member_of))).drop("_pool")
+    drawn = (spread(samples, key).withColumn("_pool", listed.scalar())
+             .select(key, F.explode(_first(F.sort_array(keyed), size)).alias("x"))
+             .select(key, F.col("x.p.g").alias("_c"), F.col("x.p.n").alias("_n")))
+    at = F.floor(uniform(f"{seed}m", F.col(key), F.col("_c")) * F.col("_n")).cast("int")
+    teams = drawn.withColumn("_at", at).join(placed, ["_c", "_at"]).groupBy(key).agg(F.sort_array(F.collect_list("_m")).alias("team"))
+    return samples.join(teams, key)
 
 
 def uncertain_pairs(bank: DataFrame, team: str, score: str, n: int, seed: int | str, uniform_mix: float = 0.25,
@@ -232,37 +234,52 @@ def beta_draw(alpha: pd.Series, beta: pd.Series, state: pd.Series) -> pd.Series:
     return pd.Series(x / (x + y))
 
 
-def posterior_draws(posteriors: DataFrame, key: str, seed: int | str) -> DataFrame:
-    """One Beta draw per key (needs alpha and beta of at least 1)."""
-    return posteriors.select(key, beta_draw("alpha", "beta", F.xxhash64(F.lit(str(seed)), F.col(key).cast("string"))).alias("draw"))
+def posterior_draws(posteriors: DataFrame, key: str, seed: int | str, rounds: int = 1) -> DataFrame:
+    """One Beta draw per key and round (needs alpha and beta of at least 1): round, key, draw."""
+    rows = posteriors.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    state = F.xxhash64(F.lit(str(seed)), F.col(key).cast("string"), "round")
+    return rows.select("round", key, beta_draw("alpha", "beta", state).alias("draw"))
 
 
-def thompson_scores(teams: DataFrame, team: str, team_draws: DataFrame, members: DataFrame, member_draws: DataFrame,
+def candidates(teams: DataFrame, team: str, rounds: int, pool_size: int, seed: int | str) -> DataFrame:
+    """round, team, place: up to ``pool_size`` teams per round, drawn by place in a seeded order of all teams.
+
+    Only the drawn places meet the teams, never all teams all rounds.
+    """
+    keyed = teams.select(team).distinct().withColumn("_h", draw_key(seed, team))
+    listed = ranked(keyed, [], shuffle_segment(F.col("_h")), ["_h", team], "_at").select(team, "_at")
+    slots = keyed.agg(F.count("*").alias("_n")).where("_n > 0").select(
+        "_n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).select(
+        "_n", "round", F.explode(F.sequence(F.lit(0), F.lit(pool_size - 1))).alias("place"))
+    drawn = slots.withColumn("_at", F.floor(uniform(f"{seed}c", "round", "place") * F.col("_n")) + 1)
+    return drawn.join(listed, "_at").groupBy("round", team).agg(F.min("place").alias("place"))
+
+
+def thompson_scores(chosen: DataFrame, team: str, team_draws: DataFrame, members: DataFrame, member_draws: DataFrame,
                     moves: DataFrame, move_draws: DataFrame, weights: tuple[float, float, float] = (0.35, 0.40, 0.25)) -> DataFrame:
     """Blend of a team's draw with the mean draws of its distinct members and moves; one half where it has none.
 
-    ``members`` and ``moves`` are (team, key); draws are (key, draw).
+    ``chosen`` has round, team and place; ``members`` and ``moves`` are (team, key); draws are (round, key, draw).
     """
     wt, wm, wv = weights
-    mean = lambda rows, draws, name: rows.distinct().join(draws, "key").groupBy(team).agg(F.avg("draw").alias(name))
-    out = (teams.select(team).distinct().join(team_draws.withColumnRenamed("key", team).withColumnRenamed("draw", "_t"), team, "left")
-           .join(mean(members, member_draws, "_m"), team, "left").join(mean(moves, move_draws, "_v"), team, "left"))
-    half = F.lit(0.5)
-    return out.select(team, ((wt * F.coalesce("_t", half) + wm * F.coalesce("_m", half) + wv * F.coalesce("_v", half))
-                             / (wt + wm + wv)).alias("score"))
 
+    def mean(rows: DataFrame, draws: DataFrame, name: str) -> DataFrame:
+        wanted = chosen.select("round", team).join(rows.distinct(), team)
+        return wanted.join(draws, ["round", "key"]).groupBy("round", team).agg(F.avg("draw").alias(name))
+
+    on = ["round", team]
+    out = (chosen.join(team_draws.withColumnRenamed("key", team).withColumnRenamed("draw", "_t"), on, "left")
+           .join(mean(members, member_draws, "_m"), on, "left").join(mean(moves, move_draws, "_v"), on, "left"))
+    half = F.lit(0.5)
+    return out.select("round", team, "place", ((wt * F.coalesce("_t", half) + wm * F.coalesce("_m", half) + wv * F.coalesce("_v", half))
+                                               / (wt + wm + wv)).alias("score"))
 
-def propose(scores: DataFrame, team: str, score: str, rounds: int, pool_size: int, epsilon: float,
-            seed: int | str) -> DataFrame:
-    """Chosen team per round: the best of ``pool_size`` seeded candidates, or with probability epsilon a random one.
 
-    Candidates of a round are the teams with the smallest digests; each task keeps ``pool_size`` of them.
-    """
-    rows = scores.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    rows = top_per(rows.withColumn("_h", draw_key(seed, "round", team)), ["round"], ["_h", team], pool_size, "_i")
+def propose(scores: DataFrame, team: str, score: str, epsilon: float, seed: int | str) -> DataFrame:
+    """Chosen team per round: the best of its candidates, or with probability epsilon the first drawn."""
     explore = uniform(f"{seed}e", "round") < epsilon
-    best = rows.groupBy("round").agg(F.max_by(team, F.struct(score, F.negate(F.col("_i")))).alias("_best"),
-                                     F.min_by(team, "_i").alias("_any"))
+    best = scores.groupBy("round").agg(F.max_by(team, F.struct(score, F.negate("place"))).alias("_best"),
+                                       F.min_by(team, "place").alias("_any"))
     return best.select("round", F.when(explore, F.col("_any")).otherwise(F.col("_best")).alias(team),
                        F.when(explore, "explore_random").otherwise("exploit_thompson").alias("mode"))
 

@@ -16,8 +16,8 @@ W_SQL = "PARTITION BY battle_id ORDER BY ts, event_id"
 
 
 def log(spark: SparkSession, d: str, name: str = "log") -> DataFrame:
-    """Derived log with a segment per week, so that no task holds a whole battle."""
-    df = view(spark, d, name).withColumn(SEG, F.floor(F.unix_date("ts_date") / 7))
+    """Derived log with a segment per hour, so that no task holds a whole battle."""
+    df = view(spark, d, name).withColumn(SEG, F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600))
     if name != "log":
         return df
     return df.withColumn("args", F.array("a1", "a2", "a3", "a4"))

@@ -49,7 +49,7 @@ CONFIGS = {"base": {"sources": {"src0": 3, "src1": 1, "src2": 4}},
 
 @query("R4_mixture_weights", """WITH m AS (SELECT * FROM (VALUES ('src0', 0.6 * 3 / 8), ('src1', 0.6 / 8), ('src2', 0.6 * 4 / 8), ('src3', 0.25), ('src4', 0.1), ('src5', 0.05)) t(source, w)),
 n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
-SELECT doc_id, source, round(CAST(w AS DOUBLE) / n, 8) AS row_weight FROM documents JOIN m USING (source) JOIN n USING (source)""")
+SELECT doc_id, source, round(CAST(coalesce(w, 0) AS DOUBLE) / n, 8) AS row_weight FROM documents LEFT JOIN m USING (source) JOIN n USING (source)""")
 def r4(spark, d):
     mix = sp.mixture_table(spark, sp.flatten_mixture("next", CONFIGS), "src5", 0.05)
     return sp.row_weights(table(spark, d, "documents").select("doc_id", "source"), "source", mix).withColumn(
@@ -133,8 +133,9 @@ def r9_members(spark, d):
 
 @query("R10_random_teams", """
 WITH g AS (SELECT o_orderkey, c, row_number() OVER (PARTITION BY o_orderkey ORDER BY md5('r10g:' || o_orderkey || ':' || c)) AS rn FROM orders, (SELECT DISTINCT n_nationkey % 8 AS c FROM nation)),
-m AS (SELECT o_orderkey, n_nationkey, row_number() OVER (PARTITION BY o_orderkey, c ORDER BY md5('r10m:' || o_orderkey || ':' || n_nationkey)) AS rn FROM g JOIN nation ON n_nationkey % 8 = c WHERE g.rn <= 6)
-SELECT o_orderkey, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) AS team FROM m WHERE rn = 1 GROUP BY 1""")
+p AS (SELECT n_nationkey, n_nationkey % 8 AS c, row_number() OVER (PARTITION BY n_nationkey % 8 ORDER BY n_nationkey) - 1 AS place, count(*) OVER (PARTITION BY n_nationkey % 8) AS n FROM nation)
+SELECT o_orderkey, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) AS team FROM g JOIN p USING (c)
+WHERE rn <= 6 AND place = floor({U} * n) GROUP BY 1""".replace("{U}", _u("'r10m:' || o_orderkey || ':' || c")))
 def r10(spark, d):
     pool = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 8).alias("c"))
     out = sp.random_teams(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", pool, "n_nationkey", "c", 6, "r10")
@@ -154,17 +155,20 @@ def r11(spark, d):
 
 @query("R12_thompson_choice")
 def r12(spark, d):
+    rounds = 20
     log = two_sided_log(spark, d).select(F.col("player").cast("string").alias("key"), "outcome")
     member_log = table(spark, d, "lineitem").join(table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select(
         "l_orderkey", F.col("l_suppkey").cast("string").alias("key"), F.col("l_returnflag").alias("move"),
         F.when(F.col("o_orderstatus") == "F", "WIN").when(F.col("o_orderstatus") == "O", "LOSS").otherwise("DRAW").alias("outcome"),
         (F.col("o_custkey") % 25).cast("string").alias("team"))
-    draws = lambda rows, seed: sp.posterior_draws(agg.beta_posteriors(rows, "key", F.col("outcome")), "key", seed)
-    teams = member_log.select("team").distinct()
+    # An order counts once for each of its distinct members and moves.
+    played = lambda key: member_log.select("l_orderkey", F.col(key).alias("key"), "outcome").distinct().select("key", "outcome")
+    draws = lambda rows, seed: sp.posterior_draws(agg.beta_posteriors(rows, "key", F.col("outcome")), "key", seed, rounds)
     moves = member_log.select("team", F.col("move").alias("key"))
-    scores = sp.thompson_scores(teams, "team", draws(log, "t"), member_log.select("team", "key"), draws(member_log.select("key", "outcome"), "m"),
-                                moves, draws(member_log.select(F.col("move").alias("key"), "outcome"), "v"))
-    return sp.propose(scores, "team", "score", 20, 10, 0.2, "r12")
+    chosen = sp.candidates(member_log.select("team"), "team", rounds, 10, "r12")
+    scores = sp.thompson_scores(chosen, "team", draws(log, "t"), member_log.select("team", "key"), draws(played("key"), "m"),
+                                moves, draws(played("move"), "v"))
+    return sp.propose(scores, "team", "score", 0.2, "r12")
 
 
 @query("R13_masked_records", f"""
@@ -214,20 +218,22 @@ def examples(spark, d):
 
 @query("R15_baseline_model")
 def r15(spark, d):
-    theta, _, _ = models.fit_baseline(examples(spark, d), "o_orderkey", "team_a", "team_b", "y", max_iter=50)
+    pool = table(spark, d, "nation").count()
+    theta, _, _ = models.fit_baseline(examples(spark, d), "o_orderkey", "team_a", "team_b", "y", pool=pool)
     return theta.select("member", F.round("weight", 3).alias("weight"))
 
 
 @query("R16_interaction_model")
 def r16(spark, d):
-    weights, _ = models.fit_interaction(examples(spark, d), "o_orderkey", "team_a", "team_b", "y", (0.01, 1.0), max_iter=25)
+    pool = table(spark, d, "nation").count()
+    weights, _ = models.fit_interaction(examples(spark, d), "o_orderkey", "team_a", "team_b", "y", pool=pool)
     return weights.select("kind", "term", F.round("weight", 3).alias("weight"))
 
 
 @query("R17_presence_model")
 def r17(spark, d):
     s = examples(spark, d).withColumn("fmt", F.col("o_orderkey") % 3)
-    return models.fit_presence(s, "o_orderkey", "team_a", "y", 20, 10, "fmt", max_iter=50).select(
+    return models.fit_presence(s, "o_orderkey", "team_a", "y", 20, 10, "fmt").select(
         "feature", F.round("coefficient", 3).alias("coefficient"), F.round("odds", 3).alias("odds"))
 
 
@@ -273,14 +279,17 @@ k AS (SELECT t.*, s FROM t JOIN pool USING (m) WHERE n <= 6),
 x AS (SELECT k.l_orderkey, k.slot, k.m AS out_m, p.m AS in_m, round(p.s - k.s, 2) AS gain FROM k JOIN pool p ON p.m <> k.m
  WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.l_orderkey = k.l_orderkey AND (o.m = p.m OR (o.m <> k.m AND o.c = p.c)))),
 y AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY gain DESC, slot, in_m) AS rn FROM x)
-SELECT l_orderkey, CAST(slot AS INT) AS slot, out_m, in_m, gain FROM y WHERE rn = 1 AND gain > 0""")
+SELECT l_orderkey, CAST(slot AS INT) AS slot, out_m, in_m, gain, NULL AS reason FROM y WHERE rn = 1 AND gain > 0
+UNION ALL SELECT DISTINCT l_orderkey, CAST(NULL AS INT), NULL, NULL, NULL, 'too many members' FROM t WHERE n > 6""")
 def r18(spark, d):
     pool = table(spark, d, "supplier").select(F.col("s_suppkey").alias("m"), (F.col("s_suppkey") % 40).alias("c"), F.round("s_acctbal", 2).alias("s"))
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 40).alias("c")).agg(F.min("l_suppkey").alias("m"))
-    small = rows.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n <= 6").select("l_orderkey")
-    teams = rows.join(small, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("m")).alias("members"))
+    sizes = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    teams = rows.join(sizes.where("n <= 6"), "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("m")).alias("members"))
     out = models.best_swaps(teams, "l_orderkey", "members", pool, "m", "c", "s")
-    return out.select("l_orderkey", "slot", F.col("out").alias("out_m"), F.col("in").alias("in_m"), F.round("gain", 2).alias("gain"))
+    swaps = out.select("l_orderkey", "slot", F.col("out").alias("out_m"), F.col("in").alias("in_m"), F.round("gain", 2).alias("gain"),
+                       F.lit(None).cast("string").alias("reason"))
+    return swaps.unionByName(sizes.where("n > 6").select("l_orderkey", F.lit("too many members").alias("reason")), allowMissingColumns=True)
 
 
 @query("R19_lead_examples", """

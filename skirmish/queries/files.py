@@ -199,12 +199,12 @@ def s9(spark, d):
     return table(spark, d, "orders").select("o_orderkey", usage.report_rank(name, F.lit("gen1ou")).alias("usage_rank"))
 
 
-@query("S10_stored_usage", f"""WITH {USAGE_ALL} SELECT gen, tier, usage_rank AS "rank", CAST(month AS VARCHAR) AS month, field, count(*) AS cells FROM cells WHERE gen = 2 AND tier = 'ou' GROUP BY ALL""", ("picks",))
+@query("S10_stored_usage", f"""WITH {USAGE_ALL} SELECT gen, tier, usage_rank AS "rank", CAST(month AS VARCHAR) AS month, field, count(*) AS cells FROM cells GROUP BY ALL""", ("picks",))
 def s10(spark, d):
     share, _ = usage_tables(spark, d)
     path = shared_path(spark, "usage")
-    usage.write_usage(share.withColumnRenamed("usage_rank", "rank").where("gen = 2"), path)
-    stored = spark.read.parquet(path).where("gen = 2 AND tier = 'ou'")
+    usage.write_usage(share.withColumnRenamed("usage_rank", "rank"), path)
+    stored = spark.read.parquet(path)
     return stored.groupBy("gen", "tier", "rank", F.col("month").cast("string").alias("month"), "field").agg(F.count("*").alias("cells"))
 
 

@@ -34,14 +34,15 @@ def j1(spark, d):
 
 @query("J2_half_year_lookup", f"""WITH {RATED_SQL},
 s AS (SELECT gen, make_date(year(month), CASE WHEN month(month) <= 6 THEN 1 ELSE 7 END, 1) AS b, sum(qty) AS qty FROM picks
-  WHERE month BETWEEN DATE '1996-01-01' AND DATE '2000-12-01' GROUP BY 1, 2),
-r AS (SELECT *, greatest(least(make_date(year(played), CASE WHEN month(played) <= 6 THEN 1 ELSE 7 END, 1), (SELECT max(b) FROM s)), (SELECT min(b) FROM s)) AS b FROM rated)
+  GROUP BY 1, 2),
+r AS (SELECT *, greatest(least(make_date(year(played), CASE WHEN month(played) <= 6 THEN 1 ELSE 7 END, 1), DATE '2000-07-01'), DATE '1996-01-01') AS b FROM rated)
 SELECT o_orderkey, CAST(b AS VARCHAR) AS half_year, CAST(qty AS BIGINT) AS qty FROM r LEFT JOIN s USING (gen, b)""", ("picks",))
 def j2(spark, d):
     from ..functions.dates import half_year_start
-    stats = view(spark, d, "picks").where("month between date'1996-01-01' and date'2000-12-01'").groupBy(
+    stats = view(spark, d, "picks").groupBy(
         "gen", half_year_start(F.col("month")).alias("half_year")).agg(F.sum("qty").alias("qty"))
-    out = mt.half_year_lookup(rated_orders(spark, d), stats, ["gen"], F.col("played"), "half_year")
+    out = mt.half_year_lookup(rated_orders(spark, d), stats, ["gen"], F.col("played"), "half_year",
+                              F.lit("1996-01-01").cast("date"), F.lit("2000-07-01").cast("date"))
     return out.select("o_orderkey", F.col("half_year").cast("string").alias("half_year"), "qty")
 
 
@@ -56,8 +57,7 @@ def j3(spark, d):
 
 @query("J4_layered_fallback", f"""WITH {USAGE_SQL},
 m AS (SELECT usage_rank, tier, entity, field, key, sum(share * n) AS w FROM usage JOIN counts USING (gen, tier, usage_rank, month, entity) GROUP BY ALL),
-l AS (SELECT *, CASE WHEN usage_rank = 1760 AND tier = 'ou' THEN 0 WHEN usage_rank = 1500 AND tier = 'ou' THEN 1 WHEN usage_rank = 1760 THEN 2 ELSE 3 END AS layer FROM m
-  WHERE usage_rank > 0),
+l AS (SELECT *, CASE usage_rank WHEN 1760 THEN 0 WHEN 1500 THEN 1 ELSE 2 END + CASE WHEN tier = 'ou' THEN 0 ELSE 3 END AS layer FROM m),
 e AS (SELECT entity, field, layer, CASE WHEN layer = 0 AND entity % 3 = 0 AND field = 'moves' THEN 'Nothing' ELSE key END AS key,
   CASE WHEN layer = 0 AND entity % 3 = 0 AND field = 'moves' THEN 1.0 ELSE w END AS share FROM l),
 u AS (SELECT DISTINCT * FROM e), g AS (SELECT entity, field, layer, bool_and(key = 'Nothing') AS empty FROM u GROUP BY ALL),
@@ -65,9 +65,10 @@ b AS (SELECT entity, field, arg_min(layer, (empty::INT) * 10 + layer) AS layer F
 SELECT entity, field, layer, key, round(share, 4) AS share FROM u JOIN b USING (entity, field, layer)""", ("picks",))
 def j4(spark, d):
     usage, counts = usage_tables(spark, d)
-    m = usage.join(counts, UNIT).where("usage_rank > 0").groupBy("usage_rank", "tier", "entity", "field", "key").agg(
+    m = usage.join(counts, UNIT).groupBy("usage_rank", "tier", "entity", "field", "key").agg(
         F.sum(F.col("share") * F.col("n")).alias("w"))
-    layer = F.when(F.col("tier") == "ou", 0).otherwise(2) + F.when(F.col("usage_rank") == 1760, 0).otherwise(1)
+    rank = F.col("usage_rank")
+    layer = F.when(F.col("tier") == "ou", 0).otherwise(3) + F.when(rank == 1760, 0).when(rank == 1500, 1).otherwise(2)
     blank = (F.col("layer") == 0) & (F.col("entity") % 3 == 0) & (F.col("field") == "moves")
     rows = m.withColumn("layer", layer).groupBy("entity", "field", "layer", F.when(blank, "Nothing").otherwise(F.col("key")).alias("key")).agg(
         F.max(F.when(blank, 1.0).otherwise(F.col("w"))).alias("share"))

@@ -269,13 +269,13 @@ def a22(spark, d):
 
 
 def class_scores(spark, d):
-    """Ten class scores per embedding, best first."""
-    idx = F.sequence(F.lit(0), F.lit(9))
+    """One class score per number of an embedding, best first."""
+    idx = F.sequence(F.lit(0), F.size("embedding") - 1)
     scored = F.transform(idx, lambda i: F.struct(F.element_at("embedding", i + 1).alias("s"), (-i).alias("i")))
     return table(spark, d, "embeddings").select("vec_id", "label", F.sort_array(scored, asc=False).alias("r"))
 
 
-@query("A23_topk_accuracy", """WITH s AS (SELECT vec_id, label, unnest(embedding[1:10]) AS s, unnest(range(10)) AS i FROM embeddings),
+@query("A23_topk_accuracy", """WITH s AS (SELECT vec_id, label, unnest(embedding) AS s, unnest(range(len(embedding))) AS i FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, i) AS rk FROM s)
 SELECT label, avg((rk <= 3)::INT) AS top3, avg((rk <= 5)::INT) AS top5, avg((rk <= 10)::INT) AS top10 FROM r WHERE i = label GROUP BY 1""")
 def a23(spark, d):
@@ -283,7 +283,7 @@ def a23(spark, d):
     return agg.topk_accuracy(rows, ["label"], F.transform("r", lambda x: -x["i"]), F.col("label"))
 
 
-@query("A24_calibration", """WITH s AS (SELECT vec_id, label, unnest(embedding[1:10])::DOUBLE * 10 AS s, unnest(range(10)) AS i FROM embeddings),
+@query("A24_calibration", """WITH s AS (SELECT vec_id, label, unnest(embedding)::DOUBLE * 10 AS s, unnest(range(len(embedding))) AS i FROM embeddings),
 c AS (SELECT vec_id, any_value(label) AS label, exp(max(s)) / sum(exp(s)) AS conf, arg_max(i, s) AS pred FROM s GROUP BY 1),
 b AS (SELECT ceil(conf * 10) AS b, count(*) AS n, sum(conf) AS sc, sum((pred = label)::INT) AS sa FROM c GROUP BY 1)
 SELECT round(sum(sc) / sum(n), 6) AS confidence, round(sum(CASE WHEN b > 0 THEN abs(sc - sa) ELSE 0 END) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b""")

@@ -22,7 +22,7 @@ def parse_teams(files: DataFrame, keys: Sequence[str], content: str = "content")
     rows = files.select(*keys, F.posexplode(blocks).alias("slot", "_b"))
     lines = F.filter(F.transform(F.split(F.trim("_b"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.withColumn("_l", lines)
-    head, rest = F.col("_l")[0], F.slice("_l", 2, 100000)
+    head, rest = F.col("_l")[0], tx.after_first(F.col("_l"))
     ability = tx.labelled(rest, "Ability")
     nature = F.try_element_at(F.filter(rest, lambda x: x.endswith("Nature")), F.lit(1))
     return rows.select(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators.ordered import running
 
 # Section heading -> usage field.
@@ -51,7 +52,7 @@ def parse_reports(reports: DataFrame, keys: Sequence[str], content: str = "conte
     counts = blocks.where(F.col("head").startswith("Raw count")).groupBy(*keys, "entity").agg(F.max(count).alias("n"))
     names = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
     cells = blocks.where(F.col("head").isin(*SECTIONS)).select(
-        *keys, "entity", F.try_element_at(names, F.col("head")).alias("field"), F.posexplode(F.slice("lines", 2, 100000)).alias("at", "line"))
+        *keys, "entity", F.try_element_at(names, F.col("head")).alias("field"), F.posexplode(tx.after_first(F.col("lines"))).alias("at", "line"))
     check = F.col("field") == "checks"
     cells = cells.where(~check | (F.col("at") % 2 == 0))
     key = F.when(check, F.regexp_extract("line", r"^(.*)\s+\S+\s+\S+$", 1)).otherwise(F.regexp_extract("line", r"^(.*)\s+[-+]?[0-9.]+%$", 1))
