@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
+from ..session import materialise
 from .ordered import following, history, neighbours, ranked, running, top_per
 
 
@@ -211,29 +212,50 @@ def _value(m: Column) -> Column:
     return _clamp(m["add"], m["lo"], m["hi"])
 
 
+_MAP = "struct<src:int,sg:int,add:int,lo:int,hi:int>"
+_BLOCK = 128
+
+
+def _in_blocks(df: DataFrame, key: Sequence[str], whole: bool, bound: int) -> DataFrame:
+    """Rows (key, pos, payload, m) with ``ahead``, the composite of the maps before each row, in order of ``pos``.
+
+    Blocks of fixed size are composed one by one, and their composites in the same way on the next level, so an
+    array never holds more than a block, but on the top level (``whole``), where a key of n rows has n / 128^3.
+    """
+    group = [*key] if whole else [*key, "_b"]
+    rows = df if whole else df.withColumn("_b", F.floor(F.col("pos") / _BLOCK))
+    lists = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("pos", "payload", "m"))).alias("_l"))
+    upto = F.aggregate("_l", F.array(_identity(bound)).cast(f"array<struct<s1:{_MAP},s2:{_MAP}>>"),
+                       lambda acc, x: F.concat(acc, F.array(_then(F.element_at(acc, -1), x["m"]))))
+    lists = lists.select(*group, "_l", upto.alias("_p"))
+    return lists.select(*group, F.element_at("_p", -1).alias("total"), F.explode(F.arrays_zip(
+        F.col("_l").alias("x"), F.slice("_p", F.lit(1), F.size("_l")).alias("ahead"))).alias("z")).select(
+        *group, "total", "z.x.pos", "z.x.payload", "z.x.m", "z.ahead")
+
+
+def _ahead(df: DataFrame, key: Sequence[str], bound: int, levels: int) -> DataFrame:
+    if levels == 0:
+        return _in_blocks(df, key, True, bound).drop("total")
+    rows = materialise(_in_blocks(df, key, False, bound), f"stages-{levels}")
+    totals = rows.where(F.pmod("pos", F.lit(_BLOCK)) == 0).select(
+        *key, F.col("_b").alias("pos"), F.lit(None).cast("int").alias("payload"), F.col("total").alias("m"))
+    before = _ahead(totals, key, bound, levels - 1).select(*key, F.col("pos").alias("_b"), F.col("ahead").alias("_start"))
+    return rows.join(before, [*key, "_b"]).select(
+        *key, "pos", "payload", "m", _then(F.col("_start"), F.col("ahead")).alias("ahead"))
+
+
 def stage_values(df: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], slot1: Column,
                  slot2: Column, bound: int = 6) -> DataFrame:
     """Stages of both slots after each message, as ``stage1`` and ``stage2``.
 
-    ``slot1`` and ``slot2`` are :func:`stage_map` columns.  Maps are composed in
-    order inside a segment and the composite of each segment is carried on.
+    ``slot1`` and ``slot2`` are :func:`stage_map` columns.  Maps are composed in blocks of consecutive messages, the
+    composites of blocks in blocks again, so neither a battle nor a segment is ever held in one row.
     """
-    kept = [c for c in df.columns if c not in {*key, seg}]
+    kept = [c for c in df.columns if c not in key]
     step = F.struct(slot1.alias("s1"), slot2.alias("s2"))
-    lists = df.groupBy(*key, seg).agg(F.sort_array(F.collect_list(
-        F.struct(F.struct(*order).alias("o"), F.struct(*kept).alias("row"), step.alias("m")))).alias("_l"))
-    prefix = F.aggregate(
-        "_l", F.array().cast("array<struct<s1:struct<src:int,sg:int,add:int,lo:int,hi:int>,"
-                             "s2:struct<src:int,sg:int,add:int,lo:int,hi:int>>>"),
-        lambda acc, x: F.concat(acc, F.array(_then(F.coalesce(F.try_element_at(acc, F.lit(-1)), _identity(bound)),
-                                                   x["m"]))))
-    near = lists.withColumn("_p", prefix)
-    w = Window.partitionBy(*key).orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
-    carried = near.select(*key, seg, "_l", "_p", F.collect_list(F.element_at("_p", -1)).over(w).alias("_before"))
-    start = F.aggregate("_before", _identity(bound), _then)
-    cells = carried.withColumn("_start", start).select(
-        *key, seg, "_start", F.explode(F.arrays_zip("_l", "_p")).alias("_z"))
-    full = _then(F.col("_start"), F.col("_z")["_p"])
-    return cells.withColumn("_f", full).select(
-        *key, seg, *[F.col("_z")["_l"]["row"][c].alias(c) for c in kept],
+    placed = ranked(df.withColumn("_m", step), key, F.col(seg), order, "_pos").select(
+        *key, (F.col("_pos") - 1).alias("pos"), F.struct(*kept).alias("payload"), F.col("_m").alias("m"))
+    full = _then(F.col("ahead"), F.col("m"))
+    return _ahead(placed, key, bound, 3).withColumn("_f", full).select(
+        *key, *[F.col("payload")[c].alias(c) for c in kept],
         _value(F.col("_f")["s1"]).alias("stage1"), _value(F.col("_f")["s2"]).alias("stage2"))

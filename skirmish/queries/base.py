@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .inputs import VIEWS
 
+COMPUTED_ONCE = ("log0",)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,7 +24,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = view(spark, sf_dir, base) if base in VIEWS else table(spark, sf_dir, base)
     if where:
         df = df.where(where)
-    return df.selectExpr(*columns)
+    df = df.selectExpr(*columns)
+    # Columns of these views are used many times in the next one: computed once here, they are not copied there.
+    return df.select(F.inline(F.array(F.struct(*df.columns)))) if name in COMPUTED_ONCE else df
 
 
 def _view_sql(name: str, done: list[str]) -> None:

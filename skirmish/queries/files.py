@@ -438,7 +438,7 @@ def flow_team_set(spark, d):
                                             (1000 + k % 900).cast("string").alias("rating"), F.col("o_orderdate").alias("played"))
     rule = filters.BattleFilter("wins", min_rating=1300, dates_required=True)
     out = teamsets.build_team_set(m, meta, sampling.option_lists(member_usage(spark, d), "entity"), rule, "usage", 0.5)
-    return out.select("team_id", "slot", "entity", "item", "ability", F.array_join("moves", ",").alias("moves"), F.round("revealed_score", 6).alias("revealed_score"))
+    return out.select("team_id", "slot", "entity", "item", "ability", F.array_join("moves", ",").alias("moves"), F.round("score", 6).alias("score"))
 
 
 _FLOW_SQL = _SAMPLES_SQL + """, t AS (SELECT event_id, count(CASE WHEN event_type = 'view' THEN 1 END) OVER

@@ -9,6 +9,7 @@ import tarfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,24 +37,67 @@ def read_trajectory_json(spark: SparkSession, roots: Sequence[str], schema: str
             .withColumn("file_name", F.col("_metadata.file_name")))
 
 
+_BODY = "archive STRING, file_name STRING, body STRING, error STRING"
+
+
+def _text(name: str, data: bytes) -> tuple[str | None, str | None]:
+    """Text of a JSON file, plain or in an LZ4 frame, and what is wrong with it."""
+    try:
+        if name.endswith(".lz4"):
+            with pa.CompressedInputStream(pa.BufferReader(data), "lz4") as stream:
+                data = stream.read()
+        body = data.decode("utf-8")
+        json.loads(body)
+        return body, None
+    except (OSError, ValueError) as error:
+        return None, f"{type(error).__name__}: {error}"
+
+
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per JSON member of each archive; a damaged archive or member is a row with an error."""
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            try:
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    for entry in tar:
+                        if entry.isfile() and entry.name.endswith((".json", ".json.lz4")):
+                            body, error = _text(entry.name, tar.extractfile(entry).read())
+                            yield pd.DataFrame({"archive": [path], "file_name": [entry.name.rsplit("/", 1)[-1]], "body": [body], "error": [error]})
+            except tarfile.TarError as error:
+                yield pd.DataFrame({"archive": [path], "file_name": [None], "body": [None], "error": [f"{type(error).__name__}: {error}"]})
+
+
+def _files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                for entry in tar:
-                    if not entry.isfile() or not entry.name.endswith(".json"):
-                        continue
-                    body = tar.extractfile(entry).read().decode("utf-8")
-                    json.loads(body)
-                    yield pd.DataFrame({"archive": [path], "file_name": [entry.name.rsplit("/", 1)[-1]], "body": [body]})
+            body, error = _text(path, content)
+            yield pd.DataFrame({"archive": [None], "file_name": [path.rsplit("/", 1)[-1]], "body": [body], "error": [error]})
+
+
+def _decoded(spark: SparkSession, roots: Sequence[str], glob: str, read) -> DataFrame:
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+             .load(list(roots)).select("path", "content"))
+    return files.mapInPandas(read, _BODY)
+
+
+def archive_members(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """archive, file_name, body, error of every JSON member of the tar archives, plain or LZ4; a task per archive."""
+    return _decoded(spark, roots, "*.tar", _members)
+
+
+def compressed_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """The same of single LZ4 files."""
+    return _decoded(spark, roots, "*.json.lz4", _files)
+
+
+def parsed(bodies: DataFrame, schema: str = TRAJECTORY_SCHEMA) -> DataFrame:
+    """Trajectories of the bodies without an error; those with one are for the quarantine table."""
+    return bodies.where("error IS NULL").withColumn("_t", F.from_json("body", schema)).select("_t.*", "file_name")
 
 
 def read_trajectory_archives(spark: SparkSession, roots: Sequence[str], schema: str = TRAJECTORY_SCHEMA) -> DataFrame:
-    """Trajectories from tar archives, one task per archive and one row per member."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar").load(list(roots))
-    rows = files.select("path", "content").mapInPandas(_members, "archive STRING, file_name STRING, body STRING")
-    parsed = rows.withColumn("_t", F.from_json("body", schema))
-    return parsed.select("_t.*", "file_name")
+    """Trajectories from tar archives, one row per member."""
+    return parsed(archive_members(spark, roots), schema)
 
 
 def to_steps(trajectories: DataFrame, keys: Sequence[str], states: str = "states", actions: str = "actions") -> DataFrame:

@@ -4,6 +4,7 @@ import io
 import json
 import tarfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skirmish.sources import battles, filenames, manifest, results, teams, trajectories, usage
@@ -89,14 +90,23 @@ def test_raw_battles_with_a_broken_file(spark, tmp_path):
 def test_archives(spark, tmp_path):
     state = {"format": "gen1ou", "forced_switch": False, "weather": "noweather"}
     body = json.dumps({"states": [state, state], "actions": [3, -1]}).encode()
+    packed = pa.compress(body, codec="lz4", asbytes=True)
     with tarfile.open(tmp_path / "x.tar", "w") as tar:
-        for n in ("a.json", "b.json"):
+        for n, data in (("a.json", body), ("b.json", body), ("c.json.lz4", packed), ("d.json.lz4", b"no frame"),
+                        ("e.json", body[:-3]), ("f.txt", b"x")):
             info = tarfile.TarInfo(f"in/{n}")
-            info.size = len(body)
-            tar.addfile(info, io.BytesIO(body))
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    (tmp_path / "y.tar").write_bytes(b"not an archive at all")
+    (tmp_path / "single.json.lz4").write_bytes(packed)
     steps = trajectories.to_steps(trajectories.read_trajectory_archives(spark, [str(tmp_path)]), ["file_name"])
-    assert steps.count() == 4
-    assert [r["action"] for r in steps.where("file_name = 'a.json'").orderBy("t").collect()] == [3, -1]
+    assert steps.count() == 6
+    for n in ("a.json", "c.json.lz4"):
+        assert [r["action"] for r in steps.where(f"file_name = '{n}'").orderBy("t").collect()] == [3, -1]
+    wrong = trajectories.archive_members(spark, [str(tmp_path)]).where("error IS NOT NULL").collect()
+    assert {r.file_name for r in wrong} == {"d.json.lz4", "e.json", None}
+    single = trajectories.parsed(trajectories.compressed_files(spark, [str(tmp_path)])).collect()
+    assert [(r.file_name, r.actions) for r in single] == [("single.json.lz4", [3, -1])]
 
 
 def test_names_and_manifest(spark, tmp_path):
