@@ -129,21 +129,22 @@ def switches(log: DataFrame, key: Sequence[str], seg: str, order: Sequence[str],
 
 
 def move_reveals(log: DataFrame, battle: Sequence[str], order: Sequence[str], slot: Column, move: Column,
-                 target: Column) -> DataFrame:
-    """First use of each move by each entity."""
+                 target: Column, args: Column) -> DataFrame:
+    """First use of each move by each entity, and the move that called it, if any."""
     used = log.where(F.col("type") == "move").withColumn("entity", tx.slot_name(slot)).withColumn(
-        "move", tx.move_id(move)).withColumn("_tgt", tx.slot_name(target))
+        "move", tx.move_id(move)).withColumn("_tgt", tx.slot_name(target)).withColumn("_src", tx.source_of(args, "move"))
     return used.groupBy(*battle, "entity", "move").agg(
-        F.min(F.struct(*order, F.col("_tgt").alias("target"))).alias("_first"), F.count("*").alias("uses")).select(
-        *battle, "entity", "move", *[F.col("_first")[c].alias(c) for c in order], F.col("_first.target"), "uses")
+        F.min(F.struct(*order, F.col("_tgt").alias("target"), F.col("_src").alias("source"))).alias("_first"), F.count("*").alias("uses")).select(
+        *battle, "entity", "move", *[F.col("_first")[c].alias(c) for c in order], F.col("_first.target"), F.col("_first.source"), "uses")
 
 
 def fact_reveals(log: DataFrame, battle: Sequence[str], order: Sequence[str], kind: str, slot: Column,
                  value: Column, args: Column) -> DataFrame:
-    """First reveal of an item or ability per entity, from its own message or from a ``[from]`` note.
-    A note with ``[of]`` reveals the named entity's fact."""
-    direct = F.when(F.col("type") == f"-{kind}", value)
-    noted = F.when(F.col("type") != f"-{kind}", tx.source_of(args, kind))
+    """First reveal of an item or ability per entity, from its own message (its end reveals it too) or from a
+    ``[from]`` note.  A note with ``[of]`` reveals the named entity's fact."""
+    own = F.col("type").isin(f"-{kind}", f"-end{kind}")
+    direct = F.when(own, value)
+    noted = F.when(~own, tx.source_of(args, kind))
     owner = F.when(direct.isNull(), F.coalesce(tx.slot_name(tx.entity_of(args)), tx.slot_name(slot))).otherwise(
         tx.slot_name(slot))
     rows = log.select(*battle, *order, owner.alias("entity"), F.coalesce(direct, noted).alias(kind)).where(
@@ -168,12 +169,19 @@ def remaining(log: DataFrame, key: Sequence[str], seg: str, order: Sequence[str]
 
 
 def statuses(log: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], status: Column) -> DataFrame:
-    """Status after every message; a cure works only on the status in force."""
+    """Status after every message; a cure works only on the status in force, a team cure on the whole side.
+
+    ``key`` ends with the entity; its other columns name the side, and ``-cureteam`` rows have any entity of it.
+    """
     t = F.col("type")
-    named = running(log, key, seg, order, {"_set": ("last", F.when(t == "-status", status))})
+    at = F.struct(*order)
+    sided = running(log, key[:-1], seg, order, {"_cured": ("last", F.when(t == "-cureteam", at))})
+    named = running(sided, key, seg, order, {"_set": ("last", F.when(t == "-status", status))})
     mark = F.when(t == "-status", status).when((t == "-curestatus") & (status == F.col("_set")), "nostatus")
-    out = running(named, key, seg, order, {"status": ("last", mark)})
-    return out.withColumn("status", F.coalesce("status", F.lit("nostatus"))).drop("_set")
+    out = running(named, key, seg, order, {"_mark": ("last", F.when(mark.isNotNull(), F.struct(at.alias("at"), mark.alias("status"))))})
+    cured = F.col("_cured").isNotNull() & (F.col("_cured") >= F.col("_mark.at"))
+    return out.withColumn("status", F.when(cured, "nostatus").otherwise(F.coalesce("_mark.status", F.lit("nostatus")))).drop(
+        "_set", "_mark", "_cured")
 
 
 def boost_messages(log: DataFrame, stat: Column, amount: Column) -> DataFrame:
@@ -210,6 +218,14 @@ def boost_stages(rows: DataFrame, key: Sequence[str], seg: str, order: Sequence[
     return stage_values(rows, key, seg, order, slot_map(1, 2), slot_map(2, 1), bound)
 
 
+def home_side(log: DataFrame, battle: Sequence[str], seg: str, order: Sequence[str], side: Column, name: str = "home") -> DataFrame:
+    """The side a condition belonged to before all ``-swapsideconditions`` so far: with an odd number of swaps the
+    other one.  A condition keeps its home side when the sides change places, so its start and end still meet."""
+    out = running(log, battle, seg, order, {"_swaps": ("count", F.when(F.col("type") == "-swapsideconditions", 1))})
+    odd = F.coalesce("_swaps", F.lit(0)) % 2 == 1
+    return out.withColumn(name, F.when(odd, F.when(side == "p1", "p2").otherwise("p1")).otherwise(side)).drop("_swaps")
+
+
 def condition_intervals(log: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], starts: Sequence[str],
                         ends: Sequence[str], turn: Column) -> DataFrame:
     """Intervals of side, field or volatile conditions; ``key`` includes the condition."""

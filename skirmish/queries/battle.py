@@ -265,15 +265,22 @@ FROM i GROUP BY ALL HAVING count(CASE WHEN is_end = 0 THEN 1 END) > 0"""
 _COND_SQL = "replace(lower(trim(replace({0}, 'move:', ''))), ' ', '')"
 
 
-def _intervals(spark, d, key, cond, start, end):
-    rows = log_with_turns(spark, d).withColumn("cond", cond).where(F.col("cond").isNotNull())
+def _intervals(turned, key, cond, start, end):
+    rows = turned.withColumn("cond", cond).where(F.col("cond").isNotNull())
     out = events.condition_intervals(rows, [*key, "cond"], SEG, ORDER, [start], [end], F.col("turn"))
     return out.withColumn("island", F.col("island").cast("bigint"))
 
 
-@query("W19_condition_intervals", _interval_sql("-sidestart", "-sideend", "battle_id, side", _COND_SQL.format("a2")), ("log",))
+_HOME_SQL = f"""WITH homed AS (SELECT * REPLACE (CASE WHEN count(CASE WHEN type = '-swapsideconditions' THEN 1 END) OVER ({W_SQL}
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) % 2 = 1 THEN CASE side WHEN 'p1' THEN 'p2' ELSE 'p1' END ELSE side END AS side) FROM log),
+{TURNS_SQL.replace("FROM log", "FROM homed")},"""
+
+
+@query("W19_condition_intervals", _interval_sql("-sidestart", "-sideend", "battle_id, side", _COND_SQL.format("a2")).replace(
+    f"WITH {TURNS_SQL},", _HOME_SQL), ("log",))
 def w19(spark, d):
-    return _intervals(spark, d, _SIDE, tx.condition_name(F.col("a2")), "-sidestart", "-sideend")
+    rows = events.home_side(log_with_turns(spark, d), KEY, SEG, ORDER, F.col("side"), "side")
+    return _intervals(rows, _SIDE, tx.condition_name(F.col("a2")), "-sidestart", "-sideend")
 
 
 _STAGE_SQL = """
@@ -374,10 +381,11 @@ _MOVE_ID = """CASE WHEN m LIKE 'hiddenpower%' THEN 'hiddenpower' WHEN m = 'viceg
 WITH m AS (SELECT *, lower(regexp_replace(a2, '[^\\p{{L}}]', '', 'g')) AS m, substr(a1, 6) AS entity FROM log WHERE type = 'move'),
 i AS (SELECT *, {_MOVE_ID} AS move FROM m)
 SELECT battle_id, side, entity, move, first(event_id ORDER BY ts, event_id) AS event_id,
- first(substr(a3, 6) ORDER BY ts, event_id) AS target, count(*) AS uses FROM i GROUP BY 1, 2, 3, 4""", ("log",))
+ first(substr(a3, 6) ORDER BY ts, event_id) AS target, nullif(first(replace(a4, '[from] move: ', '') ORDER BY ts, event_id), '') AS source,
+ count(*) AS uses FROM i GROUP BY 1, 2, 3, 4""", ("log",))
 def e5(spark, d):
-    out = events.move_reveals(log(spark, d), _SIDE, ORDER, F.col("a1"), F.col("a2"), F.col("a3"))
-    return out.select("battle_id", "side", "entity", "move", "event_id", "target", "uses")
+    out = events.move_reveals(log(spark, d), _SIDE, ORDER, F.col("a1"), F.col("a2"), F.col("a3"), F.array("a4"))
+    return out.select("battle_id", "side", "entity", "move", "event_id", "target", "source", "uses")
 
 
 @query("E6_health", """
@@ -403,13 +411,14 @@ def e7(spark, d):
 
 
 @query("E8_statuses", """
-WITH s AS (SELECT *, substr(a1, 6) AS entity FROM log WHERE type IN ('-status', '-curestatus')),
-l AS (SELECT *, list(CASE WHEN type = '-status' THEN '+' ELSE '-' END || a2) OVER
- (PARTITION BY battle_id, side, entity ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ms FROM s)
-SELECT event_id, list_reduce(ms, lambda acc, m: CASE WHEN m[1] = '+' THEN m[2:] WHEN m[2:] = acc THEN 'nostatus' ELSE acc END, 'nostatus') AS status
-FROM l""", ("log",))
+WITH s AS (SELECT *, substr(a1, 6) AS entity FROM log WHERE type IN ('-status', '-curestatus', '-cureteam')),
+l AS (SELECT *, list({'e': entity, 'k': type, 'v': a2}) OVER
+ (PARTITION BY battle_id, side ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ms FROM s),
+o AS (SELECT event_id, list_transform(list_filter(ms, lambda m: m.k = '-cureteam' OR m.e = entity), lambda m: m.k || '|' || m.v) AS own FROM l)
+SELECT event_id, list_reduce(own, lambda acc, m: CASE WHEN m LIKE '-status|%' THEN m[9:] WHEN m LIKE '-cureteam|%' OR m[13:] = acc THEN 'nostatus' ELSE acc END, 'nostatus') AS status
+FROM o""", ("log",))
 def e8(spark, d):
-    rows = log(spark, d).where(F.col("type").isin("-status", "-curestatus")).withColumn("entity", tx.slot_name(F.col("a1")))
+    rows = log(spark, d).where(F.col("type").isin("-status", "-curestatus", "-cureteam")).withColumn("entity", tx.slot_name(F.col("a1")))
     return events.statuses(rows, ["battle_id", "side", "entity"], SEG, ORDER, F.col("a2")).select("event_id", "status")
 
 
@@ -437,7 +446,7 @@ def e9(spark, d):
 
 @query("E10_field_intervals", _interval_sql("-fieldstart", "-fieldend", "battle_id", _COND_SQL.format("a1")), ("log",))
 def e10(spark, d):
-    return _intervals(spark, d, KEY, tx.condition_name(F.col("a1")), "-fieldstart", "-fieldend")
+    return _intervals(log_with_turns(spark, d), KEY, tx.condition_name(F.col("a1")), "-fieldstart", "-fieldend")
 
 
 @query("E10_weather", """
@@ -460,9 +469,20 @@ def e11(spark, d):
     return out.select("battle_id", "entity", "event_id", "ability")
 
 
+@query("E11_item_reveals", """
+WITH r AS (SELECT battle_id, ts, event_id, CASE WHEN type LIKE '-%item' THEN substr(a1, 6) WHEN a4 <> '' THEN substr(replace(a4, '[of] ', ''), 6)
+   ELSE substr(a1, 6) END AS entity, CASE WHEN type LIKE '-%item' THEN a2 ELSE replace(a3, '[from] item: ', '') END AS item
+  FROM log WHERE type IN ('-item', '-enditem') OR a3 LIKE '[from] item:%')
+SELECT battle_id, entity, first(event_id ORDER BY ts, event_id) AS event_id, first(item ORDER BY ts, event_id) AS item
+FROM r GROUP BY 1, 2""", ("log",))
+def e11_items(spark, d):
+    out = events.fact_reveals(log(spark, d), KEY, ORDER, "item", F.col("a1"), F.col("a2"), F.col("args"))
+    return out.select("battle_id", "entity", "event_id", "item")
+
+
 @query("E12_volatile_effects", _interval_sql("-start", "-end", "battle_id, side", "lower(a2)"), ("log",))
 def e12(spark, d):
-    return _intervals(spark, d, _SIDE, tx.clean_letters(F.col("a2")), "-start", "-end")
+    return _intervals(log_with_turns(spark, d), _SIDE, tx.clean_letters(F.col("a2")), "-start", "-end")
 
 
 @query("E13_tera_uses", """

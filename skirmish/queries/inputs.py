@@ -14,12 +14,12 @@ _TYPES = """CASE event_type
  WHEN 'view' THEN 'turn'
  WHEN 'signup' THEN CASE WHEN k < 80 THEN 'switch' ELSE 'drag' END
  WHEN 'click' THEN CASE WHEN k % 5 < 2 THEN 'move' WHEN k % 5 = 2 THEN '-boost'
-   WHEN k % 5 = 3 THEN '-unboost' WHEN k < 50 THEN '-ability' ELSE '-item' END
+   WHEN k % 5 = 3 THEN '-unboost' WHEN k < 50 THEN '-ability' WHEN k < 85 THEN '-item' ELSE '-enditem' END
  WHEN 'error' THEN CASE WHEN k < 50 THEN '-damage' WHEN k < 70 THEN '-heal' WHEN k < 85 THEN '-status'
    WHEN k < 95 THEN '-curestatus' ELSE 'faint' END
  ELSE CASE WHEN k < 20 THEN '-sidestart' WHEN k < 35 THEN '-sideend' WHEN k < 45 THEN '-weather'
    WHEN k < 52 THEN '-fieldstart' WHEN k < 57 THEN '-fieldend' WHEN k < 65 THEN '-start' WHEN k < 72 THEN '-end'
-   WHEN k < 76 THEN '-terastallize' WHEN k < 80 THEN 'cant' WHEN k < 83 THEN '-mustrecharge'
+   WHEN k < 76 THEN '-terastallize' WHEN k < 79 THEN 'cant' WHEN k < 80 THEN '-swapsideconditions' WHEN k < 82 THEN '-mustrecharge' WHEN k < 83 THEN '-cureteam'
    WHEN k < 86 THEN '-clearboost' WHEN k < 89 THEN '-setboost' WHEN k < 92 THEN '-swapboost'
    WHEN k < 95 THEN 'choice' WHEN k < 97 THEN 'win' WHEN k < 98 THEN 'tie' WHEN k < 99 THEN 'debug'
    ELSE '-novelty' END END"""
@@ -48,7 +48,7 @@ _A2 = f"""CASE
  WHEN type IN ('-sidestart', '-sideend') THEN CASE k % 3 WHEN 0 THEN 'Spikes' WHEN 1 THEN 'move: Stealth Rock' ELSE 'Reflect' END
  WHEN type IN ('-start', '-end') THEN CASE k % 2 WHEN 0 THEN 'confusion' ELSE 'Substitute' END
  WHEN type = '-ability' THEN 'Ability ' || CAST(k % 5 AS STRING)
- WHEN type = '-item' THEN 'Item ' || CAST(k % 6 AS STRING)
+ WHEN type IN ('-item', '-enditem') THEN 'Item ' || CAST(k % 6 AS STRING)
  WHEN type = '-terastallize' THEN CASE k % 2 WHEN 0 THEN 'Fire' ELSE 'Water' END
  WHEN type = 'cant' THEN 'par'
  WHEN type = 'choice' THEN CASE k % 2 WHEN 0 THEN 'move surf' ELSE 'switch 2' END
@@ -62,7 +62,8 @@ _A3 = f"""CASE
    WHEN 2 THEN '[from] move: Leech Seed' ELSE '' END
  ELSE '' END"""
 
-_A4 = f"CASE WHEN type IN ('-damage', '-heal') AND k % 4 < 2 THEN '[of] ' || {_FOE} ELSE '' END"
+_A4 = f"""CASE WHEN type IN ('-damage', '-heal') AND k % 4 < 2 THEN '[of] ' || {_FOE}
+ WHEN type = 'move' AND k % 6 = 1 THEN '[from] move: Call ' || chr(65 + k % 4) ELSE '' END"""
 
 # A whole battle log as text, one per order.
 _RATING = "CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(1000 + CAST(floor(o_totalprice) AS BIGINT) % 900 AS STRING) END"
