@@ -94,9 +94,9 @@ def two_step_lookup(df: DataFrame, stats: DataFrame, key: str, species: Column,
 # -- partial records ------------------------------------------------------------------
 #
 # A record fits a candidate when every known field is equal and every known set member
-# is contained.  A candidate has finitely many generalisations (fields and members
-# hidden in every combination), so "fits" becomes an equality join between a record's
-# pattern and the candidate's generalisations: no pair that does not match is formed.
+# is contained.  A candidate has finitely many generalisations (members hidden in every
+# combination, fields in every combination that records have), so "fits" becomes an equality join
+# between a record's pattern and the candidate's generalisations: no pair that does not match is formed.
 
 _HIDDEN = "\x00"
 
@@ -108,18 +108,21 @@ def pattern(keys: Sequence[Column], fields: Sequence[Column], members: Column) -
     return F.concat(F.array(*[text(c) for c in [*keys, *fields]]), known)
 
 
-def generalisations(keys: Sequence[Column], fields: Sequence[Column], members: Column) -> Column:
-    """Patterns of all records that fit this one: 2^(known fields + members) at most."""
-    hidden = F.array(F.lit(_HIDDEN))
+def known_mask(fields: Sequence[Column]) -> Column:
+    """Which fields of a record are known, one bit each."""
+    return reduce(lambda acc, x: acc + x, [F.when(f.isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(fields)],
+                  F.lit(0)).cast("bigint")
 
-    def extend(heads: Column, field: Column) -> Column:
-        value = field.cast("string")
-        return F.flatten(F.transform(heads, lambda h: F.when(value.isNull(), F.array(F.concat(h, hidden))).otherwise(
-            F.array(F.concat(h, hidden), F.concat(h, F.array(value))))))
 
-    heads = F.array(F.array(*[c.cast("string") for c in keys]).cast("array<string>"))
-    for f in fields:
-        heads = extend(heads, f)
+def generalisations(keys: Sequence[Column], fields: Sequence[Column], members: Column, masks: Column) -> Column:
+    """Patterns of the records that fit this one and know the fields of one of ``masks``.
+
+    Their number follows the combinations of known fields that records really have, not all there could be.
+    """
+    own = known_mask(fields)
+    head = lambda m: F.array(*[c.cast("string") for c in keys], *[
+        F.when(m.bitwiseAND(F.lit(1 << i)) != 0, f.cast("string")).otherwise(_HIDDEN) for i, f in enumerate(fields)])
+    heads = F.transform(F.filter(masks, lambda m: m.bitwiseAND(own) == m), head)
     known = F.sort_array(F.array_distinct(F.array_compact(members.cast("array<string>"))))
     subsets = F.aggregate(known, F.array(F.array().cast("array<string>")), lambda acc, m: F.concat(
         acc, F.transform(acc, lambda s: F.concat(s, F.array(m)))))
@@ -147,16 +150,19 @@ def distinct_records(df: DataFrame, keys: Sequence[str], fields: Sequence[str],
     return materialise(out, "records") if store else out
 
 
-def _spread(records: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str) -> DataFrame:
-    gens = generalisations([F.col(k) for k in keys], [F.col(f) for f in fields], F.col(members))
-    return records.withColumn("_general", F.explode(gens))
+def _spread(candidates: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str, records: DataFrame) -> DataFrame:
+    """Candidates by the patterns of ``records`` that could fit them."""
+    columns = [F.col(f) for f in fields]
+    masks = records.agg(F.sort_array(F.collect_set(known_mask(columns)))).scalar()
+    gens = generalisations([F.col(k) for k in keys], columns, F.col(members), F.col("_masks"))
+    return candidates.withColumn("_masks", masks).withColumn("_general", F.explode(gens)).drop("_masks")
 
 
 def consistent_pairs(records: DataFrame, candidates: DataFrame, keys: Sequence[str], fields: Sequence[str],
                      members: str) -> DataFrame:
     """All (record, candidate) pairs where the record fits; columns ``record`` and ``candidate`` are structs
     of pattern and copies.  Both inputs come from :func:`distinct_records`."""
-    right = _spread(candidates, keys, fields, members).select(
+    right = _spread(candidates, keys, fields, members, records).select(
         "_general", F.struct("pattern", "copies", *keys, *fields, members).alias("candidate"))
     left = records.select(F.col("pattern").alias("_general"),
                           F.struct("pattern", "copies", *keys, *fields, members).alias("record"))
@@ -165,14 +171,14 @@ def consistent_pairs(records: DataFrame, candidates: DataFrame, keys: Sequence[s
 
 def leaves(records: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str) -> DataFrame:
     """Distinct records that no other record extends."""
-    general = _spread(records, keys, fields, members)
+    general = _spread(records, keys, fields, members, records)
     covered = general.where(F.col("_general") != F.col("pattern")).select(F.col("_general").alias("pattern")).distinct()
     return records.join(covered, "pattern", "left_anti")
 
 
 def leaf_weights(records: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str) -> DataFrame:
     """Leaves with the number of records, repeats included, that fit them."""
-    tips = _spread(leaves(records, keys, fields, members), keys, fields, members)
+    tips = _spread(leaves(records, keys, fields, members), keys, fields, members, records)
     known = records.select(F.col("pattern").alias("_general"), F.col("copies").alias("_n"))
     return tips.join(known, "_general").groupBy("pattern", *keys, *fields, members, "copies").agg(F.sum("_n").alias("weight"))
 
@@ -180,7 +186,7 @@ def leaf_weights(records: DataFrame, keys: Sequence[str], fields: Sequence[str],
 def best_candidates(records: DataFrame, weighted: DataFrame, keys: Sequence[str], fields: Sequence[str],
                     members: str, k: int) -> DataFrame:
     """Top-``k`` fitting candidates by weight for each distinct record."""
-    right = _spread(weighted, keys, fields, members).select(
+    right = _spread(weighted, keys, fields, members, records).select(
         F.col("_general").alias("pattern"), F.col("pattern").alias("candidate"), "weight")
     pairs = records.select("pattern").join(right, "pattern")
     return top_per(pairs, ["pattern"], [F.desc("weight"), "candidate"], k, "place")
