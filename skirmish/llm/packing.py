@@ -7,6 +7,9 @@ sequence number), from which a trainer draws batches.  No sequence crosses docum
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from itertools import batched
 
 import pyarrow as pa
@@ -17,6 +20,11 @@ from pyspark.sql import functions as F
 
 #: Words of the byte-level vocabulary's pre-tokenizer, a fixed value of that vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for ASCII texts, for which the plain ``re`` is faster.
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: The character by which a byte-level vocabulary spells each byte: itself if it is printable, else one above 255.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
 #: Bits of a sequence number: log2 of the length, partition, number in the partition.
 PARTITION_BITS, NUMBER_BITS = 22, 30
 
@@ -29,35 +37,37 @@ def decompose(tokens: int, most: int) -> list[int]:
 
 class Encoder(dict):
     """Token ids, packed as little-endian 32-bit numbers, by word.  Byte-level BPE never merges across the words of
-    its pre-tokenizer, so each distinct word is encoded once; at ``words`` entries the table starts anew."""
+    its pre-tokenizer, so each distinct word goes to the model once; at ``words`` entries the table starts anew.
+    Strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, words: int = 300_000) -> None:
+    def __init__(self, path: str, words: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.words, self.pattern = Tokenizer.from_file(path), words, regex.compile(WORDS)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenize, self.words = Tokenizer.from_file(path).model.tokenize, words
+        self.pattern, self.ascii_pattern = regex.compile(WORDS), re.compile(ASCII_WORDS, re.ASCII)
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self) > self.words:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.words:
             self.clear()
-        new = list(words - self.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+        spelt = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        self[word] = ids = array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
+        return ids
 
     def encode(self, text: str) -> bytes:
+        pattern = self.ascii_pattern if text.isascii() else self.pattern
         if len(text) <= 1 << 20:
-            blocks = [self.pattern.findall(text)]
-        else:  # a list of all words of a huge text would take many times its size
-            blocks = batched((m.group() for m in self.pattern.finditer(text)), 1 << 16)
-        out = []
-        for words in blocks:
-            try:
-                out.append(b"".join(map(self.__getitem__, words)))
-            except KeyError:
-                self._learn(set(words))
-                out.append(b"".join(map(self.__getitem__, words)) if len(words) else b"")
-        return b"".join(out)
+            return b"".join(map(self.__getitem__, pattern.findall(text)))
+        words = (m.group() for m in pattern.finditer(text))  # a list of them would take many times the text's size
+        return b"".join(b"".join(map(self.__getitem__, some)) for some in batched(words, 1 << 16))
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker: a worker serves many tasks, and its table of words with it."""
+    held = sys.__dict__.setdefault("_skirmish_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 _PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -77,7 +87,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         raise ValueError("most must be a power of two")
 
     def run(batches):
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
         counts = [0] * most.bit_length()
         if part >> PARTITION_BITS:
             raise OverflowError("too many partitions for the sequence numbers")
