@@ -28,6 +28,8 @@ from .text import word_blocks
 #: Perfect difference sets: every residue is the difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 _FACTOR, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes kept of a hash beside its bucket.  An anchor that is taken for another only costs a look at its windows.
+ANCHOR_BYTES, WINDOW_BYTES = 6, 8
 _PACKED = "bucket int, flush long, hashes binary, offsets binary, shared binary, ids binary, ties binary, bases binary"
 
 
@@ -57,6 +59,29 @@ def rolling(hashes: np.ndarray, width: int, factor: np.uint64 = _FACTOR) -> np.n
     return acc ^ (acc >> np.uint64(29))
 
 
+def packed_offsets(offsets: np.ndarray) -> bytes:
+    """Ascending offsets in two bytes each, behind the number of them in each page of 65,536."""
+    pages = np.bincount(offsets >> 16).astype(np.uint32)
+    return np.uint32(len(pages)).tobytes() + pages.tobytes() + offsets.astype(np.uint16).tobytes()
+
+
+def unpacked_offsets(data: bytes) -> np.ndarray:
+    size = int(np.frombuffer(data, np.uint32, 1)[0])
+    pages = np.frombuffer(data, np.uint32, size, 4)
+    low = np.frombuffer(data, np.uint16, offset=4 + 4 * size)
+    return np.repeat(np.arange(size, dtype=np.uint32) << np.uint32(16), pages) | low
+
+
+def _shortened(hashes: np.ndarray, width: int) -> bytes:
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _lengthened(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
 class _Flush:
     """Documents gathered until they are worth a row per bucket."""
 
@@ -81,8 +106,9 @@ class _Flush:
 
 
 def _rows(flush: int, buckets: int, where: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, shared_where: np.ndarray,
-          shared: np.ndarray, settled: np.ndarray, ids, ties, bases) -> pa.RecordBatch:
-    """A row per bucket, and one with the flush's documents and the offsets that are settled already."""
+          shared: np.ndarray, settled: np.ndarray, ids, ties, bases, width: int) -> pa.RecordBatch:
+    """A row per bucket, and one with the flush's documents and the offsets that are settled already.  ``offsets``
+    ascend, hashes keep ``width`` bytes."""
     order, more = np.argsort(where, kind="stable"), np.argsort(shared_where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(buckets + 1))
     more_cuts = np.searchsorted(shared_where[more], np.arange(buckets + 1))
@@ -90,8 +116,9 @@ def _rows(flush: int, buckets: int, where: np.ndarray, hashes: np.ndarray, offse
     for b in range(buckets):
         own, out = order[cuts[b]:cuts[b + 1]], more[more_cuts[b]:more_cuts[b + 1]]
         if len(own) or len(out):
-            rows.append((b, flush, hashes[own].tobytes(), offsets[own].tobytes(), shared[out].tobytes(), None, None, None))
-    rows.append((flush % buckets, flush, None, settled.astype(np.uint32).tobytes(), None,
+            rows.append((b, flush, _shortened(hashes[own], width), packed_offsets(offsets[own]), _shortened(shared[out], width),
+                         None, None, None))
+    rows.append((flush % buckets, flush, None, packed_offsets(np.sort(settled)), None,
                  ids.tobytes(), ties.tobytes(), bases.tobytes()))
     kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)],
@@ -113,9 +140,9 @@ def _packer(buckets: int, window: int, flush_words: int, marked: bool) -> Callab
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, bool)
         sizes = np.diff(np.append(np.flatnonzero(first), len(ordered)))
         single = np.repeat(sizes == 1, sizes)
-        alone, several = order[single], order[first & ~single]
-        return _rows(number, buckets, found[alone] % buckets, found[alone], offsets[alone].astype(np.uint32),
-                     found[several] % buckets, found[several], offsets[order[~single]], ids, ties, bases)
+        alone, several = np.sort(order[single]), order[first & ~single]
+        return _rows(number, buckets, found[alone] % buckets, found[alone], offsets[alone],
+                     found[several] % buckets, found[several], offsets[order[~single]], ids, ties, bases, ANCHOR_BYTES)
 
     def windows(flush: _Flush, number: int) -> pa.RecordBatch:
         ids, ties, bases, sizes, hashes, _, left = flush.columns()
@@ -129,9 +156,9 @@ def _packer(buckets: int, window: int, flush_words: int, marked: bool) -> Callab
         order = np.lexsort((found, where))  # stable: equal windows stay in the order of their offsets
         same = (found[order][1:] == found[order][:-1]) & (where[order][1:] == where[order][:-1])
         first = np.concatenate([[True], ~same]) if len(order) else np.empty(0, bool)
-        kept, none = order[first], np.empty(0, np.uint64)
-        return _rows(number, buckets, where[kept], found[kept], offsets[kept].astype(np.uint32), none, none,
-                     offsets[order[~first]], ids, ties, bases)
+        kept, none = np.sort(order[first]), np.empty(0, np.uint64)
+        return _rows(number, buckets, where[kept], found[kept], offsets[kept], none, none,
+                     offsets[order[~first]], ids, ties, bases, WINDOW_BYTES)
 
     def pack(batches):
         flush, number = _Flush(), TaskContext.get().partitionId() << 32
@@ -151,14 +178,14 @@ def _packer(buckets: int, window: int, flush_words: int, marked: bool) -> Callab
     return pack
 
 
-def _joined(parts: list[bytes | None], kind) -> np.ndarray:
-    return np.frombuffer(b"".join(p or b"" for p in parts), kind)
+def _joined(parts: list[bytes | None], width: int) -> np.ndarray:
+    return _lengthened(b"".join(p or b"" for p in parts), width)
 
 
 def _settle_anchors(table: pa.Table) -> pa.Table:
     """Of one bucket, the offsets of the anchors that occur more than once, by flush."""
-    hashes, shared = [_joined(table[c].to_pylist(), np.uint64) for c in ("hashes", "shared")]
-    sizes = [len(x or b"") // 8 for x in table["hashes"].to_pylist()]
+    hashes, shared = [_joined(table[c].to_pylist(), ANCHOR_BYTES) for c in ("hashes", "shared")]
+    sizes = [len(x or b"") // ANCHOR_BYTES for x in table["hashes"].to_pylist()]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     found = np.concatenate([hashes, shared])
     order = np.argsort(found, kind="stable")
@@ -172,8 +199,8 @@ def _settle_anchors(table: pa.Table) -> pa.Table:
 def _settle_windows(table: pa.Table) -> pa.Table:
     """Of one bucket, the offsets of the windows that occur in an earlier flush too, by flush."""
     table = table.sort_by("flush")
-    found = _joined(table["hashes"].to_pylist(), np.uint64)
-    owner = np.repeat(np.arange(len(table)), [len(x or b"") // 8 for x in table["hashes"].to_pylist()])
+    found = _joined(table["hashes"].to_pylist(), WINDOW_BYTES)
+    owner = np.repeat(np.arange(len(table)), [len(x or b"") // WINDOW_BYTES for x in table["hashes"].to_pylist()])
     order = np.argsort(found, kind="stable")
     later = np.zeros(len(found), bool)
     later[order[1:]] = found[order][1:] == found[order][:-1]
@@ -188,9 +215,9 @@ def _returned(table: pa.Table, owner: np.ndarray, chosen: np.ndarray) -> pa.Tabl
             rows.append((flush, offsets, *docs))
         else:
             a, b = np.searchsorted(owner, [i, i + 1])
-            own = np.frombuffer(offsets, np.uint32)[chosen[a:b]]
+            own = unpacked_offsets(offsets)[chosen[a:b]]
             if len(own):
-                rows.append((flush, own.tobytes(), None, None, None))
+                rows.append((flush, packed_offsets(own), None, None, None))
     kinds = [pa.int64()] + [pa.binary()] * 4
     return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)],
                     ["flush", "offsets", "ids", "ties", "bases"])
@@ -198,7 +225,7 @@ def _returned(table: pa.Table, owner: np.ndarray, chosen: np.ndarray) -> pa.Tabl
 
 def _by_document(table: pa.Table) -> pa.Table:
     """Of one flush, the chosen positions of each document that has any."""
-    offsets = np.sort(_joined(table["offsets"].to_pylist(), np.uint32))
+    offsets = np.sort(np.concatenate([unpacked_offsets(x) for x in table["offsets"].to_pylist()]))
     whole = table.filter(table["ids"].is_valid())
     ids, ties, bases = [np.frombuffer(whole[c][0].as_py(), k) for c, k in (
         ("ids", np.int64), ("ties", np.int64), ("bases", np.uint32))]
