@@ -229,13 +229,16 @@ def best_retrieval(wanted: DataFrame, members: DataFrame, request: str, team: st
     asked = wanted.groupBy(request).agg(F.sum(F.size("wanted_moves")).alias("_asked"))
     sets = members.groupBy(team, name).agg(F.collect_set("moves").alias("_sets"))
     overlap = F.array_max(F.transform("_sets", lambda m: F.size(F.array_intersect("wanted_moves", m)))).cast("bigint")
-    per_team = wanted.join(sets, name).groupBy(request, team).agg(
-        F.count("*").alias("matched"), F.sum(overlap).alias("_o"), F.sort_array(F.collect_list("position")).alias("_p"))
-    best = per_team.groupBy(request).agg(F.min(F.struct(
-        F.negate("matched").alias("m"), F.negate("_o").alias("o"), F.col("_p").alias("p"), F.col(team).alias("t"))).alias("b"))
+    # Of two name sets of equal size the one with earlier names has the larger bits, 40 positions to a number.
+    last = wanted.agg(F.max("position")).first()[0] or 0
+    bits = [F.sum(F.when(F.floor(F.col("position") / 40) == i, F.pow(F.lit(2), 39 - F.col("position") % 40)).otherwise(0).cast("bigint")).alias(f"_b{i}")
+            for i in range(last // 40 + 1)]
+    per_team = wanted.join(sets, name).groupBy(request, team).agg(F.count("*").alias("_n"), F.sum(overlap).alias("_o"), *bits)
+    best = per_team.groupBy(request).agg(F.max(F.struct(
+        "_n", "_o", *[f"_b{i}" for i in range(len(bits))], F.negate(team).alias("t"))).alias("b"))
     return best.join(asked, request).select(
-        request, F.col("b.t").alias(team), F.negate("b.m").alias("matched"),
-        F.coalesce(F.try_divide(F.negate("b.o"), F.col("_asked")), F.lit(0.0)).alias("ratio"))
+        request, F.negate("b.t").alias(team), F.col("b._n").alias("matched"),
+        F.coalesce(F.try_divide(F.col("b._o"), F.col("_asked")), F.lit(0.0)).alias("ratio"))
 
 
 def payoff_table(scores: DataFrame, id_col: str, score: str, win: Callable[[Column, Column], Column]) -> DataFrame:
