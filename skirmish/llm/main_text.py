@@ -1,9 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at its block-level tags.  The first pass decides each block: by the element it lies in
-(navigation, forms, adverts, notices, reader comments ... are never text; if the page has an article or main element,
-that is the text), else by length, link density and stop-word density.  The second pass gives short and near-good
-blocks the label of the nearest decided blocks before and after them.
+(navigation, forms, adverts, notices, reader comments ... are never text), else by length, link density and stop-word
+density.  An article or main element with prose of its own lifts the labels of its blocks by a step.  The second pass
+gives short and near-good blocks the label of the nearest decided blocks before and after them.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def _hidden(name: str, attributes: str, inside: bool) -> bool:
 class _Block:
     __slots__ = ("text", "linked", "bad", "content", "heading")
 
-    def __init__(self, text: str, linked: int, bad: bool, content: bool, heading: bool) -> None:
+    def __init__(self, text: str, linked: int, bad: bool, content: int, heading: bool) -> None:
         self.text, self.linked, self.bad, self.content, self.heading = text, linked, bad, content, heading
 
 
@@ -71,15 +71,16 @@ def blocks(page: str) -> list[_Block]:
     """The blocks of a page in order, with where they lie."""
     found: list[_Block] = []
     parts: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, never text, content
-    linked, link, heading, at, end = 0, 0, False, 0, len(page)
+    open_: list[tuple[str, bool, int]] = []  # name, never text, number of the article or main element
+    contents, linked, link, heading, at, end = 0, 0, 0, False, 0, len(page)
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(_Block(text, linked, any(x[1] for x in open_), any(x[2] for x in open_), heading))
+                found.append(_Block(text, linked, any(x[1] for x in open_),
+                                    next((x[2] for x in reversed(open_) if x[2]), 0), heading))
         parts, linked = [], 0
 
     def said(raw: str) -> None:
@@ -138,7 +139,9 @@ def blocks(page: str) -> list[_Block]:
             inside = any(x[2] for x in open_)
             never = _hidden(name, tag[3] or "", inside)
             if not (tag[3] or "").endswith("/"):
-                open_.append((name, never, name in CONTENT or "main" in _TOKEN.findall(tag[3] or "") and "role" in tag[3]))
+                content = name in CONTENT or "main" in _TOKEN.findall(tag[3] or "") and "role" in tag[3]
+                contents += content
+                open_.append((name, never, contents if content else 0))
         if name in BLOCKS:
             heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
             if name in ("p", "li", "td", "div"):
@@ -147,30 +150,39 @@ def blocks(page: str) -> list[_Block]:
     return found
 
 
-def _first_pass(block: _Block, has_content: bool, short: int, long: int, links: float, low: float, high: float) -> str:
+def _first_pass(block: _Block, short: int, long: int, links: float, low: float, high: float) -> str:
     if block.bad:
         return "bad"
-    if has_content:
-        return "good" if block.content else "bad"
     text = block.text
     density = block.linked / len(text)
     if density > links or "\N{COPYRIGHT SIGN}" in text:
         return "bad"
     if len(text) < short:
-        return "bad" if density > 0 else "short"
+        return "linked" if density > 0 else "short"
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
     if stops >= high:
         return "good" if len(text) > long else "near"
-    return "near" if stops >= low else "bad"
+    return "near" if stops >= low else "sparse"
+
+
+def _lifted(found: list[_Block], labels: list[str]) -> list[str]:
+    """The labels with articles as evidence.  In an article (or main element) that has prose, or if the page has good
+    text in none but articles, near-good blocks are good, and short ones or those of few stop words near-good; its links go, but decide nothing
+    about the blocks around them."""
+    prose = {b.content for b, label in zip(found, labels) if label in ("near", "good")}
+    elsewhere = any(label == "good" and not b.content for b, label in zip(found, labels))
+    up = {"near": "good", "short": "near", "linked": "near", "sparse": "near", "bad": "links"}
+    down = {"linked": "bad", "sparse": "bad"}
+    return [(up if b.content and not b.bad and (b.content in prose or not elsewhere) else down).get(label, label)
+            for b, label in zip(found, labels)]
 
 
 def main_blocks(page: str, short: int = 70, long: int = 200, links: float = 0.33, low: float = 0.15,
                 high: float = 0.25) -> list[str]:
     """The text of the blocks that are main text."""
     found = blocks(page)
-    has_content = any(b.content and not b.bad for b in found)
-    labels = [_first_pass(b, has_content, short, long, links, low, high) for b in found]
+    labels = _lifted(found, [_first_pass(b, short, long, links, low, high) for b in found])
     before, last = [], "bad"
     for label in labels:
         before.append(last)
@@ -184,7 +196,10 @@ def main_blocks(page: str, short: int = 70, long: int = 200, links: float = 0.33
         near = (a == "good" or b == "good") if label == "near" else b == "good" if block.heading else a == b == "good"
         if label == "good" or label in ("near", "short") and near:
             out.append(block.text)
-    return out or [b.text for b, label in zip(found, labels) if label != "bad"]  # a page of short blocks alone
+    if not out:  # a page of short blocks alone
+        left = [b for b, label in zip(found, labels) if label not in ("bad", "links")]
+        out = [b.text for b in [b for b in left if b.content] or left]
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
