@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at its block-level tags.  The first pass decides each block: by the element it lies in
-(navigation, forms, adverts, notices, reader comments ... are never text), else by length, link density and stop-word
+(navigation and forms are never text, nor adverts, notices, reader comments ... by their class unless they hold the
+page's text), else by length, link density and stop-word
 density.  An article or main element with prose of its own lifts the labels of its blocks by a step.  The second pass
 gives short and near-good blocks the label of the nearest decided blocks before and after them.
 """
@@ -41,46 +42,80 @@ STOP_WORDS = frozenset("""a an and are as at be been but by can for from had has
 _TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+|[^<>]*)>|</?[a-zA-Z][^<>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _TOKEN = re.compile(r"[a-z0-9]+")
+_STATE = re.compile(r"(?:has|no|not|with|without|is)[-_]")
 
 
-def _hidden(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is never text; ``inside`` an article its own header may be."""
+def _hidden(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element is never text, and the names of boilerplate it bears: "" none, "part" in a class name of
+    several words, "whole".  ``inside`` an article its own header may be."""
     if name in NEVER or name == "header" and not inside:
-        return True
+        return True, ""
+    kind = ""
     if not attributes or name in ("html", "body"):
-        return False
+        return False, kind
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
-            words = _TOKEN.findall(value)
-            if not BOILERPLATE.isdisjoint(words) or "header" in words and not inside and name not in CONTENT:
-                return True
+            for each in value.split():
+                if each in BOILERPLATE:
+                    kind = "whole"
+                elif name not in CONTENT and not kind and not _STATE.match(each):
+                    words = _TOKEN.findall(each)
+                    if not BOILERPLATE.isdisjoint(words) or "header" in words and not inside:
+                        kind = "part"
         elif key == "style" and "display:none" in value.replace(" ", "") or key == "aria-hidden" and value == "true":
-            return True
-    return re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes.lower()) is not None
+            return True, ""
+    return re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes.lower()) is not None, kind
+
+
+class _Named:
+    """An element that bears a name of boilerplate, and the next such element around it."""
+
+    __slots__ = ("whole", "around", "holds")
+
+    def __init__(self, whole: bool, around: _Named | None) -> None:
+        self.whole, self.around, self.holds = whole, around, False  # holds an article or text, so isn't hidden
+
+    def hold(self) -> None:
+        """What an element holds, those around it hold."""
+        x: _Named | None = self
+        while x and not x.holds:
+            x.holds, x = True, x.around
+
+    def hides(self) -> bool:
+        x: _Named | None = self
+        while x and not x.holds and not x.whole:
+            x = x.around
+        return x is not None and not x.holds
 
 
 class _Block:
-    __slots__ = ("text", "linked", "bad", "content", "heading")
+    __slots__ = ("text", "linked", "bad", "content", "heading", "named")
 
-    def __init__(self, text: str, linked: int, bad: bool, content: int, heading: bool) -> None:
+    def __init__(self, text: str, linked: int, bad: bool, content: int, heading: bool, named: _Named | None) -> None:
         self.text, self.linked, self.bad, self.content, self.heading = text, linked, bad, content, heading
+        self.named = named
 
 
 def blocks(page: str) -> list[_Block]:
     """The blocks of a page in order, with where they lie."""
     found: list[_Block] = []
     parts: list[str] = []
-    open_: list[tuple[str, bool, int]] = []  # name, never text, number of the article or main element
+    # name, never text, number of the article or main element, boilerplate
+    open_: list[tuple[str, bool, int, _Named | None]] = []
     contents, linked, link, heading, at, end = 0, 0, 0, False, 0, len(page)
 
+    def around() -> _Named | None:
+        return next((x[3] for x in reversed(open_) if x[3]), None)
+
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 found.append(_Block(text, linked, any(x[1] for x in open_),
-                                    next((x[2] for x in reversed(open_) if x[2]), 0), heading))
+                                    next((x[2] for x in reversed(open_) if x[2]), 0), heading,
+                                    around()))
         parts, linked = [], 0
 
     def said(raw: str) -> None:
@@ -119,6 +154,8 @@ def blocks(page: str) -> list[_Block]:
                 heading = False
             continue
         if name in RAW:
+            if name in ("svg", "math") and (tag[3] or "").endswith("/"):
+                continue
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = close.start() if close else end
             continue
@@ -137,11 +174,13 @@ def blocks(page: str) -> list[_Block]:
                     if i >= len(open_) or open_[i][0] in ("ul", "ol", "menu", "nav"):
                         break
             inside = any(x[2] for x in open_)
-            never = _hidden(name, tag[3] or "", inside)
+            never, kind = _hidden(name, tag[3] or "", inside)
             if not (tag[3] or "").endswith("/"):
-                content = name in CONTENT or "main" in _TOKEN.findall(tag[3] or "") and "role" in tag[3]
+                content = not kind and (name in CONTENT or "main" in _TOKEN.findall(tag[3] or "") and "role" in tag[3])
                 contents += content
-                open_.append((name, never, contents if content else 0))
+                if content and not never and (named := around()):
+                    named.hold()
+                open_.append((name, never, contents if content else 0, _Named(kind == "whole", around()) if kind else None))
         if name in BLOCKS:
             heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
             if name in ("p", "li", "td", "div"):
@@ -166,6 +205,18 @@ def _first_pass(block: _Block, short: int, long: int, links: float, low: float,
     return "near" if stops >= low else "sparse"
 
 
+def _unhidden(found: list[_Block], labels: list[str]) -> list[str]:
+    """The labels with the blocks of boilerplate by name as bad, unless the element holds an article, or has good text
+    and a name that is boilerplate in part only or the page has no good text but in such elements."""
+    good = [b for b, label in zip(found, labels) if label == "good"]
+    for b in [b for b in good if not b.named or not b.named.hides()] or good:
+        if b.named:
+            b.named.hold()
+    for b in found:
+        b.bad = b.bad or b.named is not None and not b.named.holds
+    return ["bad" if b.bad else label for b, label in zip(found, labels)]
+
+
 def _lifted(found: list[_Block], labels: list[str]) -> list[str]:
     """The labels with articles as evidence.  In an article (or main element) that has prose, or if the page has good
     text in none but articles, near-good blocks are good, and short ones or those of few stop words near-good; its links go, but decide nothing
@@ -182,7 +233,8 @@ def main_blocks(page: str, short: int = 70, long: int = 200, links: float = 0.33
                 high: float = 0.25) -> list[str]:
     """The text of the blocks that are main text."""
     found = blocks(page)
-    labels = _lifted(found, [_first_pass(b, short, long, links, low, high) for b in found])
+    labels = _unhidden(found, [_first_pass(b, short, long, links, low, high) for b in found])
+    labels = _lifted(found, labels)
     before, last = [], "bad"
     for label in labels:
         before.append(last)

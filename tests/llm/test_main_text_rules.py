@@ -24,3 +24,21 @@ def test_pages_without_article_tags():
         assert set(got) <= set(whole)
         found, total = found + sum(map(len, got)), total + sum(map(len, whole))
     assert found > 0.75 * total
+
+
+def test_a_class_name_hides_no_article():
+    body = f"<p>{LONG}</p><p>Short one.</p>"
+    for page in (f"<div class='site-content has-sidebar'><article>{body}</article></div>", f"<div class='no-sidebar'>{body}<p>{LONG}</p></div>",
+                 f"<main class='nav-open'>{body}</main>", f"<article class='post share-buttons'>{body}</article>",
+                 f"<div class='social'><div id='nav'><article>{body}</article></div></div>"):
+        assert main_text.main_blocks(page)[:2] == [LONG, "Short one."]
+    assert main_text.main_blocks(f"<div class='banner'><p>{LONG}</p></div>") == [LONG]
+    assert main_text.main_blocks(f"<div class='page-header-wrap'><p>{LONG}</p></div>") == [LONG]
+    hidden = f"<div class='comments'><article class='comment'><p>{LONG} A comment.</p></article></div><div class='cookie-notice'>We use cookies</div>"
+    assert main_text.main_blocks(f"<article>{body}</article>{hidden}") == [LONG, "Short one."]
+    assert main_text.main_blocks(f"<p>{LONG}</p>{hidden}") == [LONG]
+
+
+def test_an_empty_drawing_ends_at_once():
+    for drawing in ("<svg/>", "<svg class='a' />", "<math/>"):
+        assert main_text.main_blocks(f"<p>{drawing}{LONG}</p><svg><text>no</text></svg><p>{LONG}</p>") == [LONG, LONG]
