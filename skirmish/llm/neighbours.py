@@ -4,6 +4,10 @@ A table hashes a unit vector to floor((a.x + b) / width) for several Gaussian a
 own bucket and perturbed ones in the order of their expected success (Lv et al. 2007: the order of perturbation sets
 depends on their ranks only, so it is worked out once).  Candidates of all tables are ranked by the exact cosine.
 
+How likely a neighbour is found depends on its distance alone, so ``fit`` also works out the lowest score at which the
+probes find it with the wanted recall.  A query whose k-th neighbour found is no better than that, or that has fewer, is
+compared with every vector instead, in blocks of queries.
+
 Equal vectors are one class, searched and ranked once, with their few smallest identifiers.  Bucket keys are dealt to
 parts; the few keys with very many vectors are dealt to several parts, and their probes visit all of these.
 """
@@ -56,6 +60,7 @@ class Hasher:
     width: float
     probes: int
     seed: int = 11
+    reach: float = 1.0
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng(self.seed)
@@ -101,7 +106,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def fit(sample: np.ndarray, rows: int, k: int, tables: int = 10, width: float = 2.0, recall: float = 0.97,
         queries: int = 128, most: int = 1 << 12) -> Hasher:
     """Hash functions for ``rows`` vectors, with the fewest probes that find ``recall`` of the ``k`` nearest
-    within the sample.  Neighbours among all rows are nearer than those in a sample, so are found oftener."""
+    within the sample.  Neighbours among all rows are nearer than those in a sample, so are found oftener; for
+    queries of which that isn't true, ``reach`` is the lowest score that ``recall`` still holds for."""
     hashes = max(2, round(math.log2(max(rows, 4)) / 2))
     hasher = Hasher(sample.shape[1], tables, hashes, width, most)
     some = unit(sample[:queries])
@@ -118,9 +124,28 @@ def fit(sample: np.ndarray, rows: int, k: int, tables: int = 10, width: float =
     ranks = np.sort(found)
     if len(ranks):
         hasher.probes = int(min(most, ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)] + 1))
+    hasher.reach = _reach(hasher, some[:64], recall)
     return hasher
 
 
+def _reach(hasher: Hasher, some: np.ndarray, recall: float, steps: int = 32, each: int = 8) -> float:
+    """The lowest of ``steps`` cosines such that the probes find ``recall`` of random vectors at it and all above."""
+    if hasher.dimension < 2:
+        return 1.0
+    rng = np.random.default_rng(hasher.seed)
+    angles = np.linspace(0, math.pi, steps + 1)[1:, None, None]
+    found = np.zeros(steps)
+    for first in range(0, len(some), 16):
+        for x, visit in zip(some[first:first + 16], hasher.visits(some[first:first + 16])):
+            aside = rng.standard_normal((each, hasher.dimension))
+            aside = unit(aside - (aside @ x)[:, None] * x)
+            keys = hasher.keys((np.cos(angles) * x + np.sin(angles) * aside).reshape(-1, hasher.dimension))
+            hit = np.stack([np.isin(keys[:, t], visit[t]) for t in range(hasher.tables)]).any(0)
+            found += hit.reshape(steps, each).mean(1)
+    enough = int(np.argmin(np.append(found >= recall * len(some), False)))
+    return math.cos(angles[enough - 1, 0, 0]) if enough else 1.0
+
+
 def usable(vector: Column) -> Column:
     """Not null, every component a finite number, not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -205,14 +230,44 @@ def _searched(k: int):
     return run
 
 
+def _scanned(classes: np.ndarray, asked: np.ndarray, k: int):
+    """The ``k`` + 1 best of all classes for each of a block of queries."""
+
+    def run(batches):
+        norms, names = np.sqrt((asked * asked).sum(1)), ["query", "class", "ids", "score"]
+        wanted, best = unit(asked).astype(np.float32).T, [[] for _ in classes]
+        for batch in (b.slice(i, 4096) for b in batches for i in range(0, len(b), 4096)):
+            vectors, ids = _matrix(batch.column("vector"), asked.shape[1]), batch.column("ids").to_pylist()
+            own, firsts = batch.column("class").to_numpy(), np.array([x[0] for x in ids])
+            lengths = np.sqrt((vectors * vectors).sum(1))
+            rough = unit(vectors).astype(np.float32) @ wanted
+            least = np.partition(rough, -k - 1, axis=0)[-k - 1] if len(ids) > k + 1 else np.full(len(classes), -2.0)
+            for q in range(len(classes)):
+                held = best[q][-1][0] if len(best[q]) > k else -2.0
+                found = np.flatnonzero(rough[:, q] >= max(least[q], held) - 1e-5)
+                if len(found):
+                    exact = (vectors[found] * asked[q]).sum(1) / (lengths[found] * norms[q])
+                    order = np.lexsort((firsts[found], -exact))[:k + 1]
+                    new = [(float(exact[i]), int(firsts[found[i]]), int(own[found[i]]), ids[found[i]]) for i in order]
+                    best[q] = sorted(best[q] + new, key=lambda x: (-x[0], x[1]))[:k + 1]
+        rows = [(int(c), x[2], x[3], x[0]) for c, some in zip(classes, best) for x in some]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64()]
+        for first in range(0, len(rows), 8192):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kd) for c, kd in zip(zip(*rows[first:first + 8192]), kinds)], names)
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-            sample: int = 2000, tables: int = 10, width: float = 2.0, recall: float = 0.97) -> DataFrame:
+            sample: int = 2000, tables: int = 10, width: float = 2.0, recall: float = 0.97, block: int = 2048) -> DataFrame:
     """query_id, rank, ``id_col``, score: the ``k`` nearest found of each row for which ``queries`` is true.
 
     Score is the cosine in double precision, ties go to the smaller identifier, a row is not its own neighbour.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an identifier
     or vectors of another length than the commonest; rows that repeat identifier and vector count once.  The hash
-    functions are fitted on ``sample`` vectors, every row is indexed.  An empty table gives none.
+    functions are fitted on ``sample`` vectors, every row is indexed.  A query whose neighbours may have been missed is
+    compared with all vectors, about ``block`` such queries at once.  Each has ``k`` rows, or all there are.  An empty
+    table gives none.
     """
     spark = vectors.sparkSession
     rows = vectors.where(queries.isNotNull() & F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
@@ -248,6 +303,24 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
     best = materialise(found.dropDuplicates(["query", "class"]).withColumn("nth", F.row_number().over(ranked))
                        .where(F.col("nth") <= k + 1).select("query", "ids", "score"), "ann-best")
+    upto = F.sum(F.size("ids")).over(ranked.rowsBetween(Window.unboundedPreceding, 0))
+    sure = (best.withColumn("upto", upto).where((F.col("upto") > k) & (F.col("score") >= hasher.reach - 1e-9))
+            .select(F.col("query").alias("class")).distinct())
+    unsure = classes.join(asking.select("class").distinct().join(sure, "class", "left_anti"), "class", "left_semi")
+    unsure = materialise(unsure.select("class", "vector"), "ann-unsure")
+    blocks = math.ceil(unsure.count() / block)
+    if blocks:
+        dealt, scans = materialise(classes.repartition(parts, "class"), "ann-dealt"), []
+        for i in range(blocks):
+            some = unsure.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == i).toPandas()
+            if len(some):
+                asked = np.stack(some["vector"].to_numpy()).astype(np.float64)
+                scan = dealt.mapInArrow(_scanned(some["class"].to_numpy(), asked, k), "query long, class long, ids array<long>, score double")
+                scans.append(materialise(scan.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1)
+                                         .select("query", "ids", "score"), "ann-scan"))
+        best = best.join(unsure.select(F.col("class").alias("query")), "query", "left_anti")
+        for scan in scans:
+            best = best.unionByName(scan)
     pairs = (asking.join(best.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near")),
                          F.col("class") == F.col("query"))
              .select(F.col("id").alias("query_id"), F.explode("near").alias("near"))
