@@ -38,13 +38,21 @@ def decompose(tokens: int, most: int) -> list[int]:
 class Encoder(dict):
     """Token ids, packed as little-endian 32-bit numbers, by word.  Byte-level BPE never merges across the words of
     its pre-tokenizer, so each distinct word goes to the model once; at ``words`` entries the table starts anew.
-    Strings of special tokens are ordinary text."""
+    With ``special`` the strings of the file's added tokens are those tokens, else they are ordinary text."""
 
-    def __init__(self, path: str, words: int = 400_000) -> None:
+    def __init__(self, path: str, words: int = 400_000, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenize, self.words = Tokenizer.from_file(path).model.tokenize, words
+        tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.words, self.added, self.cut = tokenizer.model.tokenize, words, {}, None
+        added = tokenizer.get_added_tokens_decoder() if special else {}
+        for number, token in added.items():
+            if token.single_word or token.lstrip or token.rstrip or token.normalized:
+                raise ValueError(f"added token {token.content!r} takes more than its own string")
+            self.added[token.content] = number.to_bytes(4, "little")
+        if self.added:
+            self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.pattern, self.ascii_pattern = regex.compile(WORDS), re.compile(ASCII_WORDS, re.ASCII)
 
     def __missing__(self, word: str) -> bytes:
@@ -55,6 +63,11 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added[x] if i % 2 else self._words(x) for i, x in enumerate(self.cut.split(text)))
+        return self._words(text)
+
+    def _words(self, text: str) -> bytes:
         pattern = self.ascii_pattern if text.isascii() else self.pattern
         if len(text) <= 1 << 20:
             return b"".join(map(self.__getitem__, pattern.findall(text)))
@@ -62,23 +75,24 @@ class Encoder(dict):
         return b"".join(b"".join(map(self.__getitem__, some)) for some in batched(words, 1 << 16))
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, special: bool) -> Encoder:
     """The encoder of this Python worker: a worker serves many tasks, and its table of words with it."""
     held = sys.__dict__.setdefault("_skirmish_encoders", {})
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    if (path, special) not in held:
+        held[path, special] = Encoder(path, special=special)
+    return held[path, special]
 
 
 _PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2048,
-         end: int = 1) -> DataFrame:
+         end: int = 1, special: bool = False) -> DataFrame:
     """A row per piece: ``id_col``, start, length, ids (packed little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset.
 
-    Token ids are those of the byte-level vocabulary in the file ``tokenizer`` without special tokens, then ``end``.
+    Token ids are those of the byte-level vocabulary in the file ``tokenizer`` with none added around the text, then
+    ``end``; with ``special`` a string of an added token in the text is that token, as in ``Tokenizer.encode``.
     ``most`` is a power of two.  A null or empty text is its end token alone; a repeated row is packed again, a null
     identifier stays null; other columns are not read; an empty table gives none.  One pass, no shuffle:
     sequence numbers are unique because the number of the partition is part of them.
@@ -87,7 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         raise ValueError("most must be a power of two")
 
     def run(batches):
-        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer, special), TaskContext.get().partitionId()
         counts = [0] * most.bit_length()
         if part >> PARTITION_BITS:
             raise OverflowError("too many partitions for the sequence numbers")

@@ -101,7 +101,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document in sequences of a power of two of tokens, 2048 at most."""
-    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
     return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
