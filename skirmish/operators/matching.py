@@ -221,6 +221,16 @@ def inverted_index(members: DataFrame, member: str, team: str, block: int = 1024
     return counts, postings
 
 
+def move_set_index(members: DataFrame, member: str, moves: str, team: str, block: int = 1024) -> DataFrame:
+    """Team ids by member and set of moves, in the blocks of ids of :func:`inverted_index`.
+
+    The order of the moves and repeats among them don't matter; a null set is a key of its own.
+    """
+    distinct = members.select(member, F.sort_array(F.array_distinct(moves)).alias(moves), team).distinct()
+    return distinct.groupBy(member, moves, F.floor(F.col(team) / block).alias("block")).agg(
+        F.sort_array(F.collect_list(team)).alias("ids"))
+
+
 def best_retrieval(wanted: DataFrame, members: DataFrame, request: str, team: str, name: str) -> DataFrame:
     """Best team per request: most wanted members, then best move overlap, then earlier names, then lowest id.
 
