@@ -145,12 +145,19 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _splitters(pages: DataFrame, id_col: str, shards: int, per_shard: int = 16) -> np.ndarray:
-    """Up to ``shards`` - 1 identifiers that deal the rows out evenly: every so many of a hash sample of about
-    ``per_shard`` identifiers per shard, which depends on the data alone."""
-    every = max(1, pages.count() // (per_shard * shards))
-    ids = pages.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)).select(id_col)
-    found = np.sort(ids.toPandas()[id_col].to_numpy(np.int64))
-    return found[np.linspace(0, len(found), shards + 1).astype(int)[1:-1]] if len(found) else found
+    """Up to ``shards`` - 1 identifiers that deal the rows out evenly, by the rows of identifiers that have over half a
+    shard and of a hash sample of about ``per_shard`` others per shard, which depend on the data alone."""
+    total = pages.count()
+    every = max(1, total // (per_shard * shards))
+    counts = pages.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("rows"))
+    hot = F.col("rows") * (2 * shards) > F.lit(max(total, 4 * shards))
+    sampled = F.pmod(F.xxhash64(id_col), F.lit(every)) == 0
+    found = (counts.where(hot | sampled).select(id_col, F.when(hot, F.col("rows")).otherwise(F.col("rows") * every).alias("rows"))
+             .toPandas().sort_values(id_col))
+    ids, upto = found[id_col].to_numpy(np.int64), found["rows"].cumsum().to_numpy(np.int64)
+    if not len(ids):
+        return ids
+    return np.unique(ids[np.searchsorted(upto, upto[-1] * np.arange(1, shards) // shards, side="right")])
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
