@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, shared_path
-from . import content_sort, main_text, mixing, neighbours, packing, quality, secret_scan, simhash, substrings, warc
+from . import (content_sort, main_text, mixing, neighbours, packing, quality, secret_scan, simhash, substrings,
+               token_counts, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,6 +155,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@_query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw documents to packed sequences."""

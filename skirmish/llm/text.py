@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,3 +40,12 @@ def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         end = cut.start() if cut else len(text)
         yield text[start:end].split()
         start = end
+
+
+def held_by_worker(key: Hashable, make: Callable[[], object]) -> object:
+    """The value that ``make`` gave in this Python worker, which serves many tasks.  For values of bounded size that are
+    dear to make; functions that travel by value have no module to hold them in."""
+    held = sys.__dict__.setdefault("_skirmish_held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
