@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, shared_path
-from . import (content_sort, main_text, mixing, neighbours, packing, quality, secret_scan, simhash, substrings,
-               token_counts, warc)
+from . import (collocations, content_sort, main_text, mixing, neighbours, packing, quality, secret_scan, simhash,
+               substrings, token_counts, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,6 +155,32 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@_query("op11_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM w, range(1, 6) AS s(k), unnest(generate_series(1, len(w) - k + 1)) AS u(i)),
+f AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS part FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT f.lang, f.phrase, f.a, j, h.a AS l, e.a AS r, t.n, ((1000::HUGEINT * f.a * t.n) // (h.a::HUGEINT * e.a))::BIGINT AS score
+      FROM f CROSS JOIN range(1, 5) AS s(j) JOIN t ON t.lang = f.lang
+      JOIN f AS h ON h.lang = f.lang AND h.phrase = array_to_string(f.part[1:j], ' ')
+      JOIN f AS e ON e.lang = f.lang AND e.phrase = array_to_string(f.part[j + 1:], ' ')
+      WHERE j < f.k),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+x AS (SELECT lang, array_to_string(part[i:i + m - 1], ' ') AS phrase, max(a) AS within
+      FROM f, range(2, 5) AS s(m), unnest(generate_series(1, k - m + 1)) AS u(i) WHERE m < k GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b LEFT JOIN x USING (lang, phrase) WHERE within IS NULL OR within < a
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language whose words attract each other most."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 @_query("op13_token_counts")
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of tokens of every document."""
