@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, shared_path
 from . import (collocations, content_sort, main_text, mixing, neighbours, packing, quality, secret_scan, simhash,
-               substrings, token_counts, warc)
+               substrings, token_counts, warc, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,6 +181,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+@_query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four leading components, whitened."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 @_query("op13_token_counts")
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of tokens of every document."""
