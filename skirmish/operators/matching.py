@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import half_year_start
 from ..functions.records import gap_fill_moves
 from ..session import materialise
+from .containment import contained, key_of, known_tokens
 from .ordered import top_per
 from .pairs import unordered_pairs  # noqa: F401  (policy pairs)
 
@@ -93,10 +94,8 @@ def two_step_lookup(df: DataFrame, stats: DataFrame, key: str, species: Column,
 
 # -- partial records ------------------------------------------------------------------
 #
-# A record fits a candidate when every known field is equal and every known set member
-# is contained.  A candidate has finitely many generalisations (members hidden in every
-# combination, fields in every combination that records have), so "fits" becomes an equality join
-# between a record's pattern and the candidate's generalisations: no pair that does not match is formed.
+# A record fits a candidate when every known field is equal and every known set member is contained.  Records are
+# keys and tokens, and the search is that of ``containment``.
 
 _HIDDEN = "\x00"
 
@@ -108,37 +107,6 @@ def pattern(keys: Sequence[Column], fields: Sequence[Column], members: Column) -
     return F.concat(F.array(*[text(c) for c in [*keys, *fields]]), known)
 
 
-def known_mask(fields: Sequence[Column]) -> Column:
-    """Which fields of a record are known, one bit each."""
-    return reduce(lambda acc, x: acc + x, [F.when(f.isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(fields)],
-                  F.lit(0)).cast("bigint")
-
-
-def generalisations(keys: Sequence[Column], fields: Sequence[Column], members: Column, masks: Column) -> Column:
-    """Patterns of the records that fit this one and know the fields of one of ``masks``.
-
-    Their number follows the combinations of known fields that records really have, not all there could be.
-    """
-    own = known_mask(fields)
-    head = lambda m: F.array(*[c.cast("string") for c in keys], *[
-        F.when(m.bitwiseAND(F.lit(1 << i)) != 0, f.cast("string")).otherwise(_HIDDEN) for i, f in enumerate(fields)])
-    heads = F.transform(F.filter(masks, lambda m: m.bitwiseAND(own) == m), head)
-    known = F.sort_array(F.array_distinct(F.array_compact(members.cast("array<string>"))))
-    subsets = F.aggregate(known, F.array(F.array().cast("array<string>")), lambda acc, m: F.concat(
-        acc, F.transform(acc, lambda s: F.concat(s, F.array(m)))))
-    return F.flatten(F.transform(heads, lambda h: F.transform(subsets, lambda s: F.concat(h, s))))
-
-
-def fits(record: Column, candidate: Column, fields: Sequence[str], sets: Sequence[str]) -> Column:
-    """Predicate form of the same test on two structs (unknown is null)."""
-    ok = F.lit(True)
-    for s in sets:
-        ok = ok & (F.size(F.array_except(F.array_compact(record[s]), F.array_compact(candidate[s]))) == 0)
-    for f in fields:
-        ok = ok & (record[f].isNull() | record[f].eqNullSafe(candidate[f]))
-    return ok
-
-
 def distinct_records(df: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str, store: bool = False) -> DataFrame:
     """Distinct records with their number of copies and a ``pattern`` key; repeats never reach a join.
 
@@ -150,61 +118,87 @@ def distinct_records(df: DataFrame, keys: Sequence[str], fields: Sequence[str],
     return materialise(out, "records") if store else out
 
 
-def _spread(candidates: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str, records: DataFrame) -> DataFrame:
-    """Candidates by the patterns of ``records`` that could fit them."""
-    columns = [F.col(f) for f in fields]
-    masks = records.agg(F.sort_array(F.collect_set(known_mask(columns)))).scalar()
-    gens = generalisations([F.col(k) for k in keys], columns, F.col(members), F.col("_masks"))
-    return candidates.withColumn("_masks", masks).withColumn("_general", F.explode(gens)).drop("_masks")
+def _known(records: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str, *payload: str) -> DataFrame:
+    """Key and tokens of records, and the columns to return of them as one."""
+    return records.select(key_of(*[F.col(k) for k in keys]).alias("key"),
+                          known_tokens({f: F.col(f) for f in fields}, {members: F.col(members)}).alias("tokens"),
+                          F.struct(*payload).alias("payload"))
 
 
 def consistent_pairs(records: DataFrame, candidates: DataFrame, keys: Sequence[str], fields: Sequence[str],
                      members: str) -> DataFrame:
     """All (record, candidate) pairs where the record fits; columns ``record`` and ``candidate`` are structs
     of pattern and copies.  Both inputs come from :func:`distinct_records`."""
-    right = _spread(candidates, keys, fields, members, records).select(
-        "_general", F.struct("pattern", "copies", *keys, *fields, members).alias("candidate"))
-    left = records.select(F.col("pattern").alias("_general"),
-                          F.struct("pattern", "copies", *keys, *fields, members).alias("record"))
-    return left.join(right, "_general").drop("_general")
+    left, right = (_known(r, keys, fields, members, "pattern", "copies", *keys, *fields, members) for r in (records, candidates))
+    return contained(left, right, F.col("payload"), F.col("payload"))
 
 
 def leaves(records: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str) -> DataFrame:
     """Distinct records that no other record extends."""
-    general = _spread(records, keys, fields, members, records)
-    covered = general.where(F.col("_general") != F.col("pattern")).select(F.col("_general").alias("pattern")).distinct()
-    return records.join(covered, "pattern", "left_anti")
+    known = _known(records, keys, fields, members, "pattern")
+    wider = contained(known, known, F.col("payload.pattern"), F.col("payload.pattern")).where(F.col("record") != F.col("candidate"))
+    return records.join(wider.select(F.col("record").alias("pattern")).distinct(), "pattern", "left_anti")
 
 
 def leaf_weights(records: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str) -> DataFrame:
     """Leaves with the number of records, repeats included, that fit them."""
-    tips = _spread(leaves(records, keys, fields, members), keys, fields, members, records)
-    known = records.select(F.col("pattern").alias("_general"), F.col("copies").alias("_n"))
-    return tips.join(known, "_general").groupBy("pattern", *keys, *fields, members, "copies").agg(F.sum("_n").alias("weight"))
+    columns = ["pattern", *keys, *fields, members, "copies"]
+    tips = _known(leaves(records, keys, fields, members), keys, fields, members, *columns)
+    fits = contained(_known(records, keys, fields, members, "pattern", "copies"), tips, F.col("payload"), F.col("payload"))
+    return fits.groupBy("candidate").agg(F.sum("record.copies").alias("weight")).select("candidate.*", "weight")
 
 
 def best_candidates(records: DataFrame, weighted: DataFrame, keys: Sequence[str], fields: Sequence[str],
                     members: str, k: int) -> DataFrame:
     """Top-``k`` fitting candidates by weight for each distinct record."""
-    right = _spread(weighted, keys, fields, members, records).select(
-        F.col("_general").alias("pattern"), F.col("pattern").alias("candidate"), "weight")
-    pairs = records.select("pattern").join(right, "pattern")
+    fits = contained(_known(records, keys, fields, members, "pattern"), _known(weighted, keys, fields, members, "pattern", "weight"),
+                     F.col("payload.pattern"), F.col("payload"))
+    pairs = fits.select(F.col("record").alias("pattern"), F.col("candidate.pattern").alias("candidate"), "candidate.weight")
     return top_per(pairs, ["pattern"], [F.desc("weight"), "candidate"], k, "place")
 
 
-def detail_scores(diffs: DataFrame, usage: DataFrame, by: Sequence[str], entity: str, gaps: Column) -> DataFrame:
-    """Likelihood of the details a candidate adds: product of their usage shares, 1e-6 for an unknown one and
-    once more per kind of gap the candidate leaves.
+def detail_scores(pairs: DataFrame, diffs: DataFrame, usage: DataFrame, by: Sequence[str], entity: str, gaps: str) -> DataFrame:
+    """Likelihood of what each candidate adds (log_score): the product of the usage shares of its details, 1e-6 for an
+    unknown detail and once more per kind of gap the candidate leaves.  A candidate of an entity without
+    statistics scores 1e-6 as a whole, one that adds nothing only its gaps.
 
-    ``diffs`` has one row per added detail (by, entity, field, key); ``gaps`` counts the kinds left open.
+    ``pairs`` has a row per record and candidate (by, entity, ``gaps`` the number of kinds left open), ``diffs`` one per
+    added detail (by, field, key), ``usage`` entity, field, key, share.
     """
     p = F.greatest(F.coalesce("share", F.lit(EPS)), F.lit(EPS))
-    rows = diffs.join(usage, [entity, "field", "key"], "left")
-    return rows.groupBy(*by).agg((F.sum(F.ln(p)) + F.max(gaps) * math.log(EPS)).alias("log_score"))
-
-
-def roster_pattern(lead: Column, reserve: Column) -> Column:
-    return pattern([lead], [], reserve)
+    known = usage.select(entity, F.lit(True).alias("_known")).distinct()
+    judged = pairs.select(*by, entity, F.col(gaps).alias("_gaps")).join(known, entity, "left")
+    rows = judged.join(diffs.select(*by, "field", "key"), by, "left").join(usage, [entity, "field", "key"], "left")
+    added = F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.ln(p))), F.lit(0.0))
+    score = F.when(F.max("_known").isNull(), F.lit(math.log(EPS))).otherwise(added + F.max("_gaps") * math.log(EPS))
+    return rows.groupBy(*by).agg(score.alias("log_score"))
+
+
+def teammate_shares(rosters: DataFrame, team: str, name: str) -> DataFrame:
+    """name, mate, share: of the teams with ``name``, the share that also has ``mate``.  A team's names are its group."""
+    counts = rosters.select(team, name).distinct()
+    mates = counts.join(counts.withColumnRenamed(name, "mate"), team).where(F.col(name) != F.col("mate"))
+    teams = counts.groupBy(name).agg(F.count("*").alias("_teams"))
+    return mates.groupBy(name, "mate").agg(F.count("*").alias("_both")).join(teams, name).select(
+        name, "mate", (F.col("_both") / F.col("_teams")).alias("share"))
+
+
+def roster_scores(pairs: DataFrame, by: Sequence[str], lead: str, known: str, candidate: str, shares: DataFrame,
+                  size: int = 6) -> DataFrame:
+    """Likelihood of the names a candidate roster adds (log_score): for each the largest share it has beside a known name,
+    1e-6 at least, and 1e-6 once more when the candidate leaves the team incomplete.
+
+    ``pairs`` has a row per partial roster and candidate: ``by``, the lead's name, the known and the candidate's other names
+    (arrays); ``shares`` comes from :func:`teammate_shares`.
+    """
+    own = F.array_compact(F.concat(F.array(lead), known))
+    fresh = F.array_except(candidate, known)
+    rows = pairs.select(*by, own.alias("_own"), fresh.alias("_fresh"))
+    added = (rows.select(*by, "_own", F.explode("_fresh").alias("mate")).select(*by, "mate", F.explode("_own").alias("name"))
+             .join(shares, ["name", "mate"], "left").groupBy(*by, "mate").agg(F.greatest(F.max("share"), F.lit(EPS)).alias("best"))
+             .groupBy(*by).agg(F.sum(F.ln("best")).alias("_added")))
+    gap = F.when(F.size("_fresh") < size - F.size("_own"), F.lit(math.log(EPS))).otherwise(0.0)
+    return rows.join(added, by, "left").select(*by, (F.coalesce("_added", F.lit(0.0)) + gap).alias("log_score"))
 
 
 # -- teams -------------------------------------------------------------------------------

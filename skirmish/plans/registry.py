@@ -113,7 +113,7 @@ def replay_prediction(members: DataFrame, weighted: DataFrame) -> DataFrame:
     entity, item, ability, moves)."""
     keys, fields = ["entity"], ["item", "ability"]
     known = members.withColumn("pattern", matching.pattern([F.col("entity")], [F.col(f) for f in fields], F.col("moves")))
-    best = matching.best_candidates(known.select("pattern", *fields).distinct(), weighted, keys, fields, "moves", 1)
+    best = matching.best_candidates(known.select("pattern", *keys, *fields, "moves").dropDuplicates(["pattern"]), weighted, keys, fields, "moves", 1)
     full = best.join(weighted.select(F.col("pattern").alias("candidate"), *[F.col(c).alias(f"_p_{c}") for c in [*fields, "moves"]]), "candidate")
     rows = known.join(full.drop("candidate", "weight", "place"), "pattern", "left")
     from ..functions.records import gap_fill_moves

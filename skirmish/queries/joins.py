@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import records
+from ..operators import containment as ct
 from ..operators import matching as mt
+from ..session import materialise
 from .base import query, table, view
 from .stats import UNIT, USAGE_SQL, usage_tables
 
@@ -139,16 +142,118 @@ def j9(spark, d):
 
 @query("J10_detail_scores", """
 WITH n AS (SELECT entity, sum(qty) AS n FROM picks GROUP BY 1), u AS (SELECT entity, 'moves' AS field, 'm' || pick AS key, sum(qty) / any_value(n.n) AS share FROM picks JOIN n USING (entity) GROUP BY 1, 2, 3),
-d AS (SELECT l_orderkey, l_suppkey AS entity, 'moves' AS field, 'm' || (l_partkey % 50) AS key, l_linenumber % 2 AS gap FROM lineitem)
-SELECT l_orderkey, round(sum(ln(greatest(coalesce(share, 1e-6), 1e-6))) + max(gap) * ln(1e-6), 4) AS log_score FROM d LEFT JOIN u USING (entity, field, key) GROUP BY 1""", ("picks",))
+p AS (SELECT l_orderkey, l_suppkey, CASE WHEN l_orderkey % 11 = 0 THEN -1 - l_suppkey ELSE l_suppkey END AS entity, max(l_linenumber % 3) AS gaps FROM lineitem GROUP BY ALL),
+d AS (SELECT l_orderkey, l_suppkey, 'moves' AS field, 'm' || (l_partkey % 50) AS key FROM lineitem WHERE l_linenumber > 1)
+SELECT l_orderkey, l_suppkey, round(CASE WHEN entity NOT IN (SELECT entity FROM n) THEN ln(1e-6)
+ ELSE coalesce(sum(CASE WHEN d.key IS NOT NULL THEN ln(greatest(coalesce(share, 1e-6), 1e-6)) END), 0) + max(gaps) * ln(1e-6) END, 4) AS log_score
+FROM p LEFT JOIN d USING (l_orderkey, l_suppkey) LEFT JOIN u USING (entity, field, key) GROUP BY l_orderkey, l_suppkey, entity""", ("picks",))
 def j10(spark, d):
     picks = view(spark, d, "picks")
     n = picks.groupBy("entity").agg(F.sum("qty").alias("n"))
     usage = picks.groupBy("entity", F.lit("moves").alias("field"), F.concat(F.lit("m"), F.col("pick").cast("string")).alias("key")).agg(
         F.sum("qty").alias("w")).join(n, "entity").select("entity", "field", "key", (F.col("w") / F.col("n")).alias("share"))
-    diffs = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("entity"), F.lit("moves").alias("field"),
-                                              F.concat(F.lit("m"), (F.col("l_partkey") % 50).cast("string")).alias("key"), (F.col("l_linenumber") % 2).alias("gap"))
-    return mt.detail_scores(diffs, usage, ["l_orderkey"], "entity", F.col("gap")).withColumn("log_score", F.round("log_score", 4))
+    lines = table(spark, d, "lineitem")
+    entity = F.when(F.col("l_orderkey") % 11 == 0, -1 - F.col("l_suppkey")).otherwise(F.col("l_suppkey"))
+    pairs = lines.groupBy("l_orderkey", "l_suppkey", entity.alias("entity")).agg(F.max(F.col("l_linenumber") % 3).alias("gaps"))
+    diffs = lines.where("l_linenumber > 1").select("l_orderkey", "l_suppkey", F.lit("moves").alias("field"),
+                                                   F.concat(F.lit("m"), (F.col("l_partkey") % 50).cast("string")).alias("key"))
+    scores = mt.detail_scores(pairs, diffs, usage, ["l_orderkey", "l_suppkey"], "entity", "gaps")
+    return scores.withColumn("log_score", F.round("log_score", 4))
+
+
+# Teams of an order: one member per name, the first line leads.
+TEAM_SQL = """d AS (SELECT *, CAST(name AS VARCHAR) AS who, list_filter([mv0, mv1, mv2, mv3], lambda x: x IS NOT NULL) AS moves,
+  row_number() OVER (PARTITION BY team_id, name ORDER BY l_linenumber, l_partkey, l_quantity) AS nth FROM records),
+m AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY l_linenumber, l_partkey, l_quantity, name) AS place FROM d WHERE nth = 1),
+t AS (SELECT team_id, place, who, list_concat(CASE WHEN place = 1 THEN []::VARCHAR[] ELSE [who] END,
+  list_transform(list_concat(list_filter(['item=' || item, 'ability=' || ability, 'nature=' || nature], lambda x: x IS NOT NULL), list_transform(moves, lambda x: 'moves=' || x)),
+    lambda x: CASE WHEN place = 1 THEN '' ELSE who END || '.' || x)) AS tok FROM m),
+teams AS (SELECT team_id, max(CASE WHEN place = 1 THEN who END) AS lead, list_sort(list_distinct(flatten(list(tok)))) AS tokens FROM t GROUP BY team_id),
+r AS (SELECT lead, tokens, count(*) AS copies FROM teams GROUP BY ALL)"""
+_TEAM_FITS = "p.lead = c.lead AND len(p.tokens) <= len(c.tokens) AND list_has_all(c.tokens, p.tokens)"
+_TEAM_SHOW = "{0}.lead || ':' || array_to_string({0}.tokens, ',')"
+
+
+def teams(spark, d):
+    """team_id, lead, reserve of every order."""
+    first = Window.partitionBy("team_id", "name").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    rows = view(spark, d, "records").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    member = F.struct(F.struct("l_linenumber", "l_partkey", "l_quantity", "name").alias("place"), "name", "item", "ability", "nature",
+                      F.array("mv0", "mv1", "mv2", "mv3").alias("moves"))
+    both = rows.groupBy("team_id").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return both.select("team_id", F.col("members")[0].alias("lead"), F.slice("members", 2, 100).alias("reserve"))
+
+
+def known_teams(spark, d):
+    rows = teams(spark, d)
+    tokens = ct.team_tokens(rows["lead"], rows["reserve"], _FIELDS, ["moves"])
+    return ct.distinct_known(rows, rows["lead.name"].cast("string"), tokens)
+
+
+def shown_team(key, tokens):
+    plain = F.sort_array(F.transform(tokens, lambda t: F.translate(t, "\x01", ".")))
+    return F.concat(key, F.lit(":"), F.array_join(plain, ","))
+
+
+@query("J6_team_pairs", f"WITH {TEAM_SQL} SELECT {_TEAM_SHOW.format('p')} AS record, {_TEAM_SHOW.format('c')} AS candidate, c.copies FROM r p JOIN r c ON {_TEAM_FITS}", ("records",))
+def j6_teams(spark, d):
+    known = known_teams(spark, d)
+    pairs = ct.contained(known, known, F.col("id"), F.col("id"), carry=False)
+    text = known.select("id", shown_team(F.col("key"), F.col("tokens")).alias("text"), "copies")
+    return (pairs.join(text.select(F.col("id").alias("record"), F.col("text").alias("record_text")), "record")
+            .join(text.withColumnRenamed("id", "candidate"), "candidate")
+            .select(F.col("record_text").alias("record"), F.col("text").alias("candidate"), "copies"))
+
+
+@query("J8_team_weights", f"""WITH {TEAM_SQL}, leaf AS (SELECT * FROM r p WHERE NOT EXISTS (SELECT 1 FROM r c WHERE {_TEAM_FITS} AND c.tokens <> p.tokens))
+SELECT {_TEAM_SHOW.format('c')} AS record, CAST(sum(p.copies) AS BIGINT) AS weight FROM leaf c JOIN r p ON {_TEAM_FITS} GROUP BY 1""", ("records",))
+def j8_teams(spark, d):
+    weighted = ct.leaf_weights(known_teams(spark, d), carry=False)
+    return weighted.select(shown_team(F.col("key"), F.col("tokens")).alias("record"), "weight")
+
+
+ROSTER_SQL = f"""{TEAM_SQL}, n AS (SELECT team_id, max(CASE WHEN place = 1 THEN who END) AS lead,
+  list_sort(coalesce(list(who) FILTER (WHERE place > 1), []::VARCHAR[])) AS tokens FROM t GROUP BY team_id),
+q AS (SELECT lead, tokens, count(*) AS copies FROM n GROUP BY ALL),
+tip AS (SELECT * FROM q p WHERE NOT EXISTS (SELECT 1 FROM q c WHERE {_TEAM_FITS} AND c.tokens <> p.tokens)),
+w AS (SELECT c.lead, c.tokens, CAST(sum(p.copies) AS BIGINT) AS weight FROM tip c JOIN q p ON {_TEAM_FITS} GROUP BY ALL),
+best AS (SELECT p.lead, p.tokens, c.tokens AS candidate, c.weight, row_number() OVER (PARTITION BY p.lead, p.tokens ORDER BY c.weight DESC, c.tokens) AS place
+  FROM q p JOIN w c ON {_TEAM_FITS} QUALIFY place <= 3)"""
+
+
+def roster_candidates(spark, d):
+    """Distinct rosters, and their three heaviest candidates."""
+    rows = teams(spark, d)
+    names = F.transform(rows["reserve"], lambda m: m["name"].cast("string"))
+    known = ct.distinct_known(rows, rows["lead.name"].cast("string"), names)
+    weighted = materialise(ct.leaf_weights(known), "roster-weights")
+    best = ct.best_fits(known, weighted, 3)
+    own = known.select("id", F.col("key").alias("lead"), "tokens")
+    full = weighted.select(F.col("id").alias("candidate"), F.col("tokens").alias("full"))
+    return best.join(own, "id").join(full, "candidate")
+
+
+@query("J9_roster_candidates", f"""WITH {ROSTER_SQL} SELECT lead, array_to_string(tokens, ',') AS roster, array_to_string(candidate, ',') AS candidate, weight, CAST(place AS INT) AS place FROM best""", ("records",))
+def j9_rosters(spark, d):
+    return roster_candidates(spark, d).select(
+        "lead", F.array_join("tokens", ",").alias("roster"), F.array_join("full", ",").alias("candidate"), "weight", "place")
+
+
+@query("J10_roster_scores", f"""WITH {ROSTER_SQL}, o AS (SELECT who, count(*) AS teams FROM t GROUP BY 1),
+s AS (SELECT a.who AS name, b.who AS mate, count(*) / any_value(o.teams) AS share FROM t a JOIN t b ON a.team_id = b.team_id AND a.who <> b.who JOIN o ON o.who = a.who GROUP BY 1, 2),
+f AS (SELECT lead, tokens, candidate, place, unnest(list_filter(candidate, lambda x: NOT list_contains(tokens, x))) AS mate FROM best),
+g AS (SELECT f.lead, f.tokens, place, f.mate, greatest(coalesce(max(share), 1e-6), 1e-6) AS top FROM f LEFT JOIN s ON s.mate = f.mate AND list_contains(list_concat([lead], tokens), s.name) GROUP BY ALL),
+h AS (SELECT lead, tokens, place, sum(ln(top)) AS added FROM g GROUP BY ALL)
+SELECT best.lead, array_to_string(best.tokens, ',') AS roster, CAST(best.place AS INT) AS place, round(coalesce(added, 0)
+ + CASE WHEN len(list_filter(candidate, lambda x: NOT list_contains(best.tokens, x))) < 5 - len(best.tokens) THEN ln(1e-6) ELSE 0 END, 4) AS log_score
+FROM best LEFT JOIN h ON h.lead = best.lead AND h.tokens = best.tokens AND h.place = best.place""", ("records",))
+def j10_rosters(spark, d):
+    rows = teams(spark, d)
+    names = rows.select("team_id", F.explode(F.concat(F.array("lead"), "reserve")).alias("m")).select("team_id", F.col("m.name").cast("string").alias("name"))
+    pairs = materialise(roster_candidates(spark, d), "roster-candidates")
+    scores = mt.roster_scores(pairs, ["id", "place"], "lead", "tokens", "full", mt.teammate_shares(names, "team_id", "name"))
+    return scores.join(pairs, ["id", "place"]).select(
+        "lead", F.array_join("tokens", ",").alias("roster"), "place", F.round("log_score", 4).alias("log_score"))
 
 
 @query("J11_inverted_index", """WITH m AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), c AS (SELECT l_suppkey, count(*) AS teams FROM m GROUP BY 1)

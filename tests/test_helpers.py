@@ -23,11 +23,10 @@ def test_small_column_helpers(spark):
     row = one(spark, a=encoding.effect_token(F.lit("Leech Seed")), b=encoding.effect_token(F.lit(None).cast("string")),
               c=sequences.detokenise(F.array(F.lit(1), F.lit(9)), {1: "x"}), d=records.default_moves(strings("m"), F.lit(2)),
               e=records.gap_fill(F.lit(None).cast("string"), F.lit("y")), f=filters.one_per_clause(strings("A b", "ab")),
-              g=filters.one_per_clause(strings("p", "q"), {"p": "1", "q": "1"}), h=filters.one_per_clause(strings("p", "q")),
-              i=matching.roster_pattern(F.lit("L"), strings("z", "b", "b")))
+              g=filters.one_per_clause(strings("p", "q"), {"p": "1", "q": "1"}), h=filters.one_per_clause(strings("p", "q")))
     assert row.a == "leechseed" and row.b == "noeffect" and row.c == ["x", "<unk>"]
     assert row.d == ["m", None, records.NONE, records.NONE] and row.e == "y"
-    assert not row.f and not row.g and row.h and row.i == ["L", "b", "z"]
+    assert not row.f and not row.g and row.h
 
 
 def test_checks_projection_and_appended_results(spark, tmp_path):
