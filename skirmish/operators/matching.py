@@ -225,24 +225,59 @@ def move_set_index(members: DataFrame, member: str, moves: str, team: str, block
         F.sort_array(F.collect_list(team)).alias("ids"))
 
 
+def _choices(items: Column, k: int, place: str) -> Column:
+    """All choices of ``k`` of the structs in ``items``, each in order of the field ``place``, whose values differ."""
+    out = F.transform(items, lambda x: F.array(x))
+    for _ in range(k - 1):
+        longer = lambda c: F.transform(F.filter(items, lambda y: y[place] > F.element_at(c, -1)[place]),
+                                       lambda y: F.concat(c, F.array(y)))
+        out = F.flatten(F.transform(out, longer))
+    return out
+
+
 def best_retrieval(wanted: DataFrame, members: DataFrame, request: str, team: str, name: str) -> DataFrame:
     """Best team per request: most wanted members, then best move overlap, then earlier names, then lowest id.
 
-    ``wanted`` has request, name, position and wanted_moves; ``members`` has team, name, moves.
+    ``wanted`` has request, name (once per request), position and wanted_moves; ``members`` has team, name, moves.
+    A request with no name that any team has gets no row.
+
+    Equal requests are answered once.  From the largest number of names down, the choices of so many names of a request meet
+    the same names of teams by equality, and only requests without an answer go on.  Teams enter as the different
+    sets of moves under the same names with their lowest id, so that a name many teams have costs what its
+    sets of moves do, not its teams.
     """
-    asked = wanted.groupBy(request).agg(F.sum(F.size("wanted_moves")).alias("_asked"))
-    sets = members.groupBy(team, name).agg(F.collect_set("moves").alias("_sets"))
-    overlap = F.array_max(F.transform("_sets", lambda m: F.size(F.array_intersect("wanted_moves", m)))).cast("bigint")
-    # Of two name sets of equal size the one with earlier names has the larger bits, 40 positions to a number.
-    last = wanted.agg(F.max("position")).first()[0] or 0
-    bits = [F.sum(F.when(F.floor(F.col("position") / 40) == i, F.pow(F.lit(2), 39 - F.col("position") % 40)).otherwise(0).cast("bigint")).alias(f"_b{i}")
-            for i in range(last // 40 + 1)]
-    per_team = wanted.join(sets, name).groupBy(request, team).agg(F.count("*").alias("_n"), F.sum(overlap).alias("_o"), *bits)
-    best = per_team.groupBy(request).agg(F.max(F.struct(
-        "_n", "_o", *[f"_b{i}" for i in range(len(bits))], F.negate(team).alias("t"))).alias("b"))
-    return best.join(asked, request).select(
-        request, F.negate("b.t").alias(team), F.col("b._n").alias("matched"),
-        F.coalesce(F.try_divide(F.col("b._o"), F.col("_asked")), F.lit(0.0)).alias("ratio"))
+    item = F.struct("position", name, "wanted_moves")
+    asked = wanted.groupBy(request).agg(F.array_sort(F.collect_list(item)).alias("_wants"))
+    asked = materialise(asked, "requests")
+    ids = open_ = materialise(asked.groupBy("_wants").agg(F.min(request).alias("_id")), "requests-distinct")
+    sets = members.join(wanted.select(name).distinct(), name, "left_semi").groupBy(team, name).agg(
+        F.array_sort(F.collect_set("moves")).alias("_sets"))
+    teams = materialise(sets.groupBy(team).agg(F.array_sort(F.collect_list(F.struct(name, "_sets"))).alias("_has")), "teams-asked")
+    most = min(open_.agg(F.max(F.size("_wants"))).first()[0] or 0, teams.agg(F.max(F.size("_has"))).first()[0] or 0)
+    overlap = F.aggregate(F.zip_with("_wanted", "_sets", lambda w, options: F.array_max(
+        F.transform(options, lambda m: F.size(F.array_intersect(w, m))))), F.lit(0), lambda acc, x: acc + x)
+    answers = []
+    for k in range(most, 0, -1):
+        choice = F.array_sort(F.transform("_choice", lambda x: F.struct(x[name].alias("n"), x["position"].alias("p"), x["wanted_moves"].alias("w"))))
+        asks = open_.select("_id", F.explode(_choices(F.col("_wants"), k, "position")).alias("_choice")).select(
+            "_id", F.transform(choice, lambda x: x["n"]).alias("_names"), F.transform(choice, lambda x: x["w"]).alias("_wanted"),
+            F.transform("_choice", lambda x: x["position"]).alias("_places"))
+        index = teams.where(F.size("_has") >= k).select(team, F.explode(_choices(F.col("_has"), k, name)).alias("_choice")).groupBy(
+            F.transform("_choice", lambda x: x[name]).alias("_names"), F.transform("_choice", lambda x: x["_sets"]).alias("_sets")).agg(
+            F.min(team).alias(team))
+        best = asks.join(index, "_names").groupBy("_id").agg(
+            F.min(F.struct(F.negate(overlap).alias("o"), F.col("_places"), F.col(team).alias("t"))).alias("_best"))
+        found = materialise(best.select("_id", F.col("_best.t").alias(team), F.lit(k).cast("long").alias("matched"),
+                                        F.negate("_best.o").alias("_o")), f"retrieved-{k}")
+        answers.append(found)
+        if k > 1:
+            open_ = materialise(open_.join(found.select("_id"), "_id", "left_anti"), "requests-open")
+    if not answers:
+        return asked.select(request, F.lit(None).cast(members.schema[team].dataType).alias(team), F.lit(0).cast("long").alias("matched"),
+                            F.lit(0.0).alias("ratio")).where("1 = 0")
+    total = F.aggregate("_wants", F.lit(0), lambda acc, x: acc + F.size(x["wanted_moves"]))
+    joined = asked.join(ids, "_wants").join(reduce(DataFrame.unionByName, answers), "_id")
+    return joined.select(request, team, "matched", F.coalesce(F.try_divide(F.col("_o"), total), F.lit(0.0)).alias("ratio"))
 
 
 def payoff_table(scores: DataFrame, id_col: str, score: str, win: Callable[[Column, Column], Column]) -> DataFrame:

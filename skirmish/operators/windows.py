@@ -216,46 +216,55 @@ _MAP = "struct<src:int,sg:int,add:int,lo:int,hi:int>"
 _BLOCK = 128
 
 
-def _in_blocks(df: DataFrame, key: Sequence[str], whole: bool, bound: int) -> DataFrame:
-    """Rows (key, pos, payload, m) with ``ahead``, the composite of the maps before each row, in order of ``pos``.
-
-    Blocks of fixed size are composed one by one, and their composites in the same way on the next level, so an
-    array never holds more than a block, but on the top level (``whole``), where a key of n rows has n / 128^3.
-    """
-    group = [*key] if whole else [*key, "_b"]
-    rows = df if whole else df.withColumn("_b", F.floor(F.col("pos") / _BLOCK))
-    lists = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("pos", "payload", "m"))).alias("_l"))
-    upto = F.aggregate("_l", F.array(_identity(bound)).cast(f"array<struct<s1:{_MAP},s2:{_MAP}>>"),
+def _prefixes(rows: DataFrame, group: Sequence[str], payload: Sequence[str], bound: int, starts: DataFrame | None = None) -> DataFrame:
+    """Rows (group, pos, payload, m) with ``ahead``, the composite of the maps before each row in order of ``pos``;
+    it begins with the ``start`` that ``starts`` has for the group, else with the identity."""
+    lists = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("pos", *payload, "m"))).alias("_l"))
+    first = _identity(bound)
+    if starts is not None:
+        lists, first = lists.join(starts, [*group]), F.col("start")
+    upto = F.aggregate("_l", F.array(first).cast(f"array<struct<s1:{_MAP},s2:{_MAP}>>"),
                        lambda acc, x: F.concat(acc, F.array(_then(F.element_at(acc, -1), x["m"]))))
     lists = lists.select(*group, "_l", upto.alias("_p"))
-    return lists.select(*group, F.element_at("_p", -1).alias("total"), F.explode(F.arrays_zip(
+    return lists.select(*group, F.explode(F.arrays_zip(
         F.col("_l").alias("x"), F.slice("_p", F.lit(1), F.size("_l")).alias("ahead"))).alias("z")).select(
-        *group, "total", "z.x.pos", "z.x.payload", "z.x.m", "z.ahead")
+        *group, "z.x.pos", *[f"z.x.{c}" for c in payload], "z.x.m", "z.ahead")
 
 
-def _ahead(df: DataFrame, key: Sequence[str], bound: int, levels: int) -> DataFrame:
-    if levels == 0:
-        return _in_blocks(df, key, True, bound).drop("total")
-    rows = materialise(_in_blocks(df, key, False, bound), f"stages-{levels}")
-    totals = rows.where(F.pmod("pos", F.lit(_BLOCK)) == 0).select(
-        *key, F.col("_b").alias("pos"), F.lit(None).cast("int").alias("payload"), F.col("total").alias("m"))
-    before = _ahead(totals, key, bound, levels - 1).select(*key, F.col("pos").alias("_b"), F.col("ahead").alias("_start"))
-    return rows.join(before, [*key, "_b"]).select(
-        *key, "pos", "payload", "m", _then(F.col("_start"), F.col("ahead")).alias("ahead"))
+def _starts(rows: DataFrame, key: Sequence[str], bound: int, levels: int) -> DataFrame:
+    """(key, _b, start): the composite of all maps before each block of positions.  Only positions and maps are read."""
+    state = f"struct<s1:{_MAP},s2:{_MAP}>"
+    lists = rows.groupBy(*key, F.floor(F.col("pos") / _BLOCK).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("_l"))
+    total = F.aggregate("_l", _identity(bound).cast(state), lambda acc, x: _then(acc, x["m"]).cast(state))
+    blocks = materialise(lists.select(*key, F.col("_b").alias("pos"), total.alias("m")), f"stages-{levels}")
+    if levels == 1:
+        found = _prefixes(blocks, key, [], bound)
+    else:
+        upper = _starts(blocks, key, bound, levels - 1)
+        found = _prefixes(blocks.withColumn("_b", F.floor(F.col("pos") / _BLOCK)), [*key, "_b"], [], bound, upper).drop("_b")
+    return found.select(*key, F.col("pos").alias("_b"), F.col("ahead").alias("start"))
 
 
 def stage_values(df: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], slot1: Column,
                  slot2: Column, bound: int = 6) -> DataFrame:
     """Stages of both slots after each message, as ``stage1`` and ``stage2``.
 
-    ``slot1`` and ``slot2`` are :func:`stage_map` columns.  Maps are composed in blocks of consecutive messages, the
-    composites of blocks in blocks again, so neither a battle nor a segment is ever held in one row.
+    ``slot1`` and ``slot2`` are :func:`stage_map` columns.  Maps are composed in blocks of consecutive messages and the
+    composites of blocks in blocks again, in as many levels as the longest key needs, so neither a battle nor a segment
+    is ever held in one row.  Levels hold maps only; the other columns go through one grouping by block.
     """
     kept = [c for c in df.columns if c not in key]
     step = F.struct(slot1.alias("s1"), slot2.alias("s2"))
+    longest, levels = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0, 0
+    while longest > _BLOCK:
+        longest, levels = -(-longest // _BLOCK), levels + 1
     placed = ranked(df.withColumn("_m", step), key, F.col(seg), order, "_pos").select(
         *key, (F.col("_pos") - 1).alias("pos"), F.struct(*kept).alias("payload"), F.col("_m").alias("m"))
-    full = _then(F.col("ahead"), F.col("m"))
-    return _ahead(placed, key, bound, 3).withColumn("_f", full).select(
+    if levels:
+        placed = materialise(placed, "stages-placed").withColumn("_b", F.floor(F.col("pos") / _BLOCK))
+        rows = _prefixes(placed, [*key, "_b"], ["payload"], bound, _starts(placed, key, bound, levels))
+    else:
+        rows = _prefixes(placed, key, ["payload"], bound)
+    return rows.withColumn("_f", _then(F.col("ahead"), F.col("m"))).select(
         *key, *[F.col("payload")[c].alias(c) for c in kept],
         _value(F.col("_f")["s1"]).alias("stage1"), _value(F.col("_f")["s2"]).alias("stage2"))

@@ -80,7 +80,9 @@ def test_no_task_holds_the_hot_key(skewed):
     assert rows  # row windows are keyed by segment as well
 
 
-def test_stage_values_across_segments(spark):
+@pytest.mark.parametrize("block", [128, 3])
+def test_stage_values_across_segments(spark, monkeypatch, block):
+    monkeypatch.setattr(windows, "_BLOCK", block)
     rng = np.random.default_rng(3)
     kinds = rng.choice(["up", "down", "reset", "swap"], 400, p=[.45, .35, .05, .15])
     amount = rng.integers(1, 4, 400)
