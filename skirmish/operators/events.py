@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .ordered import running
-from .windows import intervals, stage_map, stage_values
+from .windows import distinct_so_far, intervals, stage_map, stage_values
 
 # Message types that carry no state.
 IGNORED_TYPES = (
@@ -164,8 +164,8 @@ def health(log: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], h
 def remaining(log: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], slot: Column,
               team_size: int = 6) -> DataFrame:
     """Members left on a side: team size less distinct fainted members so far."""
-    out = running(log, key, seg, order, {"_down": ("set", F.when(F.col("type") == "faint", tx.slot_name(slot)))})
-    return out.withColumn("remaining", (F.lit(team_size) - F.size("_down")).cast("int")).drop("_down")
+    out = distinct_so_far(log, key, seg, order, {"_down": F.when(F.col("type") == "faint", tx.slot_name(slot))})
+    return out.withColumn("remaining", (F.lit(team_size) - F.col("_down")).cast("int")).drop("_down")
 
 
 def statuses(log: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], status: Column) -> DataFrame:

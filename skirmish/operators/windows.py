@@ -79,13 +79,48 @@ def done_flags(df: DataFrame, key: Sequence[str], seg: str, order: Sequence[str]
     return nxt.withColumn(name, F.col("_more").isNull()).drop("_more")
 
 
+def first_seen(df: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """(key, seg, order, ``name``): the row where each value of a key stands first; nulls don't count.  One aggregation,
+    which combines before the shuffle, however many rows a key has."""
+    rows = df.select(*key, F.struct(seg, *order).alias("_at"), value.alias(name)).where(F.col(name).isNotNull())
+    return rows.groupBy(*key, name).agg(F.min("_at").alias("_at")).select(*key, "_at.*", name)
+
+
+def distinct_so_far(df: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Number of distinct values up to each row, under each name: a running count of first appearances."""
+    kept = df.columns
+    rows = df
+    for name, value in values.items():
+        firsts = first_seen(df, key, seg, order, value, "_value").groupBy(*key, seg, *order).agg(F.count("*").alias(f"_first_{name}"))
+        rows = rows.join(firsts, [*key, seg, *order], "left")
+    out = running(rows, key, seg, order, {name: ("sum", F.col(f"_first_{name}")) for name in values})
+    return out.select(*kept, *[F.coalesce(name, F.lit(0)).alias(name) for name in values])
+
+
 def ever_and_revealed(df: DataFrame, key: Sequence[str], seg: str, order: Sequence[str],
                       flags: Mapping[str, Column], seen: Column, name: str = "seen", width: int = 6) -> DataFrame:
-    """Running ever-flags, and the sorted names seen so far padded to ``width``."""
-    out = running(df, key, seg, order, {
-        **{n: ("max", c.cast("int")) for n, c in flags.items()}, name: ("set", seen)})
-    shown = F.slice(F.sort_array(name), 1, width)
-    return out.withColumn(name, F.concat(shown, F.array_repeat(F.lit("<blank>"), width - F.size(shown))))
+    """Running ever-flags, and the sorted names seen so far (the first ``width`` of them) padded to ``width``.
+
+    Only the rows where a name is new change the list: there the first ``width`` names are worked out, from the first
+    appearances of the key, and the last such list is carried on.  No row holds more than ``width`` names.
+    """
+    kept = df.columns
+    firsts = first_seen(df, key, seg, order, seen, "_name")
+    text = dict(df.select(seen.alias("x")).dtypes)["x"]
+    listed = F.aggregate("_new", F.struct(F.array().cast(f"array<{text}>").alias("now"), F.array().cast(f"array<array<{text}>>").alias("all")),
+                         lambda acc, x: _with_list(acc["all"], F.slice(F.array_sort(F.array_union(acc["now"], F.array(x["_name"]))), 1, width)))
+    place = F.struct(seg, *order)
+    changes = firsts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(place.alias("_at"), "_name"))).alias("_new"))
+    changes = changes.select(*key, F.explode(F.arrays_zip(F.col("_new._at").alias("at"), listed["all"].alias("list"))).alias("_c")).select(
+        *key, "_c.at.*", F.col("_c.list").alias("_list"))
+    out = running(df.join(changes, [*key, seg, *order], "left"), key, seg, order, {
+        **{n: ("max", c.cast("int")) for n, c in flags.items()}, name: ("last", F.col("_list"))})
+    shown = F.coalesce(name, F.array().cast(f"array<{text}>"))
+    return out.select(*kept, *flags, F.concat(shown, F.array_repeat(F.lit("<blank>"), width - F.size(shown))).alias(name))
+
+
+def _with_list(lists: Column, now: Column) -> Column:
+    return F.struct(now.alias("now"), F.concat(lists, F.array(now)).alias("all"))
 
 
 def random_slice(df: DataFrame, key: Sequence[str], seg: str, order: Sequence[str], length: int,

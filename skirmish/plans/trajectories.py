@@ -23,22 +23,22 @@ def replay_steps(log: DataFrame, battle: str, seg: str, order: Sequence[str]) ->
     key = [battle]
     turned = windows.turn_numbers(log, key, seg, order, F.col("type") == "turn", arg(0).try_cast("int"))
     msg = message_columns(turned)
-    one = {}
+    one, down = {}, {}
     for side in ("p1", "p2"):
         mine = F.col("slot_side") == side
         one[f"active_{side}"] = ("last", F.when(mine & F.col("switched_to").isNotNull(), tx.slot_name(arg(0))))
         hp = F.coalesce("hp", F.when(F.col("switched_to").isNotNull(), tx.hp_fraction(arg(2))))
         one[f"hp_{side}"] = ("last", F.when(mine, hp))
-        one[f"down_{side}"] = ("set", F.when(mine, F.col("fainted")))
+        down[f"down_{side}"] = F.when(mine, F.col("fainted"))
     one["weather_now"] = ("last", F.when(F.col("type") == "-weather", F.when(F.col("weather") == "none", "noweather").otherwise(
         tx.clean_letters(F.col("weather")))))
-    filled = running(msg, key, seg, order, one)
+    filled = windows.distinct_so_far(running(msg, key, seg, order, one), key, seg, order, down)
     at = F.struct(*order)
     used = F.when(F.col("type") == "move", F.concat(F.lit("move:"), tx.move_id(F.col("move")))).when(
         F.col("type") == "switch", F.concat(F.lit("switch:"), tx.slot_name(arg(0))))
     did = lambda side: F.min_by(used, F.when(used.isNotNull() & (F.col("slot_side") == side), at)).alias(f"did_{side}")
-    state = [F.max_by(c, at).alias(c) for c in one if not c.startswith("down_")]
-    left = [(6 - F.max(F.size(f"down_{s}"))).cast("int").alias(f"left_{s}") for s in ("p1", "p2")]
+    state = [F.max_by(c, at).alias(c) for c in one]
+    left = [(6 - F.max(f"down_{s}")).cast("int").alias(f"left_{s}") for s in ("p1", "p2")]
     turns = filled.groupBy(battle, "turn").agg(*state, *left, did("p1"), did("p2"))
     acted = neighbours(turns.withColumn("_tseg", F.floor(F.col("turn") / 1024)), key, "_tseg", ["turn"],
                        lead={"next_p1": F.col("did_p1"), "next_p2": F.col("did_p2")})

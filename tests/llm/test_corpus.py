@@ -98,12 +98,14 @@ def test_pack(spark):
         packing.pack(docs(spark), PATH, most=100)
 
 
-def test_encoder_of_a_long_text_and_a_small_table(monkeypatch):
-    encoder, tokenizer = packing.Encoder(PATH, words=50), Tokenizer.from_file(PATH)
+def test_encoder_of_a_long_text_and_a_small_table():
+    encoder, tokenizer = packing.Encoder(PATH, words=50, special=True), Tokenizer.from_file(PATH)
     text = " ".join(f"token{i % 70} and-more" for i in range(90_000))
-    for value in (text[:2000], text):
+    rng = random.Random(7)
+    odd = ["".join(rng.choice("ab'slre  \n\t\x1c 019.,_\u00e9\u00f1\u00b2\u00aa\u2026\u2019\xa0 \u65e5\u0301<|>") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    for value in [text[:2000], text, " " * 200_000 + "x", "a<|endoftext|> " * 3, "", *odd]:
         ids = tokenizer.encode(value, add_special_tokens=False).ids
-        assert encoder.encode(value) == struct.pack(f"<{len(ids)}I", *ids)
+        assert encoder.encode(value) == encoder.encode_by_word(value) == struct.pack(f"<{len(ids)}I", *ids)
 
 
 def test_op9_agrees_with_the_tokenizer(spark):

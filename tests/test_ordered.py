@@ -115,3 +115,16 @@ def test_pairs_of_a_large_group(spark):
     assert out.count() == 280 * 279 // 2 + 20 * 19 // 2
     assert out.distinct().count() == out.count()
     assert out.where("a >= b").count() == 0
+
+
+def test_names_seen_so_far(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": rng.choice([1, 1, 1, 2, 3], 500), "pos": np.arange(500), "x": [f"n{v:02d}" if v < 30 else None for v in rng.integers(0, 60, 500)]})
+    pdf["seg"] = pdf["pos"] // 16
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k int, pos int, x string, seg int")
+    shown = windows.ever_and_revealed(df, ["k"], "seg", ["pos"], {"late": F.col("pos") > 300}, F.col("x"), width=4)
+    assert shown.columns == ["k", "pos", "x", "seg", "late", "seen"]
+    counts = {r.pos: r.n for r in windows.distinct_so_far(df, ["k"], "seg", ["pos"], {"n": F.col("x")}).collect()}
+    for r in shown.collect():
+        names = sorted(set(pdf[(pdf.k == r.k) & (pdf.pos <= r.pos)].x.dropna()))
+        assert r.seen == (names[:4] + ["<blank>"] * 4)[:4] and counts[r.pos] == len(names) and r.late == (r.pos > 300)
