@@ -4,9 +4,10 @@ A table hashes a unit vector to floor((a.x + b) / width) for several Gaussian a
 own bucket and perturbed ones in the order of their expected success (Lv et al. 2007: the order of perturbation sets
 depends on their ranks only, so it is worked out once).  Candidates of all tables are ranked by the exact cosine.
 
-How likely a neighbour is found depends on its distance alone, so ``fit`` also works out the lowest score at which the
-probes find it with the wanted recall.  A query whose k-th neighbour found is no better than that, or that has fewer, is
-compared with every vector instead, in blocks of queries.
+How likely a neighbour is found depends on its distance alone, so for each number of probes the lowest score is worked
+out at which they find it with the wanted recall.  A query whose k-th neighbour found is no better than that goes on
+to further rounds, with four times the probes in the same order of success.  Only a query that has fewer than k candidates
+when the probes end is compared with every vector, in blocks of queries.
 
 Equal vectors are one class, searched and ranked once, with their few smallest identifiers.  Bucket keys are dealt to
 parts; the few keys with very many vectors are dealt to several parts, and their probes visit all of these.
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +109,7 @@ def fit(sample: np.ndarray, rows: int, k: int, tables: int = 10, width: float =
         queries: int = 128, most: int = 1 << 12) -> Hasher:
     """Hash functions for ``rows`` vectors, with the fewest probes that find ``recall`` of the ``k`` nearest
     within the sample.  Neighbours among all rows are nearer than those in a sample, so are found oftener; for
-    queries of which that isn't true, ``reach`` is the lowest score that ``recall`` still holds for."""
+    queries of which that isn't true, ``reach`` is the lowest score that the recall of ``_reach`` still holds for."""
     hashes = max(2, round(math.log2(max(rows, 4)) / 2))
     hasher = Hasher(sample.shape[1], tables, hashes, width, most)
     some = unit(sample[:queries])
@@ -124,11 +126,18 @@ def fit(sample: np.ndarray, rows: int, k: int, tables: int = 10, width: float =
     ranks = np.sort(found)
     if len(ranks):
         hasher.probes = int(min(most, ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)] + 1))
-    hasher.reach = _reach(hasher, some[:64], recall)
+    hasher.reach = _reach(hasher, some[:64])
     return hasher
 
 
-def _reach(hasher: Hasher, some: np.ndarray, recall: float, steps: int = 32, each: int = 8) -> float:
+def _further(hasher: Hasher, some: np.ndarray, most: int) -> Hasher:
+    """The same hash functions with four times the probes."""
+    more = replace(hasher, probes=min(most, 4 * hasher.probes))
+    more.reach = _reach(more, some[:64])
+    return more
+
+
+def _reach(hasher: Hasher, some: np.ndarray, recall: float = 0.93, steps: int = 32, each: int = 8) -> float:
     """The lowest of ``steps`` cosines such that the probes find ``recall`` of random vectors at it and all above."""
     if hasher.dimension < 2:
         return 1.0
@@ -259,15 +268,15 @@ def _scanned(classes: np.ndarray, asked: np.ndarray, k: int):
 
 
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-            sample: int = 2000, tables: int = 10, width: float = 2.0, recall: float = 0.97, block: int = 2048) -> DataFrame:
+            sample: int = 2000, tables: int = 10, width: float = 2.0, recall: float = 0.97, block: int = 2048, most: int = 1 << 10) -> DataFrame:
     """query_id, rank, ``id_col``, score: the ``k`` nearest found of each row for which ``queries`` is true.
 
     Score is the cosine in double precision, ties go to the smaller identifier, a row is not its own neighbour.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an identifier
     or vectors of another length than the commonest; rows that repeat identifier and vector count once.  The hash
     functions are fitted on ``sample`` vectors, every row is indexed.  A query whose neighbours may have been missed is
-    compared with all vectors, about ``block`` such queries at once.  Each has ``k`` rows, or all there are.  An empty
-    table gives none.
+    probed further, up to ``most`` buckets a table; one with fewer than ``k`` candidates then is compared with all vectors,
+    about ``block`` such queries at once.  Each has ``k`` rows, or all there are.  An empty table gives none.
     """
     spark = vectors.sparkSession
     rows = vectors.where(queries.isNotNull() & F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
@@ -297,17 +306,26 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     crowded = classes.select("vector").mapInArrow(keyed, "key long").groupBy("key").count().where(F.col("count") > max(limit, 1000)).collect()
     hot = {r["key"] & (1 << 64) - 1: min(parts, math.ceil(r["count"] / max(limit, 1000))) for r in crowded}
     index = classes.mapInArrow(_dealt(hasher, parts, hot, False), _ROW)
-    probes = classes.join(asking.select("class").distinct(), "class", "left_semi").mapInArrow(_dealt(hasher, parts, hot, True), _ROW)
-    found = index.unionByName(probes).groupBy("part").applyInArrow(
-        _searched(k), "query long, class long, ids array<long>, score double")
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
-    best = materialise(found.dropDuplicates(["query", "class"]).withColumn("nth", F.row_number().over(ranked))
-                       .where(F.col("nth") <= k + 1).select("query", "ids", "score"), "ann-best")
     upto = F.sum(F.size("ids")).over(ranked.rowsBetween(Window.unboundedPreceding, 0))
-    sure = (best.withColumn("upto", upto).where((F.col("upto") > k) & (F.col("score") >= hasher.reach - 1e-9))
-            .select(F.col("query").alias("class")).distinct())
-    unsure = classes.join(asking.select("class").distinct().join(sure, "class", "left_anti"), "class", "left_semi")
-    unsure = materialise(unsure.select("class", "vector"), "ann-unsure")
+    pending, answers, some = asking.select("class").distinct(), [], np.stack(taken.to_numpy()[:64]).astype(np.float64)
+    most = min(most, 3 ** hasher.hashes)  # all single steps there are
+    while True:
+        probes = classes.join(pending, "class", "left_semi").mapInArrow(_dealt(hasher, parts, hot, True), _ROW)
+        found = index.unionByName(probes).groupBy("part").applyInArrow(
+            _searched(k), "query long, class long, ids array<long>, score double")
+        round_ = materialise(found.dropDuplicates(["query", "class"]).withColumn("nth", F.row_number().over(ranked))
+                             .where(F.col("nth") <= k + 1).select("query", "ids", "score", upto.alias("upto")), "ann-round")
+        last = hasher.probes >= most
+        enough = (F.col("upto") > k) if last else (F.col("upto") > k) & (F.col("score") >= hasher.reach - 1e-9)
+        sure = round_.where(enough).select("query").distinct()
+        answers.append(round_.drop("upto").join(sure, "query", "left_semi"))
+        pending = materialise(pending.join(sure, pending["class"] == sure["query"], "left_anti"), "ann-pending")
+        if last or pending.isEmpty():
+            break
+        hasher = _further(hasher, unit(some), most)
+    best = materialise(reduce(DataFrame.unionByName, answers), "ann-best")
+    unsure = materialise(classes.join(pending, "class", "left_semi").select("class", "vector"), "ann-unsure")
     blocks = math.ceil(unsure.count() / block)
     if blocks:
         dealt, scans = materialise(classes.repartition(parts, "class"), "ann-dealt"), []
@@ -318,7 +336,6 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
                 scan = dealt.mapInArrow(_scanned(some["class"].to_numpy(), asked, k), "query long, class long, ids array<long>, score double")
                 scans.append(materialise(scan.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1)
                                          .select("query", "ids", "score"), "ann-scan"))
-        best = best.join(unsure.select(F.col("class").alias("query")), "query", "left_anti")
         for scan in scans:
             best = best.unionByName(scan)
     pairs = (asking.join(best.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near")),
