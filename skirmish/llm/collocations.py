@@ -1,12 +1,15 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
-Texts are hashed in blocks of some megabytes with numpy: prefix polynomials over the bytes give the fingerprint of each
+Texts are hashed in blocks of about a megabyte with numpy: prefix polynomials over the bytes give the fingerprint of each
 word, prefix polynomials over the words' fingerprints that of every n-gram.  Passes over the texts count fingerprints,
 longer phrases only where all their shorter ones are frequent: words, then pairs of frequent words, then three to five
 words of frequent pairs.  What is frequent reaches the next pass as a bitmap of fixed size; a bit set by chance costs a
-row, never a result.  The last pass keeps, per block, a pointer to one occurrence of each frequent fingerprint, compares
-every other occurrence with the words at the pointer, and emits the text there with its count.  Counts by text settle
-collisions across blocks, so all numbers are exact.
+row, never a result.
+
+With each count the shuffle aggregates a pointer to an occurrence: 24 bits of a second, independent fingerprint, and 16
+bits of a hash of text and place.  The least and the largest pointer of a fingerprint differ in the second fingerprint
+where texts collided.  A last pass reads the text at the least pointers of frequent phrases, and no other; where texts
+collided, the occurrences are counted by their text.
 """
 
 from __future__ import annotations
@@ -15,19 +18,21 @@ from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
 #: Bytes of a block; entries of a task's table of counts before it is sent on.
-BLOCK, TABLE = 1 << 21, 1 << 20
+BLOCK, TABLE = 1 << 20, 1 << 21
 #: log2 of the bits of a bitmap: 16 MB.
 BITS = 27
-#: Odd bases of the polynomials, for bytes and words, and their inverses modulo 2^64.
-_BASES = tuple((b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+#: Odd bases of the polynomials, with their inverses modulo 2^64: bytes and words, then the same of the second fingerprint.
+_BASES = tuple((b, pow(b, -1, 1 << 64)) for b in (
+    0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407))
 _OTHER, _BLANK, _BREAK = range(3)
 
 
@@ -67,91 +72,96 @@ def polynomials(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: i
     return (sums[end] - sums[start]) * down[start]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
+def scrambled(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
+def fingerprint(x: np.ndarray) -> np.ndarray:
+    return scrambled(x)
+
+
 class Block:
-    """Words of some bytes of lower-cased text: where they stand, their piece, and fingerprints.  N-grams that end within
-    the first ``lead`` words were counted in the block before."""
+    """Words of some bytes of lower-cased text: where they stand, their piece, fingerprints.  N-grams that end within
+    the first ``lead`` words were counted in the block before.  ``texts`` has, by text in the block, its first byte here,
+    its hash, and the place of that byte in the text."""
 
-    def __init__(self, data: bytes, seed: int, lead: int = 0) -> None:
+    def __init__(self, data: bytes, seed: int, texts: list[tuple[int, int, int]], lead: int = 0) -> None:
         self.data, self.seed, self.lead = np.frombuffer(data, np.uint8), np.uint64(seed), lead
         kinds = KINDS[self.data]
         inside = np.concatenate([[False], kinds == _OTHER, [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[::2], edges[1::2]
-        self.piece = np.cumsum(kinds == _BREAK)[self.start] if len(self.start) else self.start
-        self.words = mixed(polynomials(self.data + np.uint64(1), self.start, self.end, 0))
+        self.piece = np.cumsum(kinds == _BREAK, dtype=np.int32)[self.start] if len(self.start) else self.start
+        values = self.data + np.uint64(1)
+        self.words, self.seconds = (scrambled(polynomials(values, self.start, self.end, which)) for which in (0, 2))
+        first, key, place = (np.array(x) for x in zip(*texts))
+        owner = np.searchsorted(first, self.start, side="right") - 1
+        where = (self.start - first[owner] + place[owner]).astype(np.uint64)
+        #: 16 bits that tell an occurrence from most others, by its first word.
+        self.places = scrambled(key.astype(np.int64).view(np.uint64)[owner] + where * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words and fingerprints of the n-grams within pieces that are this block's to count."""
+    def grams(self, n: int) -> np.ndarray:
+        """First words of the n-grams within pieces that are this block's to count."""
         first = np.arange(max(0, self.lead - n + 1), max(0, len(self) - n + 1))
-        first = first[self.piece[first] == self.piece[first + n - 1]]
-        return first, self.prints(first, n)
+        return first[self.piece[first] == self.piece[first + n - 1]]
 
     def prints(self, first: np.ndarray, n: int) -> np.ndarray:
         found = self.words[first] if n == 1 else polynomials(self.words, first, first + n, 1)
-        return mixed(found + self.seed + np.uint64(n))
+        return fingerprint(found + self.seed + np.uint64(n))
+
+    def pointers(self, first: np.ndarray, n: int) -> np.ndarray:
+        """24 bits of the second fingerprint, and the place."""
+        found = self.seconds[first] if n == 1 else polynomials(self.seconds, first, first + n, 3)
+        check = scrambled(found + self.seed) >> np.uint64(40)
+        return (check << np.uint64(16) | self.places[first]).astype(np.int64)
 
     def text(self, word: int, n: int) -> str:
         return b" ".join(self.data[self.start[i]:self.end[i]].tobytes() for i in range(word, word + n)).decode("utf-8", "replace")
 
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        """Numbers of the given words of the block, equal just where the words' bytes are."""
-        _, first, number = np.unique(self.words[words], return_index=True, return_inverse=True)
-        pointer = words[first][number]
-        size, other = self.end[words] - self.start[words], self.end[pointer] - self.start[pointer]
-        same = bool((size == other).all())
-        if same:
-            shift = np.cumsum(size) - size
-            within = np.arange(int(size.sum())) - np.repeat(shift, size)
-            same = bool((self.data[np.repeat(self.start[words], size) + within] == self.data[np.repeat(self.start[pointer], size) + within]).all())
-        if same:
-            return number
-        held: dict[bytes, int] = {}
-        return np.array([held.setdefault(self.data[self.start[i]:self.end[i]].tobytes(), len(held)) for i in words], np.int64)
-
 
 def blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, Block]]:
-    """The texts of a batch of (lang, text) by lang, joined by breaks in blocks of about ``BLOCK`` bytes.  A longer text is
-    cut between words; the next block begins with the last four words of the block before."""
+    """The texts of a batch of (lang, text, key) by lang, joined by breaks in blocks of about ``BLOCK`` bytes.  A longer text
+    is cut between words; the next block begins with the last four words of the block before."""
     langs = batch.column(0)
     for lang in langs.unique():
         seed = int.from_bytes(blake2b(lang.as_py().encode(), digest_size=8).digest(), "little")
-        texts, parts, size = batch.filter(pc.equal(langs, lang)).column(1), [], 0
-        for value in texts:
+        some, parts, texts, size = batch.filter(pc.equal(langs, lang)), [], [], 0
+        for value, key in zip(some.column(1), some.column(2).to_pylist()):
             data = value.as_py().translate(LOWER)
             if size + len(data) > BLOCK and parts:
-                yield lang.as_py(), Block(b"\n".join(parts), seed)
-                parts, size = [], 0
+                yield lang.as_py(), Block(b"\n".join(parts), seed, texts)
+                parts, texts, size = [], [], 0
             if len(data) > BLOCK:
-                for some, lead in _cut(data):
-                    yield lang.as_py(), Block(some, seed, lead)
+                for at, stop, lead in _cuts(data):
+                    yield lang.as_py(), Block(data[at:stop], seed, [(0, key, at)], lead)
             else:
                 parts.append(data)
+                texts.append((size, key, 0))
                 size += len(data) + 1
         if parts:
-            yield lang.as_py(), Block(b"\n".join(parts), seed)
+            yield lang.as_py(), Block(b"\n".join(parts), seed, texts)
 
 
-def _cut(data: bytes, most: int = 4) -> Iterator[tuple[bytes, int]]:
-    separators = np.flatnonzero(KINDS[np.frombuffer(data, np.uint8)] != _OTHER)
+def _cuts(data: bytes, most: int = 4) -> Iterator[tuple[int, int, int]]:
+    """(start, end, lead) of the blocks of a long text."""
+    other = KINDS[np.frombuffer(data, np.uint8)] == _OTHER
+    separators = np.flatnonzero(~other)
+    words = np.flatnonzero(other & ~np.concatenate([[False], other[:-1]]))
     at, lead, stop = 0, 0, 0
     while True:
         place = int(np.searchsorted(separators, max(at, stop) + BLOCK))
         stop = int(separators[place]) if place < len(separators) else len(data)
-        some = Block(data[at:stop], 0)
-        yield data[at:stop], lead
+        yield at, stop, lead
         if stop == len(data):
             return
-        lead = min(most, len(some))
-        at = at + int(some.start[len(some) - lead]) if lead else stop
+        inside = words[np.searchsorted(words, at):np.searchsorted(words, stop)]
+        lead = min(most, len(inside))
+        at = int(inside[-lead]) if lead else stop
 
 
 class Bitmap:
@@ -176,141 +186,180 @@ def bitmap(prints: DataFrame, bits: int = BITS) -> Bitmap:
 
 
 class _Counts:
-    """A task's counts by fingerprint, in tables of bounded size."""
+    """A task's counts and least pointers by fingerprint, in tables of bounded size."""
 
     def __init__(self) -> None:
         self.parts, self.size = [], 0
 
-    def add(self, prints: np.ndarray) -> None:
-        found, count = np.unique(prints, return_counts=True)
-        self.parts.append((found, count))
-        self.size += len(found)
+    def add(self, block: Block, first: np.ndarray, n: int) -> None:
+        if len(first):
+            self._add(block.prints(first, n), np.ones(len(first), np.int64), block.pointers(first, n))
+
+    def _add(self, prints: np.ndarray, count: np.ndarray, pointer: np.ndarray) -> None:
+        order = np.argsort(prints)
+        prints, pointer = prints[order], pointer[order]
+        at = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+        prints, count = prints[at], np.add.reduceat(count[order], at)
+        least, most = np.minimum.reduceat(pointer, at), np.maximum.reduceat(pointer, at)
+        # Texts that collide: the largest pointer gets a row of its own, so that the collision shows.
+        apart = np.flatnonzero(least >> 16 != most >> 16)
+        count[apart] -= 1
+        self.parts.append((np.concatenate([prints, prints[apart]]), np.concatenate([count, np.ones(len(apart), np.int64)]),
+                           np.concatenate([least, most[apart]])))
+        self.size += len(at)
 
     def rows(self, least: int) -> Iterator[pa.RecordBatch]:
         """The counts as rows, if there are over ``least``."""
         if self.size <= least:
             return
-        prints, where = np.unique(np.concatenate([p for p, _ in self.parts]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([c for _, c in self.parts])).astype(np.int64)
-        if len(prints) > least // 2:
+        parts, self.parts, self.size = self.parts, [], 0
+        self._add(*(np.concatenate(x) for x in zip(*parts)))
+        if self.size > least // 2:
+            prints, *columns = self.parts[0]
             for first in range(0, len(prints), 1 << 16):
                 some = slice(first, first + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(prints[some].view(np.int64)), pa.array(counts[some])], ["fp", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints[some].view(np.int64)), *[pa.array(c[some]) for c in columns]],
+                                                 ["fp", "count", "pointer"])
             self.parts, self.size = [], 0
-        else:
-            self.parts, self.size = [(prints, counts)], len(prints)
 
 
-def _frequent(texts: DataFrame, grams: Callable[[Block], Iterator[np.ndarray]], least: int, label: str) -> DataFrame:
-    """Fingerprints that ``grams`` gives ``least`` times or more."""
+def _frequent(texts: DataFrame, grams: Callable[[Block], Iterator[tuple[np.ndarray, int]]], least: int, label: str) -> DataFrame:
+    """fp, count, pointer (least), most (largest) of the n-grams that ``grams`` gives (by first word) ``least`` times or more."""
 
     def run(batches):
         counts = _Counts()
         for batch in batches:
             for _, block in blocks(batch):
-                for prints in grams(block):
-                    counts.add(prints)
+                for first, n in grams(block):
+                    counts.add(block, first, n)
                 yield from counts.rows(TABLE)
         yield from counts.rows(0)
 
-    found = texts.mapInArrow(run, "fp long, count long").groupBy("fp").agg(F.sum("count").alias("count"))
-    return materialise(found.where(F.col("count") >= least).select("fp"), label)
+    # Tasks send counted rows; to aggregate them once more before the shuffle would only widen them.
+    found = texts.mapInArrow(run, "fp long, count long, pointer long").repartition("fp").groupBy("fp").agg(
+        F.sum("count").alias("count"), F.min("pointer").alias("pointer"), F.max("pointer").alias("most"))
+    return materialise(found.where(F.col("count") >= least), label)
+
+
+def _at(prints: np.ndarray, pointers: np.ndarray) -> np.ndarray:
+    """One number for a fingerprint and a pointer."""
+    return scrambled(prints ^ (pointers * np.uint64(0xC2B2AE3D27D4EB4F)))
+
+
+_TEXT_ROW = "lang string, words int, phrase string, fp long, pointer long, count long"
 
 
-def _runs(block: Block, n: int, held: np.ndarray) -> np.ndarray:
-    """First words of the block's n-grams all of whose pairs are in ``held`` (by first word)."""
-    first = np.arange(max(0, block.lead - n + 1), max(0, len(block) - n + 1))
-    kept = np.ones(len(first), bool)
-    for k in range(n - 1):
-        kept &= held[first + k]
-    return first[kept]
+def _text_rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    for first in range(0, len(rows), 1 << 14):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[first:first + (1 << 14)]), kinds)],
+                                         [x.split()[0] for x in _TEXT_ROW.split(", ")])
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, most: int = 5, lang_col: str = "lang", text_col: str = "text",
                   bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, count) of all phrases of up to ``most`` words with ``least`` occurrences or more, and
     (lang, n) with the number of words of each language.  See :func:`collocations` for words and pieces."""
-    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
-                        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    held: dict[str, object] = {}
+                        text.cast("binary").alias("text"), F.xxhash64(text).alias("key"))
+    share = docs.sparkSession.sparkContext.broadcast  # bitmaps only
+    found = [_frequent(texts, lambda block: iter([(block.grams(1), 1)]), least, "phrases-1")]
+    words = share(bitmap(found[0], bits))
 
-    def known(name: str, prints: DataFrame) -> None:
-        held[name] = spark.sparkContext.broadcast(bitmap(prints, bits))
-
-    known("words", _frequent(texts, lambda block: iter([block.grams(1)[1]]), least, "phrases-1"))
-    words = held["words"]
-
-    def pairs(block: Block) -> Iterator[np.ndarray]:
+    def pairs(block: Block) -> np.ndarray:
+        """First words of pairs of frequent words."""
         usual = words.value.has(block.prints(np.arange(len(block)), 1))
-        first, prints = block.grams(2)
-        yield prints[usual[first] & usual[first + 1]]
+        first = block.grams(2)
+        return first[usual[first] & usual[first + 1]]
 
     if most > 1:
-        known("pairs", _frequent(texts, pairs, least, "phrases-2"))
-    twos = held.get("pairs")
+        found.append(_frequent(texts, lambda block: iter([(pairs(block), 2)]), least, "phrases-2"))
+        twos = share(bitmap(found[1], bits))
 
-    def usual_pairs(block: Block) -> np.ndarray:
-        """By first word: whether the pair there is within a piece and frequent."""
-        first = np.arange(max(0, len(block) - 1))
-        out = np.zeros(len(block) + 1, bool)
+    def longer(block: Block) -> Iterator[tuple[np.ndarray, int]]:
+        """The same of three words and more all of whose pairs are frequent."""
+        usual, first = np.zeros(len(block) + most, bool), np.arange(max(0, len(block) - 1))
         first = first[block.piece[first] == block.piece[first + 1]]
-        out[first] = twos.value.has(block.prints(first, 2))
-        return out
-
-    def longer(block: Block) -> Iterator[np.ndarray]:
-        usual = usual_pairs(block)
+        usual[first] = twos.value.has(block.prints(first, 2))
         for n in range(3, most + 1):
-            yield block.prints(_runs(block, n, usual), n)
+            first = block.grams(n)
+            yield first[np.logical_and.reduce([usual[first + k] for k in range(n - 1)])], n
 
     if most > 2:
-        known("longer", _frequent(texts, longer, least, "phrases-3"))
-    more = held.get("longer")
-
-    def texts_of(batches):
+        found.append(_frequent(texts, longer, least, "phrases-3"))
+
+    def grams(block: Block) -> Iterator[tuple[np.ndarray, int]]:
+        yield block.grams(1), 1
+        if most > 1:
+            yield pairs(block), 2
+        if most > 2:
+            yield from longer(block)
+
+    frequent = found[0]
+    for more in found[1:]:
+        frequent = frequent.unionByName(more)
+    place = share(bitmap(frequent.select(_at_column().alias("fp")), bits))
+
+    def pointed(batches):
+        """The text at each pointer, and the number of words."""
+        seen: set[int] = set()  # copies of a text have its pointers; started anew when large
         for batch in batches:
             for lang, block in blocks(batch):
-                rows = [(lang, "", 0, len(block) - min(block.lead, len(block)))]
-                single = np.arange(len(block))
-                usual = words.value.has(block.prints(single, 1))
-                number = np.full(len(block), -1)
-                number[usual] = block.numbers(single[usual])
-                two = usual_pairs(block) if most > 1 else None
-                for n in range(1, most + 1):
-                    if n == 1:
-                        first = single[usual & (single >= block.lead)]
-                        prints = block.prints(first, 1)
-                    else:
-                        first = _runs(block, n, two)
+                rows = [(lang, 0, "", 0, 0, len(block) - min(block.lead, len(block)))]
+                for first, n in grams(block):
+                    prints, pointers = block.prints(first, n), block.pointers(first, n)
+                    places = _at(prints, pointers.view(np.uint64))
+                    hit = np.flatnonzero(place.value.has(places))
+                    for w, fp, pointer, at in zip(*(x[hit].tolist() for x in (first, prints.view(np.int64), pointers, places))):
+                        if at not in seen:
+                            seen.add(at)
+                            rows.append((lang, n, block.text(w, n), fp, pointer, 0))
+                if len(seen) > TABLE:
+                    seen.clear()
+                yield from _text_rows(rows)
+
+    read = materialise(texts.mapInArrow(pointed, _TEXT_ROW).groupBy("lang", "words", "phrase", "fp", "pointer").agg(
+        F.sum("count").alias("n")), "phrase-texts")
+    totals = read.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    known = frequent.join(read.where("words > 0").drop("n"), ["fp", "pointer"])
+    # One text, and one second fingerprint: all occurrences have that text.
+    sure = materialise(known.groupBy("fp").agg(F.count("*").alias("texts"), F.first("lang").alias("lang"), F.first("phrase").alias("phrase"),
+                                               F.first("words").alias("words"), F.first("count").alias("count"),
+                                               F.first("pointer").alias("pointer"), F.first("most").alias("most"))
+                       .where((F.col("texts") == 1) & (F.shiftright("pointer", 16) == F.shiftright("most", 16))), "phrases-sure")
+    counts = sure.select("lang", "phrase", "words", "count")
+    collided = frequent.join(sure, "fp", "left_anti").select("fp")
+    if not collided.isEmpty():
+        collided = materialise(collided, "phrases-collided")
+        doubt = share(bitmap(collided, bits))
+
+        def by_text(batches):
+            for batch in batches:
+                for lang, block in blocks(batch):
+                    held: dict[tuple, int] = {}
+                    for first, n in grams(block):
                         prints = block.prints(first, n)
-                        if n > 2:
-                            kept = more.value.has(prints)
-                            first, prints = first[kept], prints[kept]
-                    for pointer, count in _verified(number, first, prints, n):
-                        rows.append((lang, block.text(pointer, n), n, count))
-                for some in range(0, len(rows), 1 << 14):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*rows[some:some + (1 << 14)]), (pa.string(), pa.string(), pa.int32(), pa.int64()))],
-                        ["lang", "phrase", "words", "count"])
-
-    counted = (texts.mapInArrow(texts_of, "lang string, phrase string, words int, count long")
-               .groupBy("lang", "words", "phrase").agg(F.sum("count").alias("count")))
-    counted = materialise(counted.where((F.col("count") >= least) | (F.col("words") == 0)), "phrases")
-    return (counted.where(F.col("words") > 0).select("lang", "phrase", "words", "count"),
-            counted.where(F.col("words") == 0).select("lang", F.col("count").alias("n")))
-
-
-def _verified(number: np.ndarray, first: np.ndarray, prints: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-    """(pointer to an occurrence, occurrences) of each phrase; occurrences of one fingerprint with other words than those
-    at its pointer are counted apart."""
-    while len(first):
-        _, at, which = np.unique(prints, return_index=True, return_inverse=True)
-        pointer = first[at][which]
-        same = np.ones(len(first), bool)
-        for k in range(n):
-            same &= number[first + k] == number[pointer + k]
-        yield from zip(first[at].tolist(), np.bincount(which[same], minlength=len(at)).tolist())
-        first, prints = first[~same], prints[~same]
+                        hit = doubt.value.has(prints)
+                        for w, fp in zip(first[hit].tolist(), prints[hit].view(np.int64).tolist()):
+                            key = (n, block.text(w, n), fp)
+                            held[key] = held.get(key, 0) + 1
+                    yield from _text_rows([(lang, *key, 0, count) for key, count in held.items()])
+
+        counted = texts.mapInArrow(by_text, _TEXT_ROW).groupBy("lang", "words", "phrase", "fp").agg(F.sum("count").alias("count"))
+        counted = counted.where(F.col("count") >= least).join(collided, "fp", "left_semi")
+        counts = counts.unionByName(counted.select("lang", "phrase", "words", "count"))
+    return materialise(counts, "phrases"), totals
+
+
+def _at_column() -> Column:
+    """:func:`_at` of the columns fp and pointer."""
+
+    @F.pandas_udf("long")
+    def at(prints: pd.Series, pointers: pd.Series) -> pd.Series:
+        return pd.Series(_at(prints.to_numpy().view(np.uint64), pointers.to_numpy().view(np.uint64)).view(np.int64))
+
+    return at("fp", "pointer")
 
 
 def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2000, lang_col: str = "lang",

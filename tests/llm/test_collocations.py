@@ -68,7 +68,7 @@ def test_a_bitmap_that_is_full_changes_nothing(spark):
 
 def test_collisions_are_settled_by_text(spark, monkeypatch):
     """Fingerprints of two bits: nearly everything collides."""
-    monkeypatch.setattr(collocations, "mixed", lambda x: x & np.uint64(3))
+    monkeypatch.setattr(collocations, "fingerprint", lambda x: x & np.uint64(3))
     rows = list(texts(6, 60))
     assert got(collocations.collocations(frame(spark, rows), 4)) == slow(rows, 4, 5, 2000)
 
