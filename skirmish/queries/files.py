@@ -17,7 +17,7 @@ from ..plans import registry, teamsets, trajectories
 from ..session import shared_path
 from ..sources import battles, filenames, manifest, results, teams, usage
 from ..sources import trajectories as tj
-from ..streaming import streams
+from ..streaming import streams, turns
 from .base import query, table, view
 from .battle import KEY, ORDER, REWARD_SQL, SEG, TURNS_SQL, log, steps
 from .draws import member_usage
@@ -313,6 +313,30 @@ def t2(spark, d):
     return streams.run_update(snap, ["battle_id"], out, ckpt)
 
 
+@query("T2_live_turns", """
+WITH l AS (SELECT battle_id, CAST(ts AS TIMESTAMP) AS ts, event_id, CASE WHEN type = 'turn' THEN CAST(a1 AS INT) END AS turn,
+  CASE WHEN type IN ('switch', 'drag') THEN substr(a1, 6) END AS switched, type IN ('win', 'tie') AS fin FROM log),
+s AS (SELECT *, coalesce(sum(CASE WHEN fin THEN 1 ELSE 0 END) OVER (PARTITION BY battle_id ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM l),
+g AS (SELECT *, count(turn) OVER w AS nth, row_number() OVER w AS m, last_value(switched IGNORE NULLS) OVER w AS active FROM s
+  WINDOW w AS (PARTITION BY battle_id, seg ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r AS (SELECT battle_id, seg, nth, max(turn) AS turn, arg_max(active, m) AS active, max(m) AS messages, bool_or(fin) AS fin, max(ts) AS last FROM g GROUP BY 1, 2, 3),
+c AS (SELECT *, CASE WHEN fin THEN 'end' WHEN lead(nth) OVER (PARTITION BY battle_id, seg ORDER BY nth) IS NOT NULL THEN 'turn' ELSE 'expired' END AS closed FROM r)
+SELECT battle_id, CAST(nth AS INT) AS nth, turn, active, messages, closed FROM c
+WHERE (closed <> 'turn' OR nth > 0) AND (closed <> 'expired' OR last + INTERVAL 1 DAY <= (SELECT max(ts) FROM l) - INTERVAL 10 MINUTE)""", ("log",))
+def t2_turns(spark, d):
+    out, ckpt = streams.scratch(spark, "t2-turns")
+    from .inputs import VIEWS
+    rows = stream_of(spark, d, "events")
+    for step in ("log0", "log1", "log"):
+        rows = rows.selectExpr(*VIEWS[step][1])
+    t = F.col("type")
+    done = turns.live_turns(rows.withColumn("ts", F.col("ts").cast("timestamp")), "battle_id", "ts", "event_id",
+                            F.when(t == "turn", F.col("a1").try_cast("int")), F.when(t.isin("switch", "drag"), tx.slot_name(F.col("a1"))),
+                            t.isin("win", "tie"), silence="INTERVAL 1 DAY")
+    return streams.run_append(done, out, ckpt)
+
+
 @query("T3_hourly_throughput", """SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, user_id, count(*) AS n FROM events GROUP BY 1, 2""")
 def t3(spark, d):
     out, ckpt = streams.scratch(spark, "t3")
