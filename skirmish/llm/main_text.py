@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ CONTENT = frozenset(("article", "main"))
 #: Elements that are kept on the stack; others change nothing that is asked.
 CONTAINERS = NEVER | CONTENT | frozenset("""header div section ul ol dl table td figure details blockquote fieldset span p li
     h1 h2 h3 h4 h5 h6""".split())
+#: Containers that are a block rather than hold blocks.
+SINGLE = frozenset("span p li h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = frozenset("""ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent
     cookie cookies copyright disqus footer gdpr login menu modal nav navbar navigation newsletter notice notification pager
     pagination popup promo promoted promotion recommended related replies reply share sharing sidebar signup social sponsor
@@ -39,7 +42,7 @@ STOP_WORDS = frozenset("""a an and are as at be been but by can for from had has
     al como con de del el ella en entre era es esta este ha la las lo los más me mi muy no o para pero por que se ser si sin
     son su sus también un una y ya""".split())
 
-_TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+|[^<>]*)>|</?[a-zA-Z][^<>]*\Z""", re.S)
+_TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+|[^<>]*)>|</?[a-zA-Z][^<>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _TOKEN = re.compile(r"[a-z0-9]+")
 _STATE = re.compile(r"(?:has|no|not|with|without|is)[-_]")
@@ -71,10 +74,11 @@ def _hidden(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
 class _Named:
     """An element that bears a name of boilerplate, and the next such element around it."""
 
-    __slots__ = ("whole", "around", "holds")
+    __slots__ = ("whole", "around", "holds", "good")
 
     def __init__(self, whole: bool, around: _Named | None) -> None:
         self.whole, self.around, self.holds = whole, around, False  # holds an article or text, so isn't hidden
+        self.good = 0  # characters of good text in it
 
     def hold(self) -> None:
         """What an element holds, those around it hold."""
@@ -82,42 +86,57 @@ class _Named:
         while x and not x.holds:
             x.holds, x = True, x.around
 
-    def hides(self) -> bool:
-        x: _Named | None = self
-        while x and not x.holds and not x.whole:
-            x = x.around
-        return x is not None and not x.holds
+
+class _Open:
+    """An open element: its name, whether it is never text, its number if it is an article, its name of boilerplate;
+    ``in_`` has the same of the nearest element that has it, itself included; the place is the number of the nearest
+    element that holds blocks."""
+
+    __slots__ = ("name", "never", "content", "named", "place", "in_never", "in_content", "in_named", "in_place")
+
+    def __init__(self, name: str, never: bool, content: int, named: _Named | None, place: int) -> None:
+        self.name, self.never, self.content, self.named = name, never, content, named
+        self.place = 0 if name in SINGLE else place
+
+    def under(self, parent: _Open | None) -> _Open:
+        self.in_never = self.never or parent is not None and parent.in_never
+        self.in_content = self.content or (parent.in_content if parent else 0)
+        self.in_named = self.named or (parent.in_named if parent else None)
+        self.in_place = self.place or (parent.in_place if parent else 0)
+        return self
 
 
 class _Block:
-    __slots__ = ("text", "linked", "bad", "content", "heading", "named")
+    __slots__ = ("text", "linked", "bad", "content", "heading", "named", "place")
 
-    def __init__(self, text: str, linked: int, bad: bool, content: int, heading: bool, named: _Named | None) -> None:
-        self.text, self.linked, self.bad, self.content, self.heading = text, linked, bad, content, heading
-        self.named = named
+    def __init__(self, text: str, linked: int, heading: bool, top: _Open | None) -> None:
+        self.text, self.linked, self.heading = text, linked, heading
+        self.bad, self.content, self.named, self.place = (
+            (top.in_never, top.in_content, top.in_named, top.in_place) if top else (False, 0, None, 0))
 
 
-def blocks(page: str) -> list[_Block]:
-    """The blocks of a page in order, with where they lie."""
+def blocks(page: str) -> tuple[list[_Block], list[_Named]]:
+    """The blocks of a page in order, with where they lie, and the elements with names of boilerplate, outer ones first."""
     found: list[_Block] = []
+    names: list[_Named] = []
     parts: list[str] = []
-    # name, never text, number of the article or main element, boilerplate
-    open_: list[tuple[str, bool, int, _Named | None]] = []
-    contents, linked, link, heading, at, end = 0, 0, 0, False, 0, len(page)
-
-    def around() -> _Named | None:
-        return next((x[3] for x in reversed(open_) if x[3]), None)
+    open_: list[_Open] = []
+    count: Counter[str] = Counter()  # of the open elements by name
+    contents, places, linked, link, heading, at, end = 0, 0, 0, 0, False, 0, len(page)
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(_Block(text, linked, any(x[1] for x in open_),
-                                    next((x[2] for x in reversed(open_) if x[2]), 0), heading,
-                                    around()))
+                found.append(_Block(text, linked, heading, open_[-1] if open_ else None))
         parts, linked = [], 0
 
+    def shut(depth: int) -> None:
+        """The elements from ``depth`` on end."""
+        count.subtract(x.name for x in open_[depth:])
+        del open_[depth:]
+
     def said(raw: str) -> None:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
@@ -143,12 +162,12 @@ def blocks(page: str) -> list[_Block]:
         if tag[1]:
             if name == "a":
                 link = max(0, link - 1)
-            elif name in CONTAINERS:
+            elif name in CONTAINERS and count[name]:
                 for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == name:
-                        del open_[i:]
+                    if open_[i].name == name:
+                        shut(i)
                         break
-                    if open_[i][0] in CONTENT and name not in NEVER and name not in CONTENT:
+                    if open_[i].name in CONTENT and name not in NEVER and name not in CONTENT:
                         break  # a stray end tag doesn't end the article around it
             if name in BLOCKS:
                 heading = False
@@ -162,31 +181,39 @@ def blocks(page: str) -> list[_Block]:
         if name == "a":
             link = 1
         elif name == "body":
-            open_ = [x for x in open_ if x[0] != "head"]
+            if count["head"]:
+                open_ = [x for x in open_ if x.name != "head"]
+                count["head"] = 0
+                for outer, x in zip([None, *open_], open_):
+                    x.under(outer)
         elif name in CONTAINERS:
             if name == "p":
-                while open_ and open_[-1][0] in ("p", "span"):
-                    open_.pop()
-            elif name == "li":
+                while open_ and open_[-1].name in ("p", "span"):
+                    shut(len(open_) - 1)
+            elif name == "li" and count["li"]:
                 for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == "li":
-                        del open_[i:]
-                    if i >= len(open_) or open_[i][0] in ("ul", "ol", "menu", "nav"):
+                    if open_[i].name == "li":
+                        shut(i)
+                    if i >= len(open_) or open_[i].name in ("ul", "ol", "menu", "nav"):
                         break
-            inside = any(x[2] for x in open_)
-            never, kind = _hidden(name, tag[3] or "", inside)
+            top = open_[-1] if open_ else None
+            never, kind = _hidden(name, tag[3] or "", top is not None and top.in_content > 0)
             if not (tag[3] or "").endswith("/"):
                 content = not kind and (name in CONTENT or "main" in _TOKEN.findall(tag[3] or "") and "role" in tag[3])
                 contents += content
-                if content and not never and (named := around()):
-                    named.hold()
-                open_.append((name, never, contents if content else 0, _Named(kind == "whole", around()) if kind else None))
+                if content and not never and top and top.in_named:
+                    top.in_named.hold()
+                if kind:
+                    names.append(_Named(kind == "whole", top.in_named if top else None))
+                places += 1
+                open_.append(_Open(name, never, contents if content else 0, names[-1] if kind else None, places).under(top))
+                count[name] += 1
         if name in BLOCKS:
             heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
             if name in ("p", "li", "td", "div"):
                 link = 0
     flush()
-    return found
+    return found, names
 
 
 def _first_pass(block: _Block, short: int, long: int, links: float, low: float, high: float) -> str:
@@ -205,13 +232,25 @@ def _first_pass(block: _Block, short: int, long: int, links: float, low: float,
     return "near" if stops >= low else "sparse"
 
 
-def _unhidden(found: list[_Block], labels: list[str]) -> list[str]:
-    """The labels with the blocks of boilerplate by name as bad, unless the element holds an article, or has good text
-    and a name that is boilerplate in part only or the page has no good text but in such elements."""
+def _unhidden(found: list[_Block], names: list[_Named], labels: list[str]) -> list[str]:
+    """The labels with the blocks of boilerplate by name as bad, unless the element holds an article or most of the
+    page's good text.  If its name is boilerplate as a whole, that counts only where no good text lies elsewhere."""
     good = [b for b, label in zip(found, labels) if label == "good"]
-    for b in [b for b in good if not b.named or not b.named.hides()] or good:
+    for b in good:
         if b.named:
-            b.named.hold()
+            b.named.good += len(b.text)
+    apart = [False] * len(names)
+    place = {id(x): i for i, x in enumerate(names)}
+    for i, x in enumerate(names):  # in an element whose whole name is boilerplate and that holds no article
+        apart[i] = not x.holds and (x.whole or x.around is not None and apart[place[id(x.around)]])
+    for x in reversed(names):
+        if x.around:
+            x.around.good += x.good
+    elsewhere = any(not b.named or not apart[place[id(b.named)]] for b in good)
+    total = sum(len(b.text) for b in good)
+    for i, x in enumerate(names):
+        if 2 * x.good > total and not (elsewhere and apart[i]):
+            x.hold()
     for b in found:
         b.bad = b.bad or b.named is not None and not b.named.holds
     return ["bad" if b.bad else label for b, label in zip(found, labels)]
@@ -224,17 +263,25 @@ def _lifted(found: list[_Block], labels: list[str]) -> list[str]:
     prose = {b.content for b, label in zip(found, labels) if label in ("near", "good")}
     elsewhere = any(label == "good" and not b.content for b, label in zip(found, labels))
     up = {"near": "good", "short": "near", "linked": "near", "sparse": "near", "bad": "links"}
-    down = {"linked": "bad", "sparse": "bad"}
+    down = {"linked": "bad"}
     return [(up if b.content and not b.bad and (b.content in prose or not elsewhere) else down).get(label, label)
             for b, label in zip(found, labels)]
 
 
+def _beside(found: list[_Block], labels: list[str]) -> list[str]:
+    """The labels with the company of good blocks as evidence: in an element that holds a good block, short blocks and
+    those of few stop words are near-good, and near-good ones good.  Elsewhere few stop words are bad."""
+    company = {b.place for b, label in zip(found, labels) if label == "good" and b.place}
+    up = {"near": "good", "short": "near", "sparse": "near"}
+    return [up.get(label, label) if b.place in company else "bad" if label == "sparse" else label for b, label in zip(found, labels)]
+
+
 def main_blocks(page: str, short: int = 70, long: int = 200, links: float = 0.33, low: float = 0.15,
                 high: float = 0.25) -> list[str]:
     """The text of the blocks that are main text."""
-    found = blocks(page)
-    labels = _unhidden(found, [_first_pass(b, short, long, links, low, high) for b in found])
-    labels = _lifted(found, labels)
+    found, names = blocks(page)
+    labels = _unhidden(found, names, [_first_pass(b, short, long, links, low, high) for b in found])
+    labels = _beside(found, _lifted(found, labels))
     before, last = [], "bad"
     for label in labels:
         before.append(last)

@@ -42,3 +42,37 @@ def test_a_class_name_hides_no_article():
 def test_an_empty_drawing_ends_at_once():
     for drawing in ("<svg/>", "<svg class='a' />", "<math/>"):
         assert main_text.main_blocks(f"<p>{drawing}{LONG}</p><svg><text>no</text></svg><p>{LONG}</p>") == [LONG, LONG]
+
+
+def test_names_of_boilerplate_hide_what_is_not_the_article():
+    names = "comment-body comment-list user-comments cookie-banner sidebar-left site-footer related-posts newsletter-box ad-slot".split()
+    for name in names:
+        aside = f"<div class='{name}'><p>{LONG} Aside.</p><p>Short aside.</p></div>"
+        for tag in ("article", "div", "section"):
+            page = f"<{tag}><h1>A title</h1><p>{LONG}</p><p>{LONG} More.</p></{tag}>"
+            want = ["A title", LONG, f"{LONG} More."]
+            assert main_text.main_blocks(page + aside) == main_text.main_blocks(aside + page) == want, (name, tag)
+            assert main_text.main_blocks(f"<div class='{name}'>{page}</div>") == want  # most of the page's text lies in it
+
+
+def test_short_blocks_beside_good_ones_are_text():
+    body = f"<div><p>Short first.</p><p>{LONG}</p><p>bar | bar | bar | bar | bar | bar | bar | bar | bar | bar | bar | bar | bar |</p><p>Short last.</p></div>"
+    got = main_text.main_blocks(f"<div><p>Menu</p></div>{body}<p>\N{COPYRIGHT SIGN} owner</p>")
+    assert len(got) == 4 and got[0] == "Short first." and got[-1] == "Short last."
+
+
+def test_hand_labelled_page():
+    page = f"""<html><head><title>T</title><style>p {{}}</style></head><body class="home"><header><a href=/>Site</a></header>
+      <nav><ul><li><a href=1>One</a></li></ul></nav><div class="cookie-bar notice"><p>{LONG}</p></div>
+      <div id="content"><h1>Title &amp; more</h1><p>{LONG}</p><aside><p>{LONG}</p></aside><h2>Part</h2><p>{LONG}</p><p>Fin.</p>
+      <form><p>{LONG}</p></form></div><div class="comments"><h3>Comments</h3><p>{LONG}</p></div><footer><p>{LONG}</p></footer></body></html>"""
+    assert main_text.main_blocks(page) == ["Title & more", LONG, "Part", LONG, "Fin."]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<div>{}".format, "<!{}".format, "<li>{}".format, "<div class=ad-x>{}".format, "</div>{}".format, "<div><p>x{}".format):
+        start = time.perf_counter()
+        main_text.main_blocks(page("") * 50_000 + "x")
+        assert time.perf_counter() - start < 5
