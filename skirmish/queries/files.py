@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..operators import aggregates as agg
 from ..operators import filters, rewards, sampling
 from ..operators import sequences
+from ..operators.ordered import neighbours, ranked
 from ..plans import registry, teamsets, trajectories
 from ..session import shared_path
 from ..sources import battles, filenames, manifest, results, teams, usage
@@ -87,6 +88,24 @@ def s3(spark, d):
     return tj.to_steps(rows, ["conv_id"]).select("conv_id", "t", F.md5("state.weather").alias("state"), F.col("action").cast("bigint").alias("action"))
 
 
+@query("S3_trajectory_archives", """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS t, md5(text) AS state,
+ coalesce(lead(length(text)) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS action FROM conversations""")
+def s3_archives(spark, d):
+    """Conversations as JSON files of at most 1,024 steps, every second in LZ4, in tar archives; read back by byte ranges."""
+    talk = table(spark, d, "conversations").withColumn("seg", F.floor(F.col("turn") / 1024))
+    talk = neighbours(talk, ["conv_id"], "seg", ["turn"], lead={"next": F.length("text")})
+    steps = ranked(talk, ["conv_id"], F.col("seg"), ["turn"], "place").withColumn("t", (F.col("place") - 1).cast("int"))
+    files = steps.groupBy("conv_id", F.floor(F.col("t") / 1024).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("t", "text", F.coalesce("next", F.lit(-1)).alias("next")))).alias("s"))
+    body = F.to_json(F.struct("conv_id", F.col("s")[0]["t"].alias("start"), F.transform("s", lambda x: F.struct(x["text"].alias("weather"))).alias("states"),
+                              F.col("s.next").alias("actions")))
+    name = F.concat_ws("_", F.lit("conv"), "conv_id", F.concat("block", F.when(F.col("conv_id") % 2 == 0, ".json").otherwise(".json.lz4")))
+    archives = tj.write_archives(files.select(name.alias("file_name"), body.alias("body")), shared_path(spark, "parsed-archives"))
+    rows = tj.parsed(tj.archive_bodies(tj.archive_index(archives)), "conv_id BIGINT, start INT, " + tj.TRAJECTORY_SCHEMA)
+    return tj.to_steps(rows, ["conv_id", "start"]).select("conv_id", (F.col("start") + F.col("t")).cast("int").alias("t"),
+                                                          F.md5("state.weather").alias("state"), F.col("action").cast("bigint").alias("action"))
+
+
 def file_names(spark, d):
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")

@@ -119,3 +119,22 @@ def test_names_and_manifest(spark, tmp_path):
     listing = manifest.list_files(spark, str(tmp_path))
     assert manifest.read_manifest(spark, str(tmp_path / "none"), str(tmp_path)).count() == 1
     assert manifest.unseen(listing, listing.where("file_name = 'x'")).count() == 1
+
+
+def test_archives_in_stretches(spark, tmp_path):
+    """Written archives roll, one archive is read by several tasks, and the members before a cut survive."""
+    bodies = spark.range(300).select(F.concat(F.lit("f"), "id", F.when(F.col("id") % 2 == 0, ".json").otherwise(".json.lz4")).alias("file_name"),
+                                     F.to_json(F.struct("id", F.repeat(F.lit("x"), 900).alias("pad"))).alias("body"))
+    made = trajectories.write_archives(bodies.coalesce(2), str(tmp_path / "out"), roll_bytes=60_000)
+    assert made.count() > 3 and made.agg(F.sum("members")).first()[0] == 300
+    index = trajectories.archive_index(made)
+    got = trajectories.archive_bodies(index, target=8192)
+    assert got.join(bodies, ["file_name", "body"]).count() == 300 and got.where("error IS NOT NULL").count() == 0
+    whole = made.first()["archive"]
+    data = open(whole, "rb").read()
+    (tmp_path / "cut.tar").write_bytes(data[:len(data) // 2 - 300])
+    left = trajectories.archive_members(spark, [str(tmp_path / "cut.tar")]).collect()
+    good = [r for r in left if r.error is None]
+    assert good and {r.file_name for r in good} <= {r.file_name for r in got.where(F.col("archive") == whole).collect()}
+    assert any(r.error for r in left)
+    assert trajectories.archive_index(made.where("1 = 0")).count() == 0
