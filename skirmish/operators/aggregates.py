@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ranked, top_per
+from .ordered import range_segments, ranked, running, top_per
 from .pairs import unordered_pairs
 
 
@@ -50,29 +50,29 @@ def completeness(gen: Column, name: Column, moves: Column, item: Column, ability
     return known, possible
 
 
-def describe(df: DataFrame, by: Sequence[str], value: str, seg: Column) -> DataFrame:
+def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Count, mean, population deviation, extremes and exact quartiles with linear interpolation.
 
-    Quartiles come from distributed ranks; ``seg`` is a coarse key that grows with ``value``.
+    Quartiles come from running counts of the distinct values, so a value that a third of all rows share is one row;
+    the running count goes by segments of equally many distinct values.
     """
     basic = df.groupBy(*by).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
-    rows = ranked(df.select(*by, value).where(F.col(value).isNotNull()), by, seg, [value], "_place", total="_n")
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    upto = running(range_segments(values, *by, value), by, "_seg", [value], {"_upto": ("sum", F.col("_c"))})
+    rows = upto.join(basic.select(*by, F.col("n").alias("_n")), [*by])
     quartiles = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    v, place = F.col(value), F.col("_place")
 
     def at(q: float) -> Column:
+        """Its two neighbours weighted, each where the running count first reaches its place."""
         pos = (F.col("_n") - 1) * q + 1
         lo, frac = F.floor(pos), pos - F.floor(pos)
-        weight = F.when(place == lo, 1 - frac).when(place == lo + 1, frac)
-        return F.sum(F.when(weight > 0, v * weight))
-
-    wanted = F.lit(False)
-    for q in quartiles.values():
-        lo = F.floor((F.col("_n") - 1) * q + 1)
-        wanted = wanted | (place == lo) | (place == lo + 1)
-    parts = rows.where(wanted).groupBy(*by).agg(*[at(q).alias(n) for n, q in quartiles.items()])
+        covers = lambda place: (F.col("_upto") - F.col("_c") < place) & (place <= F.col("_upto"))
+        weight = F.when(covers(lo), 1 - frac).otherwise(0.0) + F.when(covers(lo + 1), frac).otherwise(0.0)
+        return F.sum(F.when(weight > 0, F.col(value) * weight))
+
+    parts = rows.groupBy(*by).agg(*[at(q).alias(n) for n, q in quartiles.items()])
     return basic.join(parts, [*by])
 
 
@@ -177,8 +177,8 @@ def entropy_bits(freq: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame:
 
 def rank_frequency(freq: DataFrame, by: Sequence[str], key: str, n: str = "n") -> DataFrame:
     """Place of each count in descending order (ties by key), without one task per corpus."""
-    seg = F.struct((-F.col(n)).alias("n"), F.substring(key, 1, 2).alias("k"))
-    return ranked(freq, by, seg, [key], "place")
+    rows = range_segments(freq, *by, F.desc(n), key)
+    return ranked(rows, by, F.col("_seg"), [F.desc(n), key], "place").drop("_seg")
 
 
 def jaccard(keys: DataFrame, corpus: str, key: str) -> DataFrame:
@@ -317,10 +317,10 @@ def vocabulary(words: DataFrame, word: str, known: DataFrame | None = None) -> D
     """Ids of distinct words in sorted order after those of ``known`` (word, id), which keep theirs."""
     fresh = words.select(word).where(F.col(word).isNotNull()).distinct()
     if known is None:
-        return ranked(fresh, [], F.substring(word, 1, 3), [word], "id")
+        return ranked(range_segments(fresh, word), [], F.col("_seg"), [word], "id").drop("_seg")
     fresh = fresh.join(known.select(word), word, "left_anti")
     base = known.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    placed = ranked(fresh, [], F.substring(word, 1, 3), [word], "_r")
+    placed = ranked(range_segments(fresh, word), [], F.col("_seg"), [word], "_r")
     return known.select(word, F.col("id").cast("bigint").alias("id")).unionByName(
         placed.select(word, (F.col("_r") + base).alias("id")))
 

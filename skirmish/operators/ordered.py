@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 Specs = Mapping[str, tuple[str, Column]]
 
 
@@ -146,6 +148,15 @@ def history(df: DataFrame, key: Sequence[str], seg: str, order: Sequence[str],
         *kept, F.transform(last, lambda s: s["x"]).alias(name))
 
 
+def range_segments(df: DataFrame, *order: Column | str, name: str = "_seg") -> DataFrame:
+    """``df`` with a segment that ascends with ``order`` and holds about equally many rows, whatever the values.
+
+    Splitters come from a sample of the rows, as in any range partitioning; rows that are equal in ``order`` share a
+    segment, so give it what tells rows apart, or count equal rows first.  Written once: a lost task can't move a row.
+    """
+    return materialise(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()), "range-segments")
+
+
 def ranked(df: DataFrame, by: Sequence[str], seg: Column, order: Sequence[Column | str], name: str,
            total: str | None = None) -> DataFrame:
     """Exact row number inside ``by`` without one task per group.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..session import materialise
-from .ordered import following, history, neighbours, ranked, running, top_per
+from .ordered import following, history, neighbours, range_segments, ranked, running, top_per
 
 
 def turn_numbers(log: DataFrame, key: Sequence[str], seg: str, order: Sequence[str],
@@ -163,10 +163,9 @@ def monthly_series(df: DataFrame, entity: Sequence[str], key: str, month: str, w
         *entity, key, "place", month, (F.coalesce("_w", F.lit(0)) / F.col("_all")).alias("share"))
 
 
-def top_share(df: DataFrame, by: Sequence[str], seg: Column, order: Sequence[Column | str],
-              percent: float) -> DataFrame:
-    """Best ``percent`` of each group in ``order``, at least one row unless it is 0."""
-    rows = ranked(df, by, seg, order, "place", total="_n")
+def top_share(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], percent: float) -> DataFrame:
+    """Best ``percent`` of each group in ``order``, at least one row unless it is 0.  ``order`` ends with what tells rows apart."""
+    rows = ranked(range_segments(df, *by, *order), by, F.col("_seg"), order, "place", total="_n").drop("_seg")
     keep = F.floor(F.col("_n") * percent / 100.0)
     if percent > 0:
         keep = F.greatest(keep, F.lit(1))
@@ -183,11 +182,10 @@ def normalised_weights(df: DataFrame, batch: Sequence[str], advantage: Column, b
 
 
 def sequence_weights(df: DataFrame, seq: Sequence[str], advantage: Column, steepness: float, center: float,
-                     floor: float, width: float = 0.01, name: str = "weight") -> DataFrame:
+                     floor: float, name: str = "weight") -> DataFrame:
     """Logistic weight of a sequence's percentile (share of sequences strictly below its mean)."""
     means = df.groupBy(*seq).agg(F.round(F.avg(advantage), 6).alias("mean_adv"))
-    values = means.groupBy("mean_adv").agg(F.count("*").alias("_c")).withColumn(
-        "_seg", F.floor(F.col("mean_adv") / width))
+    values = range_segments(means.groupBy("mean_adv").agg(F.count("*").alias("_c")), "mean_adv")
     below = running(values, [], "_seg", ["mean_adv"], {"_upto": ("sum", F.col("_c"))})
     below = below.select("mean_adv", (F.col("_upto") - F.col("_c")).alias("_below"))
     pct = F.col("percentile")

@@ -227,8 +227,7 @@ SELECT lang, doc_id, n_chars, place FROM (SELECT lang, doc_id, n_chars, row_numb
   count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE place <= greatest(1, floor(n * 10 / 100.0))""")
 def w16(spark, d):
     docs = table(spark, d, "documents").select("lang", "doc_id", "n_chars")
-    seg = F.struct((-F.floor(F.col("n_chars") / 16)).alias("score"))
-    return windows.top_share(docs, ["lang"], seg, [F.desc("n_chars"), "doc_id"], 10.0)
+    return windows.top_share(docs, ["lang"], [F.desc("n_chars"), "doc_id"], 10.0)
 
 
 @query("W17_normalised_weights", """

@@ -70,7 +70,7 @@ def a4(spark, d):
  max(o_totalprice) AS "max" FROM orders GROUP BY 1""")
 def a5(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), "o_totalprice")
-    out = agg.describe(rows, ["grp"], "o_totalprice", F.floor(F.col("o_totalprice") / 1000))
+    out = agg.describe(rows, ["grp"], "o_totalprice")
     return out.select("grp", "n", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "std", "q25", "median", "q75")])
 
 

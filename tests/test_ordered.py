@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skirmish.operators import ordered, pairs, windows
+from skirmish.operators import aggregates, ordered, pairs, windows
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +128,26 @@ def test_names_seen_so_far(spark):
     for r in shown.collect():
         names = sorted(set(pdf[(pdf.k == r.k) & (pdf.pos <= r.pos)].x.dropna()))
         assert r.seen == (names[:4] + ["<blank>"] * 4)[:4] and counts[r.pos] == len(names) and r.late == (r.pos > 300)
+
+
+def test_exact_ranks_when_a_third_of_the_rows_are_one_value(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "a", "b"], 6000), "id": np.arange(6000)})
+    pdf["x"] = np.where(rng.random(6000) < 0.34, 5.0, rng.normal(5, 2, 6000).round(3))
+    df = spark.createDataFrame(pdf)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    sizes = [r["count"] for r in ordered.range_segments(df.select("x").distinct(), "x").groupBy("_seg").count().collect()]
+    spark.conf.set(name, held)
+    assert len(sizes) > 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = {r.g: r for r in aggregates.describe(df, ["g"], "x").collect()}
+    for g, x in pdf.groupby("g")["x"]:
+        assert np.allclose([got[g].q25, got[g].median, got[g].q75], np.quantile(x, [0.25, 0.5, 0.75])) and got[g].n == len(x)
+    top = windows.top_share(df, ["g"], [F.desc("x"), "id"], 40.0).toPandas()
+    for g, part in pdf.groupby("g"):
+        want = part.sort_values(["x", "id"], ascending=[False, True]).head(int(len(part) * 0.4))
+        assert top[top.g == g].sort_values("place").id.tolist() == want.id.tolist()
+    words = spark.createDataFrame([(f"prefix-{i}",) for i in range(2000)] + [("prefix-1",)] * 900, "w string")
+    ids = {r.w: r.id for r in aggregates.vocabulary(words, "w").collect()}
+    assert ids == {w: i for i, w in enumerate(sorted(ids), 1)} and len(ids) == 2000
