@@ -106,7 +106,7 @@ class Counter:
                  states: int = 1 << 18) -> None:
         from tokenizers import Tokenizer
 
-        self.slots, self.most_states = slots, states
+        self.least_slots, self.most_states = slots, states
         tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -205,12 +205,31 @@ class Counter:
         #: A state is a tuple of (place in the tree, token before, tokens there less tokens here), longest suffix first.
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.keys = np.full(self.slots, -1, np.int64)
-        self.next = np.zeros(self.slots, np.int32)
-        self.gain = np.zeros(self.slots, np.int8)
-        self.used = 0
+        self._table(self.least_slots)
         self._number(((_ROOT, -1, 0),))
 
+    def _table(self, slots: int) -> None:
+        self.slots, self.used = slots, 0
+        self.keys = np.full(slots, -1, np.int64)
+        self.next = np.zeros(slots, np.int32)
+        self.gain = np.zeros(slots, np.int8)
+
+    def _grow(self) -> None:
+        """Twice the table, for a block that needs more than there is room for; the next block starts anew."""
+        held = self.keys >= 0
+        rows = zip(self.keys[held].tolist(), self.next[held].tolist(), self.gain[held].tolist())
+        self._table(2 * self.slots)
+        for row in rows:
+            self._put(*row)
+
+    def _put(self, key: int, following: int, gain: int) -> None:
+        mask = self.slots - 1
+        slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 20 & mask
+        while self.keys[slot] >= 0:
+            slot = slot + 1 & mask
+        self.keys[slot], self.gain[slot], self.next[slot] = key, gain, following
+        self.used += 1
+
     def _number(self, state: tuple) -> int:
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
@@ -247,13 +266,9 @@ class Counter:
 
     def _add(self, key: int) -> None:
         state, gain = self._transition(self.states[key >> 9], key & 511)
-        mask = self.slots - 1
-        slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 20 & mask
-        while self.keys[slot] >= 0:
-            slot = slot + 1 & mask
-        last = key & 511 >= _END
-        self.keys[slot], self.gain[slot], self.next[slot] = key, gain, 0 if last else self._number(state)
-        self.used += 1
+        if 4 * self.used >= 3 * self.slots:
+            self._grow()
+        self._put(key, 0 if key & 511 >= _END else self._number(state), gain)
 
     def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wanted = state.astype(np.int64) << 9 | symbol

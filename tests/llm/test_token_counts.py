@@ -56,6 +56,9 @@ def test_a_table_that_starts_anew():
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcdefghij ") for _ in range(200)) for _ in range(40)] + ["".join(rng.choice("etaoin") for _ in range(3000))]
     assert [small.count([t])[0] for t in texts] == want(texts)
+    tiny = token_counts.Counter(PATH, slots=1 << 8, states=300)
+    assert tiny.count(texts).tolist() == want(texts) and tiny.slots > 1 << 8  # a block may need more than the table has
+    assert tiny.count(["short"]).tolist() == want(["short"]) and tiny.slots == 1 << 8
 
 
 def test_splitter_against_the_pattern():
