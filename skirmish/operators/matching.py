@@ -107,6 +107,16 @@ def pattern(keys: Sequence[Column], fields: Sequence[Column], members: Column) -
     return F.concat(F.array(*[text(c) for c in [*keys, *fields]]), known)
 
 
+def fits(record: Column, candidate: Column, fields: Sequence[str], sets: Sequence[str]) -> Column:
+    """Predicate form of the same test on two structs (unknown is null)."""
+    ok = F.lit(True)
+    for s in sets:
+        ok = ok & (F.size(F.array_except(F.array_compact(record[s]), F.array_compact(candidate[s]))) == 0)
+    for f in fields:
+        ok = ok & (record[f].isNull() | record[f].eqNullSafe(candidate[f]))
+    return ok
+
+
 def distinct_records(df: DataFrame, keys: Sequence[str], fields: Sequence[str], members: str, store: bool = False) -> DataFrame:
     """Distinct records with their number of copies and a ``pattern`` key; repeats never reach a join.
 

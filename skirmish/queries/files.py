@@ -227,6 +227,13 @@ def s10(spark, d):
     return stored.groupBy("gen", "tier", "rank", F.col("month").cast("string").alias("month"), "field").agg(F.count("*").alias("cells"))
 
 
+@query("S10_checks", f"""WITH {USAGE_ALL} SELECT {_UNIT_SQL}, 'Foe One' AS key, CAST(0.625 AS DOUBLE) AS share FROM counts""", ("picks",))
+def s10_checks(spark, d):
+    share, _ = usage.parse_reports(reports(spark, d), UNIT[:-1])
+    return usage.checks_projection(share).select(*UNIT[:-2], F.col("month").cast("string").alias("month"), "entity", "key",
+                                                 F.round("share", 5).alias("share"))
+
+
 # -- results -----------------------------------------------------------------------------
 
 def csv_dir(spark, d):

@@ -264,6 +264,15 @@ def j11(spark, d):
         F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
+@query("J11_move_set_index", """WITH m AS (SELECT l_orderkey AS team, l_suppkey, array_to_string(list_sort(list_distinct(list(l_partkey % 20))), ',') AS moves FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, moves, CAST(floor(team / 1024) AS BIGINT) AS block, string_agg(team::VARCHAR, ',' ORDER BY team) AS ids FROM m GROUP BY ALL""")
+def j11_move_sets(spark, d):
+    members = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.collect_set(F.col("l_partkey") % 20).alias("moves"))
+    index = mt.move_set_index(members, "l_suppkey", "moves", "l_orderkey")
+    text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",").alias(c)
+    return index.select("l_suppkey", text("moves"), "block", text("ids"))
+
+
 @query("J12_best_retrieval", """
 WITH m AS (SELECT l_orderkey AS team, l_suppkey AS name, list_distinct(list(l_partkey % 20)) AS moves FROM lineitem GROUP BY 1, 2),
 w AS (SELECT c_custkey AS req, unnest([0, 1, 2]) AS position FROM customer),

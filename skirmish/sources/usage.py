@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.ordered import running
+from ..session import materialise
 
 # Section heading -> usage field.
 SECTIONS = {"Abilities": "abilities", "Items": "items", "Spreads": "spreads", "Moves": "moves",
@@ -47,7 +48,7 @@ def parse_reports(reports: DataFrame, keys: Sequence[str], content: str = "conte
 
     A missing section has no rows; a missing tera section becomes ``Nothing`` with share 1.
     """
-    blocks = _report_blocks(reports, keys, content)
+    blocks = materialise(_report_blocks(reports, keys, content), "report-blocks")  # read three times below
     count = F.regexp_extract("head", r":\s*(\d+)", 1).try_cast("bigint")
     counts = blocks.where(F.col("head").startswith("Raw count")).groupBy(*keys, "entity").agg(F.max(count).alias("n"))
     names = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
