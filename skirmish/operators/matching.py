@@ -272,9 +272,9 @@ def best_retrieval(wanted: DataFrame, members: DataFrame, request: str, team: st
         asks = open_.select("_id", F.explode(_choices(F.col("_wants"), k, "position")).alias("_choice")).select(
             "_id", F.transform(choice, lambda x: x["n"]).alias("_names"), F.transform(choice, lambda x: x["w"]).alias("_wanted"),
             F.transform("_choice", lambda x: x["position"]).alias("_places"))
-        index = teams.where(F.size("_has") >= k).select(team, F.explode(_choices(F.col("_has"), k, name)).alias("_choice")).groupBy(
-            F.transform("_choice", lambda x: x[name]).alias("_names"), F.transform("_choice", lambda x: x["_sets"]).alias("_sets")).agg(
-            F.min(team).alias(team))
+        shared = teams.where(F.size("_has") >= k).select(team, F.explode(_choices(F.col("_has"), k, name)).alias("_choice")).select(
+            team, F.transform("_choice", lambda x: x[name]).alias("_names"), F.transform("_choice", lambda x: x["_sets"]).alias("_sets"))
+        index = shared.join(asks.select("_names").distinct(), "_names", "left_semi").groupBy("_names", "_sets").agg(F.min(team).alias(team))
         best = asks.join(index, "_names").groupBy("_id").agg(
             F.min(F.struct(F.negate(overlap).alias("o"), F.col("_places"), F.col(team).alias("t"))).alias("_best"))
         found = materialise(best.select("_id", F.col("_best.t").alias(team), F.lit(k).cast("long").alias("matched"),
