@@ -11,6 +11,7 @@ from ..functions import actions
 from ..functions import text as tx
 from ..operators import rewards, sampling, windows
 from ..operators.events import arg, message_columns
+from ..session import materialise
 from ..operators.ordered import neighbours, running
 
 
@@ -32,7 +33,7 @@ def replay_steps(log: DataFrame, battle: str, seg: str, order: Sequence[str]) ->
         down[f"down_{side}"] = F.when(mine, F.col("fainted"))
     one["weather_now"] = ("last", F.when(F.col("type") == "-weather", F.when(F.col("weather") == "none", "noweather").otherwise(
         tx.clean_letters(F.col("weather")))))
-    filled = windows.distinct_so_far(running(msg, key, seg, order, one), key, seg, order, down)
+    filled = windows.distinct_so_far(materialise(running(msg, key, seg, order, one), "replay-messages"), key, seg, order, down)
     at = F.struct(*order)
     used = F.when(F.col("type") == "move", F.concat(F.lit("move:"), tx.move_id(F.col("move")))).when(
         F.col("type") == "switch", F.concat(F.lit("switch:"), tx.slot_name(arg(0))))
