@@ -121,3 +121,29 @@ def test_retrieval_from_nothing(spark):
     none = spark.createDataFrame([], "team int, name string, moves array<string>")
     assert mt.best_retrieval(wanted, none, "q", "team", "name").count() == 0
     assert mt.best_retrieval(wanted.where("1 = 0"), none, "q", "team", "name").count() == 0
+
+
+def test_pairs_are_tested_where_they_meet(spark):
+    known = spark.createDataFrame([("1", "k", ["a"], 1), ("2", "k", ["a", "b"], 2), ("3", "k", [], 1)], "id string, key string, tokens array<string>, copies long")
+    plan = ct.contained(known, known, F.col("id"), F.col("id"), carry=False)._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.splitlines() if "Join" in line)
+    assert "array_except" in top and "code" in top  # no join of pairs by record or candidate, which would shuffle them
+    assert "LeftSemi" in ct.leaves(known)._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.id, r.weight) for r in ct.leaf_weights(known).collect()] == [("2", 4)]
+
+
+def test_codes_that_collide_are_drawn_again(spark, monkeypatch):
+    code = ct._code
+    monkeypatch.setattr(ct, "_code", lambda key, token, seed: F.length(token) if seed == 0 else code(key, token, seed))
+    known = spark.createDataFrame([("1", "k", ["a"]), ("2", "k", ["b"]), ("3", "k", ["a", "b"])], "id string, key string, tokens array<string>")
+    got = {(r.record, r.candidate) for r in ct.contained(known, known, F.col("id"), F.col("id")).collect()}
+    assert got == {("1", "1"), ("2", "2"), ("3", "3"), ("1", "3"), ("2", "3")}
+
+
+def test_large_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(ct, "BLOCK", 3)
+    rows = [(str(i), "k", [t for b, t in enumerate("abcde") if i >> b & 1]) for i in range(32)]
+    known = spark.createDataFrame(rows, "id string, key string, tokens array<string>")
+    got = [(r.record, r.candidate) for r in ct.contained(known, known, F.col("id"), F.col("id")).collect()]
+    assert sorted(got) == sorted((a, b) for a, _, x in rows for b, _, y in rows if set(x) <= set(y))
+    assert {r.id for r in ct.leaves(known).collect()} == {"31"}
