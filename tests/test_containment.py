@@ -147,3 +147,11 @@ def test_large_blocks_lose_no_pair(spark, monkeypatch):
     got = [(r.record, r.candidate) for r in ct.contained(known, known, F.col("id"), F.col("id")).collect()]
     assert sorted(got) == sorted((a, b) for a, _, x in rows for b, _, y in rows if set(x) <= set(y))
     assert {r.id for r in ct.leaves(known).collect()} == {"31"}
+
+
+def test_null_tokens(spark):
+    rows = [("1", "k", ["a"], 1), ("2", "k", ["a", None], 2), ("3", "k", [], 4), ("4", None, ["a"], 8), ("5", "k", None, 16)]
+    known = spark.createDataFrame(rows, "id string, key string, tokens array<string>, copies long")
+    got = sorted((r.record, r.candidate) for r in ct.contained(known, known, F.col("id"), F.col("id")).collect())
+    assert got == [("1", "1"), ("1", "2"), ("3", "1"), ("3", "2"), ("3", "3")]
+    assert {(r.id, r.weight) for r in ct.leaf_weights(known).collect()} == {("2", 5)}
