@@ -32,11 +32,11 @@ def report_rank(file_name: Column, fmt: Column) -> Column:
 
 
 def _report_blocks(reports: DataFrame, keys: Sequence[str], content: str) -> DataFrame:
-    """Boxes of each report with the entity they belong to."""
+    """Boxes of each report with the entity they belong to.  Reports are read and split once, before the scan reads the boxes twice."""
     boxes = F.split(content, r"(?m)^\s*\+-[-+]*\s*$")
     rows = reports.select(*keys, F.posexplode(boxes).alias("i", "_b"))
     lines = F.filter(F.transform(F.split("_b", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*\||\|\s*$", ""))), lambda x: x != "")
-    rows = rows.select(*keys, "i", lines.alias("lines")).where(F.size("lines") > 0)
+    rows = materialise(rows.select(*keys, "i", lines.alias("lines")), "report-boxes").where(F.size("lines") > 0)
     head = F.col("lines")[0]
     rows = rows.withColumn("head", head).withColumn("_seg", F.floor(F.col("i") / 2048))
     is_name = (F.size("lines") == 1) & ~head.isin(*SECTIONS) & ~head.startswith("Raw count")

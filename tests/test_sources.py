@@ -51,6 +51,15 @@ def test_usage_report(spark, tmp_path):
     assert {r["entity"]: r["n"] for r in counts.collect()} == {"Alpha One": 120, "Beta": 7}
 
 
+def test_reports_are_split_once(spark, tmp_path, monkeypatch):
+    stored = []
+    kept = usage.materialise
+    monkeypatch.setattr(usage, "materialise", lambda df, label: stored.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, label))
+    (tmp_path / "gen1ou-1500.txt").write_text(REPORT)
+    usage.parse_reports(usage.read_reports(spark, [str(tmp_path)]), ["path"])
+    assert len(stored) == 2 and "posexplode" in stored[0] and "posexplode" not in stored[1]
+
+
 def test_report_rank(spark):
     names = ["gen1ou.txt", "gen1ou-1760.txt", "gen1ou-1630.5.txt", "gen1ouextra.txt", "gen1ou-0.txt.gz"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
