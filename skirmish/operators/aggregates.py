@@ -217,33 +217,41 @@ def distinct_teams(members: DataFrame, corpus: Sequence[str], team: str, key: Co
     """Number of teams and of different member-key sets.
 
     A set is identified by size and two order-free 128-bit sums of its keys' digests, so a large team
-    needs no list.
+    needs no list.  A team's members meet in one task, and tasks are as many as the rows ask for.
     """
-    distinct = members.select(*corpus, team, key.alias("_k")).distinct()
+    parts = task_count(members)
+    distinct = members.select(*corpus, team, key.alias("_k")).repartition(parts, *corpus, team).distinct()
     part = lambda salt, i: F.sum(F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("_k"))), i, 15), 16, 10)
                                  .cast("decimal(20,0)"))
     prints = distinct.groupBy(*corpus, team).agg(
         F.count("*").alias("_n"), *[part(s, i).alias(f"_{s}{i}") for s in ("x", "y") for i in (1, 17)])
     names = ["_n", "_x1", "_x17", "_y1", "_y17"]
-    kinds = prints.groupBy(*corpus, *names).agg(F.count("*").alias("_teams"))
+    kinds = prints.repartition(parts, *corpus, *names).groupBy(*corpus, *names).agg(F.count("*").alias("_teams"))
     return kinds.groupBy(*corpus).agg(F.sum("_teams").alias("teams"), F.count("*").alias("distinct_teams"))
 
 
-def top_pairs(members: DataFrame, team: str, member: str, k: int) -> DataFrame:
-    """Most frequent member pairs of all teams.
+def task_count(rows: DataFrame) -> int:
+    """Tasks for a shuffle of ``rows``: as many as the rows ask for, so that what one holds does not grow with the input."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / TASK_ROWS))
+
+
+def top_pairs(members: DataFrame, team: str, member: str, k: int, copies: str | None = None) -> DataFrame:
+    """Most frequent member pairs of all teams; a team may stand for ``copies`` equal ones.
 
     A team of up to ``TEAM`` members pairs them in its row, larger ones by blocks.  Tasks are as many as the rows ask for, so
     that what one holds does not grow with the input.
     """
-    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(members.count() / TASK_ROWS))
-    distinct = members.select(team, member).where(F.col(team).isNotNull() & F.col(member).isNotNull()).repartition(parts, team).distinct()
+    parts = task_count(members)
+    of = [team] if copies is None else [team, copies]
+    distinct = members.select(*of, member).where(F.col(team).isNotNull() & F.col(member).isNotNull()).repartition(parts, team).distinct()
     sized = distinct.join(distinct.groupBy(team).agg(F.count("*").alias("_size")).where("_size > 1"), team)
-    rows = sized.where(F.col("_size") <= TEAM).groupBy(team).agg(F.array_sort(F.collect_list(member)).alias("_m")).select("_m")
+    rows = sized.where(F.col("_size") <= TEAM).groupBy(*of).agg(F.array_sort(F.collect_list(member)).alias("_m")).select("_m", *of[1:])
     two = F.flatten(F.transform("_m", lambda x, i: F.transform(F.slice(F.col("_m"), i + 2, TEAM), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    small = rows.select(F.explode(two).alias("p")).select("p.a", "p.b")
-    large = unordered_pairs(sized.where(F.col("_size") > TEAM).select(team, member), [team], member).select("a", "b")
+    small = rows.select(F.explode(two).alias("p"), *of[1:]).select("p.a", "p.b", *of[1:])
+    large = unordered_pairs(sized.where(F.col("_size") > TEAM).select(*of, member), of, member).select("a", "b", *of[1:])
     pairs = small.unionByName(large).repartition(parts, "a", "b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(k)
+    n = F.count("*") if copies is None else F.sum(copies)
+    return pairs.groupBy("a", "b").agg(n.alias("n")).orderBy(F.desc("n"), "a", "b").limit(k)
 
 
 def error_histogram(errors: DataFrame, stage: str = "stage", reason: str = "reason") -> DataFrame:
