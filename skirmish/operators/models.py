@@ -244,15 +244,19 @@ def best_swaps(teams: DataFrame, team: str, members: str, pool: DataFrame, membe
         F.col(score).alias("s"), F.negate(F.col(member)).alias("n"), F.col(clause).alias("c"), F.col(member).alias("m"))), asc=False))
     have = teams.select(team, F.posexplode(members).alias("slot", member)).join(pool, member)
     sets = have.groupBy(team).agg(F.collect_list(F.struct("slot", F.col(member).alias("m"), F.col(clause).alias("c"), F.col(score).alias("s"))).alias("_t"))
-    rows = sets.withColumn("_short", short.scalar()).select(team, "_t", "_short", F.explode("_t").alias("x"))
-    others = F.transform(F.filter("_t", lambda t: t["m"] != F.col("x.m")), lambda t: t["c"])
-    ids = F.transform("_t", lambda t: t["m"])
-    legal = F.filter("_short", lambda o: ~F.array_contains(ids, o["m"]) & ~F.array_contains(others, o["c"]))
-    swaps = rows.withColumn("_in", F.try_element_at(legal, F.lit(1))).where(F.col("_in").isNotNull()).select(
-        team, F.col("x.slot").alias("slot"), F.col("x.m").alias("out"), F.col("_in.m").alias("in"),
-        (F.col("_in.s") - F.col("x.s")).alias("gain"))
-    best = swaps.groupBy(team).agg(F.max_by(F.struct("slot", "out", "in", "gain"), F.struct("gain", F.negate(F.col("slot")))).alias("b"))
-    return best.where("b.gain > 0").select(team, "b.*")
+    # Worked out once per team, in steps: what a lambda refers to is not worked out again for each candidate.
+    step = lambda df, **columns: df.select(F.inline(F.array(F.struct(*df.columns, *[c.alias(n) for n, c in columns.items()]))))
+    rows = step(sets, _ids=F.transform("_t", lambda t: t["m"]), _clauses=F.transform("_t", lambda t: t["c"]), _short=short.scalar())
+    rows = step(rows, _free=F.filter("_short", lambda o: ~F.array_contains("_ids", o["m"])))
+    # Whoever shares no clause with the team fits every slot, so nobody after the first of them is asked for.
+    alone = F.array_position(F.transform("_free", lambda o: ~F.array_contains("_clauses", o["c"])), F.lit(True)).cast("int")
+    rows = step(rows, _asked=F.when(alone > 0, F.slice("_free", F.lit(1), alone)).otherwise(F.col("_free")))
+    legal = lambda x: F.filter("_asked", lambda o: ~F.exists("_t", lambda t: (t["m"] != x["m"]) & (t["c"] == o["c"])))
+    swaps = F.transform("_t", lambda x: F.struct(x.alias("x"), F.try_element_at(legal(x), F.lit(1)).alias("i")))
+    gains = F.transform(F.filter(swaps, lambda z: z["i"].isNotNull()), lambda z: F.struct(
+        (z["i"]["s"] - z["x"]["s"]).alias("gain"), F.negate(z["x"]["slot"]).alias("n"), z["x"]["slot"].alias("slot"), z["x"]["m"].alias("out"), z["i"]["m"].alias("in")))
+    best = rows.select(team, F.array_max(gains).alias("b"))
+    return best.where("b.gain > 0").select(team, "b.slot", "b.out", "b.in", "b.gain")
 
 
 def top_team(pool: DataFrame, member: str, clause: str, score: str, size: int = 6) -> DataFrame:

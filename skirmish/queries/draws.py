@@ -283,7 +283,10 @@ SELECT l_orderkey, CAST(slot AS INT) AS slot, out_m, in_m, gain, NULL AS reason
 UNION ALL SELECT DISTINCT l_orderkey, CAST(NULL AS INT), NULL, NULL, NULL, 'too many members' FROM t WHERE n > 6""")
 def r18(spark, d):
     pool = table(spark, d, "supplier").select(F.col("s_suppkey").alias("m"), (F.col("s_suppkey") % 40).alias("c"), F.round("s_acctbal", 2).alias("s"))
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 40).alias("c")).agg(F.min("l_suppkey").alias("m"))
+    # The lines of an order meet in one task for all that follows.
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    lines = lines.repartition(agg.task_count(lines), "l_orderkey")
+    rows = lines.groupBy("l_orderkey", (F.col("l_suppkey") % 40).alias("c")).agg(F.min("l_suppkey").alias("m"))
     sizes = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))
     teams = rows.join(sizes.where("n <= 6"), "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("m")).alias("members"))
     out = models.best_swaps(teams, "l_orderkey", "members", pool, "m", "c", "s")

@@ -42,3 +42,11 @@ def test_distinct_teams_takes_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
     out = agg.distinct_teams(df, ["c"], "t", F.col("m"))
     assert [tuple(r) for r in out.collect()] == [(1, 62, 7)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count(f"], {-(-302 // 10)}") == 2
+
+
+def test_swaps_stay_in_the_team_row(spark):
+    pool = spark.createDataFrame([(i, i % 9, float(i)) for i in range(30)], "m long, c long, s double")
+    teams = spark.createDataFrame([(1, [0, 10, 20])], "t int, ms array<long>")
+    out = models.best_swaps(teams, "t", "ms", pool, "m", "c", "s")
+    assert [(r.out, r["in"], r.gain) for r in out.collect()] == [(0, 27, 27.0)]
+    assert "max_by" not in out._jdf.queryExecution().optimizedPlan().toString()
