@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import half_year_start
 from ..functions.records import gap_fill_moves
 from ..session import materialise
+from .aggregates import task_count
 from .containment import contained, key_of, known_tokens
 from .ordered import top_per
 from .pairs import unordered_pairs  # noqa: F401  (policy pairs)
@@ -186,7 +187,7 @@ def detail_scores(pairs: DataFrame, diffs: DataFrame, usage: DataFrame, by: Sequ
 
 def teammate_shares(rosters: DataFrame, team: str, name: str) -> DataFrame:
     """name, mate, share: of the teams with ``name``, the share that also has ``mate``.  A team's names are its group."""
-    counts = rosters.select(team, name).distinct()
+    counts = rosters.select(team, name).repartition(task_count(rosters), team).distinct()
     mates = counts.join(counts.withColumnRenamed(name, "mate"), team).where(F.col(name) != F.col("mate"))
     teams = counts.groupBy(name).agg(F.count("*").alias("_teams"))
     return mates.groupBy(name, "mate").agg(F.count("*").alias("_both")).join(teams, name).select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import records
 from ..operators import containment as ct
 from ..operators import matching as mt
+from ..operators.aggregates import task_count
 from ..session import materialise
 from .base import query, table, view
 from .stats import UNIT, USAGE_SQL, usage_tables
@@ -220,11 +221,18 @@ best AS (SELECT p.lead, p.tokens, c.tokens AS candidate, c.weight, row_number()
   FROM q p JOIN w c ON {_TEAM_FITS} QUALIFY place <= 3)"""
 
 
-def roster_candidates(spark, d):
+def rosters(spark, d):
+    """team_id, names (the lead's first) of every order: as in :func:`teams`, without the members' details."""
+    lines = view(spark, d, "records").select("team_id", "name", "l_linenumber", "l_partkey", "l_quantity")
+    lines = lines.repartition(task_count(lines), "team_id")
+    first = lines.groupBy("team_id", "name").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("place"))
+    both = first.groupBy("team_id").agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("members"))
+    return materialise(both.select("team_id", F.transform("members", lambda m: m["name"].cast("string")).alias("names")), "rosters")
+
+
+def roster_candidates(rows):
     """Distinct rosters, and their three heaviest candidates."""
-    rows = teams(spark, d)
-    names = F.transform(rows["reserve"], lambda m: m["name"].cast("string"))
-    known = ct.distinct_known(rows, rows["lead.name"].cast("string"), names)
+    known = ct.distinct_known(rows, F.col("names")[0], F.slice("names", 2, 100))
     weighted = materialise(ct.leaf_weights(known), "roster-weights")
     best = ct.best_fits(known, weighted, 3)
     own = known.select("id", F.col("key").alias("lead"), "tokens")
@@ -234,7 +242,7 @@ def roster_candidates(spark, d):
 
 @query("J9_roster_candidates", f"""WITH {ROSTER_SQL} SELECT lead, array_to_string(tokens, ',') AS roster, array_to_string(candidate, ',') AS candidate, weight, CAST(place AS INT) AS place FROM best""", ("records",))
 def j9_rosters(spark, d):
-    return roster_candidates(spark, d).select(
+    return roster_candidates(rosters(spark, d)).select(
         "lead", F.array_join("tokens", ",").alias("roster"), F.array_join("full", ",").alias("candidate"), "weight", "place")
 
 
@@ -247,9 +255,9 @@ SELECT best.lead, array_to_string(best.tokens, ',') AS roster, CAST(best.place A
  + CASE WHEN len(list_filter(candidate, lambda x: NOT list_contains(best.tokens, x))) < 5 - len(best.tokens) THEN ln(1e-6) ELSE 0 END, 4) AS log_score
 FROM best LEFT JOIN h ON h.lead = best.lead AND h.tokens = best.tokens AND h.place = best.place""", ("records",))
 def j10_rosters(spark, d):
-    rows = teams(spark, d)
-    names = rows.select("team_id", F.explode(F.concat(F.array("lead"), "reserve")).alias("m")).select("team_id", F.col("m.name").cast("string").alias("name"))
-    pairs = materialise(roster_candidates(spark, d), "roster-candidates")
+    rows = rosters(spark, d)
+    names = rows.select("team_id", F.explode(F.slice("names", 1, 101)).alias("name"))
+    pairs = materialise(roster_candidates(rows), "roster-candidates")
     scores = mt.roster_scores(pairs, ["id", "place"], "lead", "tokens", "full", mt.teammate_shares(names, "team_id", "name"))
     return scores.join(pairs, ["id", "place"]).select(
         "lead", F.array_join("tokens", ",").alias("roster"), "place", F.round("log_score", 4).alias("log_score"))

@@ -50,3 +50,17 @@ def test_swaps_stay_in_the_team_row(spark):
     out = models.best_swaps(teams, "t", "ms", pool, "m", "c", "s")
     assert [(r.out, r["in"], r.gain) for r in out.collect()] == [(0, 27, 27.0)]
     assert "max_by" not in out._jdf.queryExecution().optimizedPlan().toString()
+def test_rosters_leave_details_out(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(joins, "materialise", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    got = {r.team_id: r.names for r in joins.rosters(spark, SF).collect()}
+    assert " AS item#" not in plans[0] and "Window" not in plans[0]
+    want = {r.team_id: [str(r.lead["name"]), *[str(m["name"]) for m in r.reserve]] for r in joins.teams(spark, SF).collect()}
+    assert got == want
+
+
+def test_teammates_meet_without_another_shuffle(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "team int, name string")
+    shares = mt.teammate_shares(rows, "team", "name")
+    assert {(r.name, r.mate): r.share for r in shares.collect()} == {("a", "b"): .5, ("b", "a"): 1.}
+    assert shares._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [team") == 3
