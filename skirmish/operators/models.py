@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .aggregates import binary_metrics, top_pairs
-from .filters import supported_keys
 from .ordered import top_per
 from .sampling import split_originals
 from .sets import with_mirror
@@ -49,35 +48,51 @@ def matchup_terms(a: Column, b: Column) -> Column:
         F.lit("v:"), i.cast("string"), F.lit(","), j.cast("string")))))
 
 
-def fit_terms(train: DataFrame, blocks: Sequence[tuple[str, float]], label: str, c: float | None, intercept: bool,
-              max_iter: int, rows: int | None = None):
-    """Logistic regression on token columns; returns (transform, coefficients by token, intercept).
+def vectorise(train: DataFrame, blocks: Sequence[tuple[str, float]]) -> tuple[Callable[[DataFrame], DataFrame], list[str], list[float]]:
+    """(transform, tokens, scales) of the token columns of ``train``; the transform adds the scaled vector ``_x``.
 
-    Each block is (token column, scale).  ``c`` is the inverse penalty; the penalty per row is 1 / (c n).
+    Each block is (token column, scale).
     """
-    vectorisers, scales = [], []
-    frame = train
-    for name, scale in blocks:
-        model = CountVectorizer(inputCol=name, outputCol=f"_c_{name}", vocabSize=2 ** 31 - 1, minDF=1.0).fit(frame)
-        frame = model.transform(frame)
-        vectorisers.append(model)
-        scales += [scale] * len(model.vocabulary)
+    fits = [CountVectorizer(inputCol=name, outputCol=f"_c_{name}", vocabSize=2 ** 31 - 1, minDF=1.0).fit(train) for name, _ in blocks]
+    scales = [scale for model, (_, scale) in zip(fits, blocks) for _ in model.vocabulary]
     assembler = VectorAssembler(inputCols=[f"_c_{n}" for n, _ in blocks], outputCol="_raw")
     weigh = ElementwiseProduct(scalingVec=Vectors.dense(scales), inputCol="_raw", outputCol="_x")
-    n = rows if rows is not None else train.count()
-    reg = 0.0 if c is None else 1.0 / (c * n)
-    lr = LogisticRegression(featuresCol="_x", labelCol=label, regParam=reg, elasticNetParam=0.0, fitIntercept=intercept,
-                            standardization=False, maxIter=max_iter, tol=1e-9)
-    model = lr.fit(weigh.transform(assembler.transform(frame)))
 
     def apply(df: DataFrame) -> DataFrame:
-        for v in vectorisers:
+        for v in fits:
             df = v.transform(df)
-        return model.transform(weigh.transform(assembler.transform(df)))
+        return weigh.transform(assembler.transform(df)).drop("_raw", *[f"_c_{n}" for n, _ in blocks])
+
+    return apply, [t for v in fits for t in v.vocabulary], scales
+
+
+def fit_vectors(train: DataFrame, label: str, copies: str, c: float | None, intercept: bool, max_iter: int):
+    """Logistic regression on the vectors ``_x``, each counted ``copies`` times.
+
+    ``c`` is the inverse penalty; the penalty per example is 1 / (c n).
+    """
+    reg = 0.0 if c is None else 1.0 / (c * train.agg(F.sum(copies)).first()[0])
+    lr = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=copies, regParam=reg, elasticNetParam=0.0, fitIntercept=intercept,
+                            standardization=False, maxIter=max_iter, tol=1e-9)
+    return lr.fit(train)
+
 
-    names = [t for v in vectorisers for t in v.vocabulary]
-    coef = dict(zip(names, (w * s for w, s in zip(model.coefficients.toArray(), scales))))
-    return apply, coef, model.intercept
+def fit_terms(train: DataFrame, blocks: Sequence[tuple[str, float]], label: str, c: float | None, intercept: bool,
+              max_iter: int, copies: str):
+    """Logistic regression on token columns; returns (transform, coefficients by token, intercept)."""
+    vectors, names, scales = vectorise(train, blocks)
+    model = fit_vectors(vectors(train), label, copies, c, intercept, max_iter)
+    return lambda df: model.transform(vectors(df)), _by_token(names, scales, model), model.intercept
+
+
+def _by_token(names: Sequence[str], scales: Sequence[float], model) -> dict[str, float]:
+    return dict(zip(names, (w * s for w, s in zip(model.coefficients.toArray(), scales))))
+
+
+def _cases(split: DataFrame, a: str, b: str, y: str) -> DataFrame:
+    """Different examples of each part of the split with their number of copies: the two teams and the result are all a
+    model sees of an example, so its weights and metrics are the same."""
+    return materialise(split.groupBy("split", a, b, y).agg(F.count("*").alias("copies")), "examples")
 
 
 # A mirrored example swaps the two sides and the label, so with mirrors in the data the best weights of the
@@ -88,7 +103,7 @@ _SIDE = math.sqrt(2.0)
 
 def _probabilities(scored: DataFrame, label: str) -> DataFrame:
     p = vector_to_array("probability")[1]
-    return binary_metrics(scored.select(label, p.alias("p")), [], F.col(label), F.col("p"))
+    return binary_metrics(scored.select(label, p.alias("p"), "copies"), [], F.col(label), F.col("p"), copies=F.col("copies"))
 
 
 def _coefficients(spark: SparkSession, coef: dict[str, float]) -> DataFrame:
@@ -113,11 +128,10 @@ def fit_baseline(examples: DataFrame, key: str, a: str, b: str, y: str, val_frac
     """Win model on membership (+1 own, -1 foe): (weights by member, validation metrics, intercept).
 
     Originals are split before mirrors are added; the final fit uses all examples, and the weights are centred over
-    the ``pool`` members there are (by default those seen).
+    the ``pool`` members there are (by default those seen).  Equal examples are one row with its number of copies.
     """
-    plain = examples.select(key, a, b, F.col(y).cast("int").alias(y))
-    split = materialise(split_originals(plain, [key], val_fraction, seed), "examples")
-    plain = split.drop("split")
+    plain = materialise(examples.select(key, a, b, F.col(y).cast("int").alias(y)), "originals")  # the split reads them twice
+    split = _cases(split_originals(plain, [key], val_fraction, seed), a, b, y)
 
     def mirrored(df: DataFrame) -> DataFrame:
         rows = with_mirror(df, a, b, y)
@@ -125,9 +139,9 @@ def fit_baseline(examples: DataFrame, key: str, a: str, b: str, y: str, val_frac
         return rows.withColumn("_a", main(a, "a")).withColumn("_b", main(b, "b"))
 
     blocks = [("_a", _SIDE), ("_b", _SIDE)]
-    apply, _, _ = fit_terms(mirrored(split.where("split = 'train'")), blocks, y, c, True, max_iter)
+    apply, _, _ = fit_terms(mirrored(split.where("split = 'train'")), blocks, y, c, True, max_iter, "copies")
     metrics = _probabilities(apply(mirrored(split.where("split = 'val'"))), y)
-    _, coef, intercept = fit_terms(mirrored(plain), blocks, y, c, True, max_iter)
+    _, coef, intercept = fit_terms(mirrored(split), blocks, y, c, True, max_iter, "copies")
     theta = _centred(_one_sided(_coefficients(examples.sparkSession, coef), "a", "b"), pool)
     return theta.withColumnRenamed("term", "member"), metrics, intercept
 
@@ -138,12 +152,12 @@ def fit_interaction(examples: DataFrame, key: str, a: str, b: str, y: str, c_val
     """Main, synergy and matchup weights with the penalty picked on validation log loss.
 
     Returns (kind, term, weight) and the tuning table.  Matchup weights are antisymmetric; main and synergy weights
-    are centred over the ``pool`` members there are and all their pairs (by default those seen).
+    are centred over the ``pool`` members there are and all their pairs (by default those seen).  Equal examples are one
+    row with its number of copies, and vectors are made once for all penalties.
     """
     spark = examples.sparkSession
-    plain = examples.select(key, a, b, F.col(y).cast("int").alias(y))
-    split = materialise(split_originals(plain, [key], val_fraction, seed), "examples")
-    plain = split.drop("split")
+    plain = materialise(examples.select(key, a, b, F.col(y).cast("int").alias(y)), "originals")  # the split reads them twice
+    split = _cases(split_originals(plain, [key], val_fraction, seed), a, b, y)
 
     def features(df: DataFrame) -> DataFrame:
         rows = with_mirror(df, a, b, y)
@@ -152,15 +166,15 @@ def fit_interaction(examples: DataFrame, key: str, a: str, b: str, y: str, c_val
 
     blocks = [("_a", _SIDE), ("_b", _SIDE), ("_v", 1.0)]
     train = materialise(features(split.where("split = 'train'")), "train")
-    val = features(split.where("split = 'val'"))
-    n = train.count()
+    vectors, _, _ = vectorise(train, blocks)
+    known = materialise(vectors(train).select("_x", y, "copies"), "train-vectors")
+    val = materialise(vectors(features(split.where("split = 'val'"))).select("_x", y, "copies"), "val-vectors")
     tuning = []
     for c in c_values:
-        apply, _, _ = fit_terms(train, blocks, y, c, False, max_iter, n)
-        loss = _probabilities(apply(val), y).first()["log_loss"]
+        loss = _probabilities(fit_vectors(known, y, "copies", c, False, max_iter).transform(val), y).first()["log_loss"]
         tuning.append((float(c), float(loss)))
     best = min(tuning, key=lambda t: t[1])[0]
-    _, coef, _ = fit_terms(features(plain), blocks, y, best, False, max_iter)
+    _, coef, _ = fit_terms(materialise(features(split), "all"), blocks, y, best, False, max_iter, "copies")
     weights = _coefficients(spark, coef)
     main = _centred(_one_sided(weights, "am", "bm"), pool).select(F.lit("main").alias("kind"), "term", "weight")
     pair = _centred(_one_sided(weights, "as", "bs"), pool * (pool - 1) // 2 if pool else None).select(F.lit("synergy").alias("kind"), "term", "weight")
@@ -173,24 +187,42 @@ def fit_interaction(examples: DataFrame, key: str, a: str, b: str, y: str, c_val
     return main.unionByName(pair).unionByName(anti), spark.createDataFrame(tuning, "c double, val_loss double")
 
 
+def _kinds(samples: DataFrame, key: str, members: str, y: str, fmt: str | None) -> DataFrame:
+    """Different sets of samples that share a key, by what they hold, with the number of keys: _id, _s, _y, copies.
+
+    Samples without a key (not ``_keyed``) stand alone.
+    """
+    sample = F.struct(F.col(members).alias("m"), *([F.col(fmt).alias("f")] if fmt else []))
+    label = F.col(y).cast("int")
+    keyed = samples.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.sort_array(F.collect_list(sample)).alias("_s"), F.array_sort(F.transform(F.collect_list(F.struct(label.alias("y"))), lambda x: x["y"])).alias("_y"))
+    alone = samples.where(F.col(key).isNull()).select(F.array(sample).alias("_s"), F.array(label).alias("_y"))
+    both = keyed.select("_s", "_y", F.lit(True).alias("_keyed")).unionByName(alone.select("_s", "_y", F.lit(False).alias("_keyed")))
+    counted = both.groupBy("_s", "_y", "_keyed").agg(F.count("*").alias("copies"))
+    return materialise(counted.withColumn("_id", F.monotonically_increasing_id()), "sample-kinds")
+
+
 def fit_presence(samples: DataFrame, key: str, members: str, y: str, min_games: int, n_pairs: int = 0,
                  fmt: str | None = None, c: float = 1.0, max_iter: int = 200) -> DataFrame:
     """Odds ratios of members, frequent pairs and formats: (feature, coefficient, odds)."""
     spark = samples.sparkSession
-    long = samples.select(key, F.explode(F.array_distinct(members)).alias("m"))
-    terms = supported_keys(long, "m", min_games).select(key, F.concat(F.lit("member:"), F.col("m").cast("string")).alias("t"))
+    kinds = _kinds(samples, key, members, y, fmt)
+    seen = kinds.select("_id", "copies", F.explode("_s").alias("s"))
+    long = seen.select("_id", "copies", F.explode(F.array_distinct("s.m")).alias("m"))
+    games = long.groupBy("m").agg(F.sum("copies").alias("_n")).where(F.col("_n") >= min_games).select("m")
+    keyed = F.col("_keyed")
+    terms = long.join(games, "m", "left_semi").select("_id", F.concat(F.lit("member:"), F.col("m").cast("string")).alias("t"))
     if n_pairs:
-        pairs = [(r["a"], r["b"]) for r in top_pairs(long, key, "m", n_pairs).collect()]  # n_pairs rows
-        have = F.filter(F.array(*[F.when(F.array_contains(members, a) & F.array_contains(members, b), F.lit(f"pair:{a}&{b}"))
+        pairs = [(r["a"], r["b"]) for r in top_pairs(long.join(kinds.where(keyed).select("_id"), "_id", "left_semi"), "_id", "m", n_pairs, "copies").collect()]  # n_pairs rows
+        have = F.filter(F.array(*[F.when(F.array_contains("s.m", a) & F.array_contains("s.m", b), F.lit(f"pair:{a}&{b}"))
                                   for a, b in pairs]), lambda x: x.isNotNull())
-        terms = terms.unionByName(samples.select(key, F.explode(have).alias("t")))
+        terms = terms.unionByName(seen.select("_id", F.explode(have).alias("t")))
     if fmt:
-        terms = terms.unionByName(samples.where(F.col(fmt).isNotNull()).select(
-            key, F.concat(F.lit("format:"), F.col(fmt).cast("string")).alias("t")))
-    rows = samples.select(key, F.col(y).cast("int").alias(y)).join(
-        terms.groupBy(key).agg(F.collect_list("t").alias("_t")), key, "left").withColumn(
-        "_t", F.coalesce("_t", F.array().cast("array<string>")))
-    _, coef, _ = fit_terms(materialise(rows, "presence"), [("_t", 1.0)], y, c, True, max_iter)
+        terms = terms.unionByName(seen.where("s.f IS NOT NULL").select("_id", F.concat(F.lit("format:"), F.col("s.f").cast("string")).alias("t")))
+    rows = kinds.select("_id", "_keyed", "copies", F.explode("_y").alias(y)).join(
+        terms.groupBy("_id").agg(F.collect_list("t").alias("_t")), "_id", "left").withColumn(
+        "_t", F.when(keyed & F.col("_t").isNotNull(), F.col("_t")).otherwise(F.array().cast("array<string>")))
+    _, coef, _ = fit_terms(materialise(rows.select("_t", y, "copies"), "presence"), [("_t", 1.0)], y, c, True, max_iter, "copies")
     return spark.createDataFrame([(t, float(w), math.exp(w)) for t, w in coef.items()],
                                  "feature string, coefficient double, odds double")
 

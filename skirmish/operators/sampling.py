@@ -153,7 +153,13 @@ def _first(arr: Column, n: int) -> Column:
 
 def random_teams(samples: DataFrame, key: str, pool: DataFrame, member: str, clause: str, size: int,
                  seed: int | str) -> DataFrame:
-    """One random legal team per row of ``samples``: ``size`` clause groups, one member of each.
+    """One random legal team per row of ``samples``: ``size`` clause groups, one member of each."""
+    return samples.join(drawn_teams(samples, key, pool, member, clause, size, seed), key)
+
+
+def drawn_teams(samples: DataFrame, key: str, pool: DataFrame, member: str, clause: str, size: int,
+                seed: int | str) -> DataFrame:
+    """key, team: the random team of each key of ``samples``.
 
     The clauses travel with each row, and the drawn place in a clause is looked up in the ranked pool: no row
     holds the pool.
@@ -169,8 +175,8 @@ def random_teams(samples: DataFrame, key: str, pool: DataFrame, member: str, cla
              .select(key, F.explode(_first(F.sort_array(keyed), size)).alias("x"))
              .select(key, F.col("x.p.g").alias("_c"), F.col("x.p.n").alias("_n")))
     at = F.floor(uniform(f"{seed}m", F.col(key), F.col("_c")) * F.col("_n")).cast("int")
-    teams = drawn.withColumn("_at", at).join(placed, ["_c", "_at"]).groupBy(key).agg(F.sort_array(F.collect_list("_m")).alias("team"))
-    return samples.join(teams, key)
+    at = F.coalesce(at, F.lit(-1))  # never null, so that the join does not work it out a second time to test that
+    return drawn.withColumn("_at", at).join(placed, ["_c", "_at"]).groupBy(key).agg(F.sort_array(F.collect_list("_m")).alias("team"))
 
 
 def uncertain_pairs(bank: DataFrame, team: str, score: str, n: int, seed: int | str, uniform_mix: float = 0.25,
@@ -401,7 +407,7 @@ def complete_moves(known: Column, options: Column, seed: int | str, key: Sequenc
 
 def complete_field(known: Column, options: Column, seed: int | str, key: Sequence[Column]) -> Column:
     """Known value, else one weighted draw."""
-    return F.coalesce(known, F.try_element_at(_arrivals(options, seed, *key), F.lit(1)))
+    return F.coalesce(known, _earliest(options, seed, *key))
 
 
 def complete_members(members: DataFrame, key: Sequence[str], entity: str, options: DataFrame, fields: Mapping[str, str],

@@ -209,8 +209,8 @@ def examples(spark, d):
     """Match examples: two random teams of nations per order, and a label that depends on them."""
     pool = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 8).alias("c"))
     rows = table(spark, d, "orders").select("o_orderkey")
-    a = sp.random_teams(rows, "o_orderkey", pool, "n_nationkey", "c", 3, "ea").withColumnRenamed("team", "team_a")
-    both = sp.random_teams(a, "o_orderkey", pool, "n_nationkey", "c", 3, "eb").withColumnRenamed("team", "team_b")
+    side = lambda seed, name: sp.drawn_teams(rows, "o_orderkey", pool, "n_nationkey", "c", 3, seed).withColumnRenamed("team", name)
+    both = rows.join(side("ea", "team_a"), "o_orderkey").join(side("eb", "team_b"), "o_orderkey")
     total = lambda t: F.aggregate(t, F.lit(0), lambda acc, x: acc + x)
     edge = (total(F.col("team_a")) - total(F.col("team_b"))) / 20.0
     return both.withColumn("y", (sp.uniform("ey", "o_orderkey") < rec.logistic(edge)).cast("int"))

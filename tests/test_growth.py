@@ -64,3 +64,34 @@ def test_teammates_meet_without_another_shuffle(spark):
     shares = mt.teammate_shares(rows, "team", "name")
     assert {(r.name, r.mate): r.share for r in shares.collect()} == {("a", "b"): .5, ("b", "a"): 1.}
     assert shares._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [team") == 3
+
+
+def test_equal_examples_are_fitted_once(spark, written):
+    weights, metrics, _ = models.fit_baseline(repeated(spark), "id", "a", "b", "y", max_iter=30)
+    assert written["examples"] <= 24 and weights.count() == 8
+    assert metrics.first()["log_loss"] > 0
+
+
+def test_vectors_are_made_once_for_all_penalties(spark, written):
+    weights, tuning = models.fit_interaction(repeated(spark), "id", "a", "b", "y", c_values=(0.1, 1.0), max_iter=20)
+    assert tuning.count() == 2 and weights.where("kind = 'main'").count() == 8
+    assert written["train-vectors"] == written["train"] <= 48
+
+
+def test_copies_weigh_as_much_as_rows(spark):
+    rows = spark.createDataFrame([(1, .9), (1, .9), (1, .9), (0, .3), (0, .8), (0, .8)], "y int, p double")
+    folded = spark.createDataFrame([(1, .9, 3), (0, .3, 1), (0, .8, 2)], "y int, p double, copies int")
+    want, got = agg.binary_metrics(rows, [], F.col("y"), F.col("p")).first(), agg.binary_metrics(
+        folded, [], F.col("y"), F.col("p"), copies=F.col("copies")).first()
+    assert [round(v, 12) for v in want] == [round(v, 12) for v in got]
+    pairs = agg.top_pairs(spark.createDataFrame([(1, 3, "x"), (1, 3, "y"), (2, 2, "x"), (2, 2, "y"), (2, 2, "z")], "t int, n int, m string"), "t", "m", 5, "n")
+    assert [(r.a, r.b, r.n) for r in pairs.collect()] == [("x", "y", 5), ("x", "z", 2), ("y", "z", 2)]
+
+
+def test_presence_folds_equal_samples(spark, written):
+    """Repeated keys share their terms and samples without a key have none, as when each was a row."""
+    rows = [(i, [i % 3, 3 + i % 2], int(i % 12 < 7), "f") for i in range(600)] + [(7, [0, 1], 1, "f"), (None, [1, 2], 0, "f")]
+    s = spark.createDataFrame(rows, "id long, m array<int>, y int, fmt string")
+    got = {r.feature: r.odds for r in models.fit_presence(s, "id", "m", "y", 2, 2, "fmt").collect()}
+    assert written["sample-kinds"] <= 16 and written["presence"] <= 17
+    assert {"member:0", "member:4", "format:f"} <= set(got) and sum(f.startswith("pair:") for f in got) == 2
