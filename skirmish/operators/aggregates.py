@@ -22,16 +22,17 @@ from .pairs import unordered_pairs
 TEAM, TASK_ROWS = 64, 200_000
 
 
-def merge_usage(usage: DataFrame, counts: DataFrame, unit: Sequence[str], by: Sequence[str]) -> DataFrame:
+def merge_usage(usage: DataFrame, counts: DataFrame, unit: Sequence[str], by: Sequence[str], parts: int | None = None) -> DataFrame:
     """Count-weighted merge of distributions.
 
     ``usage`` has unit + field, key, share and ``counts`` has unit + n, one row per
     unit and entity.  A unit without a key adds nothing to the numerator but its
-    full count to the denominator.
+    full count to the denominator.  ``usage`` may bring its unit's n along, which saves a join;
+    ``parts`` is the number of tasks.
     """
     total = counts.groupBy(*by).agg(F.sum("n").alias("n"))
-    weighted = usage.join(counts, [*unit]).groupBy(*by, "field", "key").agg(
-        F.sum(F.col("share") * F.col("n")).alias("_w"))
+    counted = usage if "n" in usage.columns else usage.join(counts, [*unit])
+    weighted = counted.repartition(*([parts] if parts else []), *by).groupBy(*by, "field", "key").agg(F.sum(F.col("share") * F.col("n")).alias("_w"))
     return weighted.join(total, [*by]).select(
         *by, "field", "key", F.try_divide(F.col("_w"), F.col("n")).alias("share"), "n")
 
@@ -263,11 +264,11 @@ def error_histogram(errors: DataFrame, stage: str = "stage", reason: str = "reas
 def binary_metrics(df: DataFrame, by: Sequence[str], y: Column, p: Column, eps: float = 1e-9, copies: Column | None = None) -> DataFrame:
     """Log loss, accuracy at one half and Brier score of clipped probabilities; a row may stand for ``copies`` equal ones."""
     q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    return df.groupBy(*by).agg(
     mean = F.avg if copies is None else lambda x: F.sum(x * copies) / F.sum(F.when(x.isNotNull(), copies))
-        (-F.avg(y * F.ln(q) + (1 - y) * F.ln(1 - q))).alias("log_loss"),
-        F.avg(((q >= 0.5).cast("int") == y).cast("double")).alias("accuracy"),
-        F.avg((q - y) * (q - y)).alias("brier"))
+    return df.groupBy(*by).agg(
+        (-mean(y * F.ln(q) + (1 - y) * F.ln(1 - q))).alias("log_loss"),
+        mean(((q >= 0.5).cast("int") == y).cast("double")).alias("accuracy"),
+        mean((q - y) * (q - y)).alias("brier"))
 
 
 # Importance of each attribute in weighted accuracy.

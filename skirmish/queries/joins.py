@@ -11,7 +11,7 @@ from ..operators import matching as mt
 from ..operators.aggregates import task_count
 from ..session import materialise
 from .base import query, table, view
-from .stats import UNIT, USAGE_SQL, usage_tables
+from .stats import USAGE_SQL, counted_usage
 
 
 def rated_orders(spark, d):
@@ -68,8 +68,8 @@ u AS (SELECT DISTINCT * FROM e), g AS (SELECT entity, field, layer, bool_and(key
 b AS (SELECT entity, field, arg_min(layer, (empty::INT) * 10 + layer) AS layer FROM g GROUP BY ALL)
 SELECT entity, field, layer, key, round(share, 4) AS share FROM u JOIN b USING (entity, field, layer)""", ("picks",))
 def j4(spark, d):
-    usage, counts = usage_tables(spark, d)
-    m = usage.join(counts, UNIT).groupBy("usage_rank", "tier", "entity", "field", "key").agg(
+    usage, _ = counted_usage(spark, d)
+    m = usage.groupBy("usage_rank", "tier", "entity", "field", "key").agg(
         F.sum(F.col("share") * F.col("n")).alias("w"))
     rank = F.col("usage_rank")
     layer = F.when(F.col("tier") == "ou", 0).otherwise(3) + F.when(rank == 1760, 0).when(rank == 1500, 1).otherwise(2)

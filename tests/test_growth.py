@@ -95,3 +95,9 @@ def test_presence_folds_equal_samples(spark, written):
     got = {r.feature: r.odds for r in models.fit_presence(s, "id", "m", "y", 2, 2, "fmt").collect()}
     assert written["sample-kinds"] <= 16 and written["presence"] <= 17
     assert {"member:0", "member:4", "format:f"} <= set(got) and sum(f.startswith("pair:") for f in got) == 2
+
+
+def test_usage_is_shuffled_once(spark):
+    usage, counts = stats.usage_tables(spark, SF)
+    assert usage.columns == [*stats.UNIT, "field", "key", "share"]
+    assert exchanges(usage) == 1 and exchanges(stats.counted_usage(spark, SF)[0]) == 1
