@@ -101,3 +101,10 @@ def test_usage_is_shuffled_once(spark):
     usage, counts = stats.usage_tables(spark, SF)
     assert usage.columns == [*stats.UNIT, "field", "key", "share"]
     assert exchanges(usage) == 1 and exchanges(stats.counted_usage(spark, SF)[0]) == 1
+
+
+def test_thompson_tasks_follow_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(agg, "TASK_ROWS", 500)
+    plan = entry.queries()["R12_thompson_choice"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    parts = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+    assert re.search(rf"RepartitionByExpression \[l_orderkey#\d+L\], {parts}", plan)
