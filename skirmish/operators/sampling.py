@@ -356,6 +356,11 @@ def _arrivals(options: Column, seed: int | str, *key: Column) -> Column:
     return F.transform(F.sort_array(_timed(options, seed, *key)), lambda x: x["k"])
 
 
+def _earliest(options: Column, seed: int | str, *key: Column) -> Column:
+    """The first of the arrivals, without putting the others in order."""
+    return F.array_min(_timed(options, seed, *key))["k"]
+
+
 def form_free(name: Column) -> Column:
     """Name without its form suffix."""
     return F.split(name, "-")[0]
@@ -372,17 +377,15 @@ def complete_roster(teams: DataFrame, team: str, members: str, teammates: DataFr
     lists = materialise(teammates.where("field = 'teammates'").select(
         F.col(entity).alias("_starter"), F.transform("options", lambda o: F.struct(
             o["key"].alias("key"), o["share"].alias("share"), form_free(o["key"]).alias("form"))).alias("_o")), "teammates")
-    rows = spread(teams, team)
-    id_ = F.col(team).cast("string")
-    nobody = F.array().cast("array<string>")
+    rows = spread(teams, team).withColumn("_id", F.col(team).cast("string"))
     for r in range(size * 2 - 2):
         at = F.pmod(F.floor(uniform(f"{seed}s{r}", team) * F.size(members)) + r, F.size(members))
         rows = rows.withColumn("_starter", F.when(F.size(members) < size, F.try_element_at(members, at.cast("int") + 1)))
         rows = rows.withColumn("_have", F.transform(members, form_free)).join(lists, "_starter", "left")
         fresh = F.filter("_o", lambda o: ~F.array_contains("_have", o["form"]))
-        pick = F.transform(F.slice(F.array_sort(_timed(fresh, f"{seed}t{r}", id_)), 1, 1), lambda x: x["k"])
-        rows = rows.withColumn(members, F.concat(F.col(members), F.coalesce(pick, nobody))).drop("_o", "_starter", "_have")
-    return rows
+        pick = _earliest(fresh, f"{seed}t{r}", F.col("_id"))
+        rows = rows.withColumn(members, F.concat(F.col(members), F.array_compact(F.array(pick)))).drop("_o", "_starter", "_have")
+    return rows.drop("_id")
 
 
 def complete_moves(known: Column, options: Column, seed: int | str, key: Sequence[Column],
@@ -412,14 +415,18 @@ def complete_field(known: Column, options: Column, seed: int | str, key: Sequenc
 
 def complete_members(members: DataFrame, key: Sequence[str], entity: str, options: DataFrame, fields: Mapping[str, str],
                      moves: str, seed: int | str, conflicts: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Gaps of each member filled by usage draws.  ``fields`` maps a column to its usage field."""
+    """Gaps of each member filled by usage draws.  ``fields`` maps a column to its usage field.
+
+    The options are written once, so that their size is known when they are joined and a few of them don't shuffle the members.
+    """
     wide = options.groupBy(entity).agg(*[
         F.first(F.when(F.col("field") == f, F.col("options")), ignorenulls=True).alias(f"_o_{f}")
         for f in [*fields.values(), "moves"]])
-    rows = spread(members, *key).join(wide, entity, "left")
-    parts = [F.col(k).cast("string") for k in key]
+    ids = {f"_k{i}": F.col(k).cast("string") for i, k in enumerate(key)}
+    rows = spread(members, *key).withColumns(ids).join(materialise(wide, "options"), entity, "left")
+    parts = [F.col(i) for i in ids]
     empty = F.array().cast("array<struct<key:string,share:double>>")
     opt = lambda f: F.coalesce(F.col(f"_o_{f}"), empty)
     rows = rows.withColumns({c: complete_field(F.col(c), opt(f), f"{seed}{f}", parts) for c, f in fields.items()})
     rows = rows.withColumn(moves, complete_moves(F.col(moves), opt("moves"), f"{seed}moves", parts, conflicts or {}))
-    return rows.drop(*[f"_o_{f}" for f in [*fields.values(), "moves"]])
+    return rows.drop(*ids, *[f"_o_{f}" for f in [*fields.values(), "moves"]])

@@ -108,3 +108,22 @@ def test_thompson_tasks_follow_the_lines(spark, monkeypatch):
     plan = entry.queries()["R12_thompson_choice"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     parts = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
     assert re.search(rf"RepartitionByExpression \[l_orderkey#\d+L\], {parts}", plan)
+
+
+def test_few_options_do_not_shuffle_members(spark):
+    options = sp.option_lists(spark.createDataFrame([("N1", "items", "x", .5), ("N1", "items", "y", .5), ("N1", "moves", "m", 1.)],
+                                                    "entity string, field string, key string, share double"), "entity")
+    rows = spark.createDataFrame([(i, f"N{i % 2}", None, []) for i in range(50)], "id long, entity string, item string, moves array<string>")
+    out = sp.complete_members(rows, ["id"], "entity", options, {"item": "items"}, "moves", "s")
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString() and exchanges(out) == 1
+    got = {r.id: (r.item, r.moves) for r in out.collect()}
+    assert set(out.columns) == set(rows.columns) and got[0] == (None, []) and got[1][0] in "xy" and got[1][1] == ["m"]
+
+
+def test_draws_do_not_sort_options(spark):
+    options = sp.option_lists(spark.createDataFrame([("N1", "teammates", "N2", .5), ("N2", "teammates", "N1", .5)],
+                                                    "entity string, field string, key string, share double"), "entity")
+    rows = spark.createDataFrame([(1, ["N1"])], "id long, members array<string>")
+    out = sp.complete_roster(rows, "id", "members", options, "entity", 2, "s")
+    assert "array_sort" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.collect()[0].members == ["N1", "N2"]
