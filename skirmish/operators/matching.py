@@ -19,6 +19,8 @@ from .pairs import unordered_pairs  # noqa: F401  (policy pairs)
 
 DEFAULT_RANK = 1500
 EPS = 1e-6
+#: Longs in a filter of codes, at most: 8 MB.
+FILTER_WORDS = 1 << 20
 
 
 # -- statistics by skill and time ---------------------------------------------------
@@ -246,6 +248,41 @@ def _choices(items: Column, k: int, place: str) -> Column:
     return out
 
 
+def _link(code: Column, value: Column) -> Column:
+    """Code of a list of values, made from the code of all but its last."""
+    return F.xxhash64(code, value)
+
+
+def _may_hold(codes: DataFrame, code: str) -> Callable[[Column], Column]:
+    """Test of codes: true for all of ``codes`` and, as two may share a bit, for some others.
+
+    The bits are one value of at most 8 * ``FILTER_WORDS`` bytes; with more codes they fill up and let more others through.
+    """
+    words = 64
+    n = codes.count()
+    while words < min(n / 4, FILTER_WORDS):
+        words *= 2
+    word = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(words - 1)).cast("int")
+    bit = lambda c: c.bitwiseAND(F.lit(63)).cast("int")
+    marked = codes.groupBy(word(F.col(code)).alias("_w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col(code)))).alias("_b"))
+    every = codes.sparkSession.range(words).select(F.col("id").cast("int").alias("_w")).join(marked, "_w", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("_w", F.coalesce("_b", F.lit(0).cast("long")).alias("_b"))))
+    bits = materialise(every.agg(ordered.alias("_s")).select(F.col("_s._b").alias("_bits")), "code-bits").scalar()
+    return lambda c: F.getbit(F.get(bits, word(c)), bit(c)) == 1
+
+
+def _asked_choices(teams: DataFrame, k: int, names: str, may_hold: Callable[[Column], Column]) -> DataFrame:
+    """Rows of ``teams`` with each choice of ``k`` of its ``names`` whose first 1, 2, ... k names pass the test (_picked, from 0)."""
+    rows = teams.where(F.size(names) >= k).withColumns({"_at": F.lit(0), "_code": F.lit(0).cast("long"), "_picked": F.array().cast("array<int>")})
+    for left in range(k - 1, -1, -1):
+        rest = F.slice(names, F.col("_at") + 1, F.size(names) - left - F.col("_at"))
+        rows = rows.select(*teams.columns, "_at", "_code", "_picked", F.posexplode(rest).alias("_i", "_name")).select(
+            *teams.columns, (F.col("_at") + F.col("_i") + 1).alias("_at"), _link(F.col("_code"), F.col("_name")).alias("_code"),
+            F.concat("_picked", F.array(F.col("_at") + F.col("_i"))).alias("_picked")).where(may_hold(F.col("_code")))
+    return rows.drop("_at", "_code")
+
+
 def best_retrieval(wanted: DataFrame, members: DataFrame, request: str, team: str, name: str) -> DataFrame:
     """Best team per request: most wanted members, then best move overlap, then earlier names, then lowest id.
 
@@ -253,29 +290,37 @@ def best_retrieval(wanted: DataFrame, members: DataFrame, request: str, team: st
     A request with no name that any team has gets no row.
 
     Equal requests are answered once.  From the largest number of names down, the choices of so many names of a request meet
-    the same names of teams by equality, and only requests without an answer go on.  Teams enter as the different
+    the same names of teams by equality, and only requests without an answer go on.  A team's choices grow name by name and
+    end where no open request goes on, so nearly none is made or shuffled that isn't asked for.  Teams enter as the different
     sets of moves under the same names with their lowest id, so that a name many teams have costs what its
-    sets of moves do, not its teams.
+    sets of moves do, not its teams.  Members that are partitioned by team are not shuffled again.
     """
+    kind = wanted.select(name).union(members.select(name)).schema[name].dataType
+    wanted, members = (df.withColumn(name, F.col(name).cast(kind)) for df in (wanted, members))
     item = F.struct("position", name, "wanted_moves")
     asked = wanted.groupBy(request).agg(F.array_sort(F.collect_list(item)).alias("_wants"))
     asked = materialise(asked, "requests")
     ids = open_ = materialise(asked.groupBy("_wants").agg(F.min(request).alias("_id")), "requests-distinct")
-    sets = members.join(wanted.select(name).distinct(), name, "left_semi").groupBy(team, name).agg(
-        F.array_sort(F.collect_set("moves")).alias("_sets"))
-    teams = materialise(sets.groupBy(team).agg(F.array_sort(F.collect_list(F.struct(name, "_sets"))).alias("_has")), "teams-asked")
-    most = min(open_.agg(F.max(F.size("_wants"))).first()[0] or 0, teams.agg(F.max(F.size("_has"))).first()[0] or 0)
+    start = F.lit(0).cast("long")
+    names = open_.select(F.explode(f"_wants.{name}").alias("_n"))
+    named = _may_hold(names.select(_link(start, F.col("_n")).alias("_code")), "_code")
+    sets = members.where(F.col(name).isNotNull() & named(_link(start, F.col(name)))).groupBy(team, name).agg(
+        F.sort_array(F.collect_set("moves")).alias("_sets"))
+    has = sets.groupBy(team).agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("n"), F.col("_sets").alias("s")))).alias("_has"))
+    teams = materialise(has.select(team, F.col("_has.n").alias("_all"), F.col("_has.s").alias("_each")), "teams-asked")
+    most = min(open_.agg(F.max(F.size("_wants"))).first()[0] or 0, teams.agg(F.max(F.size("_all"))).first()[0] or 0)
     overlap = F.aggregate(F.zip_with("_wanted", "_sets", lambda w, options: F.array_max(
         F.transform(options, lambda m: F.size(F.array_intersect(w, m))))), F.lit(0), lambda acc, x: acc + x)
+    picked = lambda c: F.transform("_picked", lambda i: F.get(F.col(c), i))
     answers = []
     for k in range(most, 0, -1):
         choice = F.array_sort(F.transform("_choice", lambda x: F.struct(x[name].alias("n"), x["position"].alias("p"), x["wanted_moves"].alias("w"))))
         asks = open_.select("_id", F.explode(_choices(F.col("_wants"), k, "position")).alias("_choice")).select(
             "_id", F.transform(choice, lambda x: x["n"]).alias("_names"), F.transform(choice, lambda x: x["w"]).alias("_wanted"),
             F.transform("_choice", lambda x: x["position"]).alias("_places"))
-        shared = teams.where(F.size("_has") >= k).select(team, F.explode(_choices(F.col("_has"), k, name)).alias("_choice")).select(
-            team, F.transform("_choice", lambda x: x[name]).alias("_names"), F.transform("_choice", lambda x: x["_sets"]).alias("_sets"))
-        index = shared.join(asks.select("_names").distinct(), "_names", "left_semi").groupBy("_names", "_sets").agg(F.min(team).alias(team))
+        begun = [F.aggregate(F.slice("_names", 1, j), start, _link) for j in range(1, k + 1)]
+        shared = _asked_choices(teams, k, "_all", _may_hold(asks.select(F.explode(F.array(*begun)).alias("_code")), "_code"))
+        index = shared.select(team, picked("_all").alias("_names"), picked("_each").alias("_sets")).groupBy("_names", "_sets").agg(F.min(team).alias(team))
         best = asks.join(index, "_names").groupBy("_id").agg(
             F.min(F.struct(F.negate(overlap).alias("o"), F.col("_places"), F.col(team).alias("t"))).alias("_best"))
         found = materialise(best.select("_id", F.col("_best.t").alias(team), F.lit(k).cast("long").alias("matched"),
@@ -283,6 +328,8 @@ def best_retrieval(wanted: DataFrame, members: DataFrame, request: str, team: st
         answers.append(found)
         if k > 1:
             open_ = materialise(open_.join(found.select("_id"), "_id", "left_anti"), "requests-open")
+            if open_.isEmpty():
+                break
     if not answers:
         return asked.select(request, F.lit(None).cast(members.schema[team].dataType).alias(team), F.lit(0).cast("long").alias("matched"),
                             F.lit(0.0).alias("ratio")).where("1 = 0")

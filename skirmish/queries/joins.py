@@ -289,8 +289,8 @@ h AS (SELECT req, team, count(*) AS matched, sum(len(list_intersect(list_distinc
 SELECT req, team, matched, round(CAST(o / asked AS DOUBLE), 6) AS ratio FROM h JOIN a USING (req)
 QUALIFY row_number() OVER (PARTITION BY req ORDER BY matched DESC, o / asked DESC, positions, team) = 1""")
 def j12(spark, d):
-    members = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("team"), F.col("l_suppkey").alias("name")).agg(
-        F.collect_set(F.col("l_partkey") % 20).alias("moves"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("team"), F.col("l_suppkey").alias("name"), (F.col("l_partkey") % 20).alias("move"))
+    members = lines.repartition(task_count(lines), "team").groupBy("team", "name").agg(F.collect_set("move").alias("moves"))
     n = table(spark, d, "supplier").agg(F.count("*")).scalar()
     asked = table(spark, d, "customer").select(F.col("c_custkey").alias("req"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("position")).withColumn("n", n)
     wanted = asked.select("req", "position", ((F.col("req") * 7 + F.col("position") * 13) % F.col("n")).alias("name"),

@@ -127,3 +127,67 @@ def test_draws_do_not_sort_options(spark):
     out = sp.complete_roster(rows, "id", "members", options, "entity", 2, "s")
     assert "array_sort" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.collect()[0].members == ["N1", "N2"]
+
+
+@pytest.fixture
+def retrieval_plans(monkeypatch):
+    """Label -> executed plan of everything that retrieval writes."""
+    plans = {}
+
+    def record(df, label, *args):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, label, *args)
+
+    plain = mt.materialise
+    monkeypatch.setattr(mt, "materialise", record)
+    return plans
+
+
+def retrieval_rows(spark, kind="long"):
+    """Teams 0 to 39 with names t to t + 7 and a move each; requests ask for three names, the last for one that no team has too."""
+    members = [(t, t + i, [(t + i) % 3]) for t in range(40) for i in range(8)]
+    wanted = [(0, 5, 0, [2]), (0, 7, 1, [1]), (0, 9, 2, [0]), (1, 3, 0, [0]), (1, 10, 1, [1]), (1, 45, 2, [0]), (2, 99, 0, [1])]
+    return (spark.createDataFrame(wanted, f"req long, name {kind}, position int, wanted_moves array<int>"),
+            spark.createDataFrame(members, "team long, name long, moves array<int>"))
+
+
+RETRIEVED = {(0, 2, 3, 1.0), (1, 3, 2, round(2 / 3, 6))}
+
+
+def test_choices_nobody_asks_for_are_not_made(spark):
+    teams = spark.createDataFrame([(t, list(range(t, t + 8))) for t in range(40)], "team long, names array<long>")
+    code = F.lit(0).cast("long")
+    begun = [code := mt._link(code, F.lit(n).cast("long")) for n in (5, 7, 9)]
+    held = mt._may_hold(spark.range(1).select(F.explode(F.array(*begun)).alias("c")), "c")
+    got = mt._asked_choices(teams, 3, "names", held).collect()
+    assert {(t, (5, 7, 9)) for t in (2, 3, 4, 5)} <= {(r.team, tuple(r.names[i] for i in r._picked)) for r in got}
+    assert len(got) < 20  # of 40 * 56
+
+
+def test_retrieval_shuffles_no_choices_before_they_are_tested(spark, retrieval_plans):
+    wanted, members = retrieval_rows(spark)
+    out = mt.best_retrieval(wanted, members, "req", "team", "name")
+    assert {(r.req, r.team, r.matched, round(r.ratio, 6)) for r in out.collect()} == RETRIEVED
+    assert "getbit" in retrieval_plans["retrieved-3"] and "LeftSemi" not in retrieval_plans["retrieved-3"]
+    assert "getbit" in retrieval_plans["teams-asked"] and "LeftSemi" not in retrieval_plans["teams-asked"]
+
+
+def test_full_filters_and_other_types_lose_no_team(spark, monkeypatch):
+    monkeypatch.setattr(mt, "_link", lambda code, value: F.lit(0).cast("long"))  # every code is the same, all pass
+    out = mt.best_retrieval(*retrieval_rows(spark), "req", "team", "name")
+    assert {(r.req, r.team, r.matched, round(r.ratio, 6)) for r in out.collect()} == RETRIEVED
+    monkeypatch.undo()
+    out = mt.best_retrieval(*retrieval_rows(spark, "int"), "req", "team", "name")
+    assert {(r.req, r.team, r.matched, round(r.ratio, 6)) for r in out.collect()} == RETRIEVED
+
+
+def test_retrieval_stops_when_all_are_answered(spark, retrieval_plans):
+    wanted, members = retrieval_rows(spark)
+    out = mt.best_retrieval(wanted.where("req = 0"), members, "req", "team", "name")
+    assert [(r.team, r.matched) for r in out.collect()] == [(2, 3)]
+    assert "retrieved-3" in retrieval_plans and "retrieved-2" not in retrieval_plans
+
+
+def test_retrieval_shuffles_lines_once(spark, retrieval_plans):
+    entry.queries()["J12_best_retrieval"](spark, SF)
+    assert len(re.findall(r"Exchange hashpartitioning", retrieval_plans["teams-asked"])) == 1
