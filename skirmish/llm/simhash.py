@@ -106,7 +106,8 @@ def links(fps: DataFrame, radius: int = 4, compared: int = 1024) -> DataFrame:
     kept = F.explode(F.array(*[F.lit(m) for m in covering_masks(radius)])).alias("kept")
     keyed = fps.select("fp", kept).select("fp", "kept", F.col("fp").bitwiseAND(F.col("kept")).alias("key"))
     full = keyed.groupBy("kept", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = materialise(keyed.join(full, ["kept", "key"]).select("kept", "key", "fp", "n"), "simhash-buckets")
+    # Spark sizes exploded rows like those they come from and would broadcast many times its threshold.
+    shared = materialise(keyed.hint("merge").join(full, ["kept", "key"]).select("kept", "key", "fp", "n"), "simhash-buckets")
 
     def compare(batches):
         for batch in batches:
@@ -122,7 +123,7 @@ def links(fps: DataFrame, radius: int = 4, compared: int = 1024) -> DataFrame:
     around = dense.select("fp", F.explode(F.array(*[F.lit(x) for x in _ball(radius // 2)])).alias("x")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("x")).alias("z"))
     centre = around.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1)
-    stars = around.join(centre.select("z", "b"), "z").select(F.col("fp").alias("a"), "b")
+    stars = around.hint("merge").join(centre.select("z", "b"), "z").select(F.col("fp").alias("a"), "b")
     return small.unionByName(stars).where(F.col("a") != F.col("b")).distinct()
 
 
