@@ -38,14 +38,15 @@ def test_distinct_teams(spark, tmp_path):
 
 def test_lines_are_shuffled_once(spark, tmp_path):
     _lines(spark, str(tmp_path), ROWS * 3)
-    plan = _plan(joins.teams(spark, str(tmp_path)))
-    assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(team_id" in line]) == 1
+    for teams in (joins.teams, joins.different_teams):
+        plan = _plan(teams(spark, str(tmp_path)))
+        assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(team_id" in line]) == 1
 
 
 def test_team_of_many_batches(spark, tmp_path):
     """One order of 30,000 lines, cut by batches, beside small ones."""
     _lines(spark, str(tmp_path), [(0, 3, i % 20, 1 + i // 20, 5.0, 0.0, "N", "O") for i in range(30000)] + [(5 * i, 3, 7, 1, 5.0, 0.0, "N", "O") for i in range(1, 500)])
-    got = sorted((r.lead.name, len(r.reserve), r.n) for r in joins.teams(spark, str(tmp_path)).collect())
+    got = sorted((r.lead.name, len(r.reserve), r.n) for r in joins.different_teams(spark, str(tmp_path)).collect())
     assert got == [(0, 19, 1), (7, 0, 499)]
 
 
